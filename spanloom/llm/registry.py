@@ -6,8 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+from .bpe import bpe_digests
+from .media import media_digests
 from .minhash_dedup import near_duplicates
+from .mixing import poisson_mix
 from .shared import table
+from .toxicity import toxicity_scores
+from .wordpiece import load_pieces, token_counts
+
+#: Parameters of the registered queries: vocabulary files and target weights ("*": all other sources together).
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "*": 0.74}
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer file's path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +32,35 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a media container, read back and indexed."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every text."""
+    return token_counts(table(spark, sf_dir, "documents"), *load_pieces(vocabulary(PIECES)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids and decoded texts of every text, as digests."""
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` replicated to the target weights, in a global shuffle."""
+    return poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    own = (op1_minhash_dedup, op3_media_columns, op4_token_counts, op5_toxicity, op9_bpe, op10_poisson_mix)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_dedup": sql.near_duplicates(), "op10_poisson_mix": sql.poisson_mix(WEIGHTS)}

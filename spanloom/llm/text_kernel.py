@@ -42,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield ``(first row, bytes, offsets)``; null texts are empty ones."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -55,7 +55,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, "right")) - 1)
         end = min(end, n)
         yield row, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
