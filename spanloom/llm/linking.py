@@ -54,28 +54,31 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def link_buckets(
     buckets: DataFrame,
-    coarse: DataFrame,
-    items: DataFrame,
+    coarse: DataFrame | None,
+    items: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     block: Callable[[pa.Table], pa.Table],
-    units: str,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Components ``(id, component)`` over the confirmed links.
 
     buckets: ``(key, id)`` for the stars; coarse: ``(key, id)`` whose groups hold every pair that shares a
-    bucket; items: ``(id, units, payload...)``; verify: candidate ``(a, b)`` to confirmed ``(a, b)``;
-    block: a task's rows ``(q boolean, x boolean, component, id, payload...)`` to confirmed links.
+    bucket (None: the buckets, whose hubs have then been compared with all their members and drop out); items:
+    from wanted ``(id)`` to ``(id, payload...)``; verify: candidate ``(a, b)`` to confirmed ``(a, b)``; block: a
+    task's rows ``(q boolean, x boolean, component, id, payload...)`` to confirmed links; sizes: ``(id, units)``.
     """
     hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
-    stars = buckets.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    full = buckets.join(hubs.select("key", "hub"), "key").where("id <> hub")
+    if coarse is None:
+        full = stash(full)
+        coarse = full.select("key", "id")
+    stars = full.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = stash(verify(stars))
     parts = connected_components(links)
 
-    sized = items.select("id", F.col(units).cast("long").alias("_u"))
-    known = coarse.join(sized, "id").join(parts, "id", "left").select(
-        "key", "id", "_u", F.coalesce("component", "id").alias("component")
-    )
-    known = stash(known)
+    known = coarse.join(parts, "id", "left")
+    known = known.join(sizes, "id") if sizes is not None else known.withColumn("units", F.lit(1))
+    known = stash(known.select("key", "id", F.col("units").cast("long").alias("_u"), F.coalesce("component", "id").alias("component")))
     main = (
         known.groupBy("key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("main"))
@@ -85,10 +88,10 @@ def link_buckets(
     open_rows = known.join(main, "key")
     out = F.col("component") != F.col("main")
     blocks = lambda total: F.greatest(F.lit(1), F.ceil(total / BLOCK_UNITS)).cast("int")
-    sizes = open_rows.groupBy("key").agg(
+    dealt = open_rows.groupBy("key").agg(
         blocks(F.sum("_u")).alias("nx"), blocks(F.sum(F.when(out, F.col("_u")))).alias("nq")
     )
-    open_rows = open_rows.join(sizes, "key").withColumn("out", out)
+    open_rows = open_rows.join(dealt, "key").withColumn("out", out)
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     many = (F.col("nx") > 1) | (F.col("nq") > 1)
     # a small group is one task, where outliers are both sides; larger ones are dealt as query block x index block
@@ -104,10 +107,11 @@ def link_buckets(
             )
         ).alias("t"),
     ).select("key", "t.*", "id", "component")
-    more = tasks.join(items.drop(units), "id").groupBy("key", "bq", "bx").applyInArrow(block, "a long, b long")
+    tasks = stash(tasks)
+    more = tasks.join(items(tasks.select("id").distinct()), "id").groupBy("key", "bq", "bx").applyInArrow(block, "a long, b long")
     more = stash(more.distinct())
     joined = links.unionAll(more)
     done = connected_components(joined)
-    for x in (parts, known):
+    for x in (parts, known, tasks):
         drop(x)
     return done

@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         both = likely.join(sb, "b").join(sa, "a").withColumn("k", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.expr(f"100 * k >= {percent} * (size(sa) + size(sb) - k)")).select("a", "b")
 
-    parts = link_buckets(tables, coarse, items, verify, _block_linker(percent), "n")
+    parts = link_buckets(tables, coarse, lambda _: items.drop("n"), verify, _block_linker(percent), items.select("id", F.col("n").alias("units")))
     grouped = classes.join(parts, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
     grouped = grouped.groupBy("cls").agg(F.min("component_id").alias("component_id"))
     return (

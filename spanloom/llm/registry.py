@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .bpe import bpe_digests
+from .brown_lm import class_scores
+from .html_text import main_text
+from .imatch import fingerprints
+from .line_dedup import dedup_lines
 from .media import media_digests
 from .minhash_dedup import near_duplicates
 from .mixing import poisson_mix
@@ -32,6 +36,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without repeated lines: doc_id, n_lines, n_removed and the remaining text."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a media container, read back and indexed."""
     return media_digests(table(spark, sf_dir, "documents"))
@@ -47,6 +56,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based language-model scores of every text."""
+    return class_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded texts of every text, as digests."""
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
@@ -58,7 +82,10 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash_dedup, op3_media_columns, op4_token_counts, op5_toxicity, op9_bpe, op10_poisson_mix)
+    own = (
+        op1_minhash_dedup, op2_line_dedup, op3_media_columns, op4_token_counts, op5_toxicity,
+        op6_brown_lm, op7_imatch, op8_html_text, op9_bpe, op10_poisson_mix,
+    )
     return {f.__name__: f for f in own}
 
 
