@@ -1,10 +1,72 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, source mixing, BPE."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, source mixing, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs; all but the last return the columns of
+documents.  Stage results are written as Parquet in the shared folder and read again, so a lost executor costs
+at most a stage's own tasks.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm.bpe import bpe_columns
+from spanloom.llm.line_dedup import dedup_lines
+from spanloom.llm.minhash_dedup import near_duplicates
+from spanloom.llm.mixing import poisson_mix
+from spanloom.llm.registry import WORD_BPE, vocabulary
+from spanloom.llm.shared import stash, table
+from spanloom.llm.toxicity import drop_toxic
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Target shares of the mixed corpus, and its size as a multiple of the distinct documents (two epochs).
+WEIGHTS, EPOCHS = {"src0": 0.25, "*": 0.75}, 2.0
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; those made only of repeats go.  n_chars follows the text."""
+    kept = dedup_lines(docs).where("has_own")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length).select(*docs.columns)
+
+
+def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest doc_id; of repeated rows, one."""
+    groups = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    one = docs.join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return one.dropDuplicates(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights, in a global shuffle."""
+    return poisson_mix(docs, WEIGHTS, budget=EPOCHS, keep=docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token counts and digests of ids and decoded text."""
+    return bpe_columns(docs, vocabulary(WORD_BPE))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", remove_lines),
+    ("minhash_dedup", keep_one_each),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The stages' models, components and encodings are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages are not written yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
