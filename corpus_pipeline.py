@@ -37,9 +37,10 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest doc_id; of repeated rows, one."""
-    groups = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(docs.columns)
+    marks = stash(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")))
+    groups = marks.distinct()
+    one = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return one if marks.count() == groups.count() else one.dropDuplicates(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
