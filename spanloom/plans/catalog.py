@@ -397,7 +397,7 @@ def o81_apportion(s, d):
 def o82_metrics(s, d):
     runs = X.table(s, d, "orders").select(
         F.col("o_custkey").alias("request"), F.when(F.col("o_orderkey") % 9 == 0, "gpu").otherwise("cpu").alias("backend"),
-        (F.col("o_totalprice") / 3e6).alias("preprocess_s"), (F.col("o_totalprice") / 7e5).alias("inference_s"), (F.col("o_orderkey") % 50).alias("frames"),
+        (F.col("o_totalprice") / 3141593.0).alias("preprocess_s"), (F.col("o_totalprice") / 713467.0).alias("inference_s"), (F.col("o_orderkey") % 50).alias("frames"),
     )
     return _six(M.request_metrics(runs))
 

@@ -262,7 +262,7 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "SELECT batch, root, round((batch + 1) * 0.25::DOUBLE * items / sum(items) OVER (PARTITION BY batch), 6) AS seconds FROM x"
         ),
         "o82_metrics": (
-            "WITH x AS (SELECT o_custkey AS request, CASE WHEN o_orderkey % 9 = 0 THEN 'gpu' ELSE 'cpu' END AS backend, o_totalprice / 3e6 AS p, o_totalprice / 7e5 AS i, o_orderkey % 50 AS f FROM orders) "
+            "WITH x AS (SELECT o_custkey AS request, CASE WHEN o_orderkey % 9 = 0 THEN 'gpu' ELSE 'cpu' END AS backend, o_totalprice / 3141593.0::DOUBLE AS p, o_totalprice / 713467.0::DOUBLE AS i, o_orderkey % 50 AS f FROM orders) "
             "SELECT request, round(sum(p), 6) AS preprocess_s, round(sum(i), 6) AS inference_s, sum(f)::BIGINT AS frames, round(CASE WHEN sum(f) > 0 THEN sum(p) / sum(f) END, 6) AS s_per_frame, "
             "round(sum(p + i), 6) AS total_s, round(CASE WHEN sum(p + i) > 0 AND sum(f) > 0 THEN sum(f) / sum(p + i) END, 6) AS frames_per_s, CASE WHEN count(DISTINCT backend) = 1 THEN min(backend) ELSE 'mixed' END AS backend FROM x GROUP BY request"
         ),
