@@ -281,6 +281,7 @@ def test_stream_of_sessions(spark, tmp_path):
 
 
 def test_stream_with_confidence(spark, tmp_path):
-    chunks = [[(0, 0.5), (2, 0.5), (6, 0.7)], [(4, 0.5), (8, 0.7)], [(1000, 0.5)], [(1001, 0.5)]]
+    # the first watermark is the epoch, and what is not after a watermark is late: so the rows begin later
+    chunks = [[(100, 0.5), (102, 0.5), (106, 0.7)], [(104, 0.5), (108, 0.7)], [(1000, 0.5)], [(1001, 0.5)]]
     got = replay(spark, tmp_path, lambda s: streams.stream_runs_by_confidence(s, 2, 0, "10 seconds"), chunks)
-    assert got == [(0, 4), (6, 8)]
+    assert got == [(100, 104), (106, 108)]
