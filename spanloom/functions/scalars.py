@@ -11,9 +11,12 @@ RULE_DEFAULTS = {"min_marker_duration": "12", "max_gap": "6", "required_duration
 BATCH_SHARES = [1.0, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]
 #: Normalisation presets: mean and standard deviation of the three channels.
 PRESETS = {0: ([0.485, 0.456, 0.406], [0.229, 0.224, 0.225]), 1: ([0.48145466, 0.4578275, 0.40821073], [0.26862954, 0.26130258, 0.27577711])}
-#: Hardware decoders by codec, where there is one.
-DECODERS = {"h264": "h264_cuvid", "hevc": "hevc_cuvid", "av1": "av1_cuvid", "vp8": "vp8_cuvid", "vp9": "vp9_cuvid", "mpeg2video": "mpeg2_cuvid", "mpeg4": "mpeg4_cuvid", "vc1": "vc1_cuvid", "mjpeg": "mjpeg_cuvid"}
-UNSUPPORTED_FORMATS = ["yuv422p", "yuv422p10le", "yuv444p10le", "yuv422p12le"]
+#: Hardware decoders by the codec names' beginnings, and pixel formats that the hardware cannot decode.
+DECODERS = {
+    "h264": "h264_cuvid", "avc": "h264_cuvid", "hevc": "hevc_cuvid", "h265": "hevc_cuvid", "mpeg2": "mpeg2_cuvid",
+    "mpeg4": "mpeg4_cuvid", "vp8": "vp8_cuvid", "vp9": "vp9_cuvid", "av1": "av1_cuvid",
+}
+UNSUPPORTED_FORMATS = ["yuv444p", "yuv444p10le", "yuv444p12le", "yuvj444p"]
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -60,11 +63,11 @@ def normal_source(path: Column, known_rewritten: Column) -> Column:
 
 
 def frame_rate(text: Column, default: float = 30.0) -> Column:
-    """O-9: a number or "a/b"; anything else, or a rate not above 0, is the default."""
+    """O-9: a number, or a rational "a/b" (a zero b counts as 1); anything else is the default."""
     parts = F.split(text, "/")
-    ratio = F.when((F.size(parts) == 2) & (number(parts[1]) != 0), number(parts[0]) / number(parts[1]))
-    rate = F.coalesce(number(text), ratio)
-    return F.when(rate > 0, rate).otherwise(F.lit(default))
+    below = number(parts[1])
+    ratio = F.when(F.size(parts) == 2, number(parts[0]) / F.when(below == 0, 1.0).otherwise(below))
+    return F.coalesce(number(text), ratio, F.lit(default))
 
 
 def duration(seconds: Column, frames: Column, rate: Column) -> Column:
@@ -103,9 +106,15 @@ def decode_backend(width: Column, height: Column) -> Column:
 
 
 def hardware_decoder(codec: Column, pixel_format: Column) -> Column:
-    """O-12: the decoder's name, null for codecs without one and unsupported pixel formats."""
-    pairs = F.create_map(*(F.lit(x) for kv in DECODERS.items() for x in kv))
-    return F.when(~F.coalesce(pixel_format, F.lit("")).isin(UNSUPPORTED_FORMATS), F.element_at(pairs, F.lower(codec)))
+    """O-12: the decoder by the beginning of the codec's name, case, blanks, brackets and dashes aside.
+
+    Null for codecs without one and for unsupported pixel formats.
+    """
+    plain = F.regexp_replace(F.lower(codec), r"[\s()\[\]{}_-]", "")
+    known = F.lit(None).cast("string")
+    for start, decoder in DECODERS.items():
+        known = F.coalesce(known, F.when(plain.startswith(start), decoder))
+    return F.when(~F.coalesce(F.lower(pixel_format), F.lit("")).isin(UNSUPPORTED_FORMATS), known)
 
 
 def active_backend(wanted: Column, has_gpu: bool) -> Column:
@@ -157,11 +166,10 @@ def shape_error(channels: Column, height: Column, width: Column, size: int) -> C
 
 
 def duration_literal(text: Column, media_duration: Column) -> Column:
-    """O-37: "12", "12s" or "5%" of the media; a malformed one is 0, null stays null."""
-    t = F.trim(text)
-    plain = number(F.regexp_replace(t, r"s+$", ""))
-    part = number(F.regexp_replace(t, r"%+$", "")) / 100.0 * media_duration
-    return F.when(text.isNotNull(), F.coalesce(F.when(t.endswith("%"), part).otherwise(plain), F.lit(0.0)))
+    """O-37: "12", "12s" or "5%" of the media; one suffix and nothing after it; a malformed one is 0, null stays null."""
+    body = number(F.left(text, F.length(text) - 1))
+    value = F.when(text.endswith("%"), body / 100 * media_duration).when(text.endswith("s"), body).otherwise(number(text))
+    return F.when(text.isNotNull(), F.coalesce(value, F.lit(0.0)))
 
 
 def or_default(text: Column, configured: str | None, hard: str) -> Column:

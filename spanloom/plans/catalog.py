@@ -141,7 +141,7 @@ def o61_desired_lookup(s, d):
 
 @query
 def o37_duration_literal(s, d):
-    cells = F.array(*(F.lit(x) for x in ("12", "12s", "5%", "abc", "", "0", "-1", "5d", "1e2", ".5", " 7 ", "10 %", None)))
+    cells = F.array(*(F.lit(x) for x in ("12", "12s", "5%", "abc", "", "0", "-1", "5d", "1e2", ".5", " 7 ", "10 %", "5% ", "12ss", None)))
     rows = X.table(s, d, "nation").select("n_nationkey", F.explode(cells).alias("cell"))
     return _six(rows.select("n_nationkey", "cell", S.duration_literal(F.col("cell"), F.col("n_nationkey") * 100.0).alias("seconds")))
 
@@ -264,8 +264,8 @@ def o09_frame_rate(s, d):
 @query
 def o12_decoder(s, d):
     p = X.table(s, d, "part")
-    codec = F.element_at(F.array(F.lit("H264"), F.lit("hevc"), F.lit("gif"), F.lit("vp9")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    pixel = F.when(F.col("p_size") % 6 == 0, "yuv422p").otherwise("yuv420p")
+    codec = F.element_at(F.array(F.lit("H264 (High)"), F.lit("HEVC-main"), F.lit("gif"), F.lit("vp9")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    pixel = F.when(F.col("p_size") % 6 == 0, "yuv444p").otherwise("yuv420p")
     return p.select("p_partkey", S.hardware_decoder(codec, pixel).alias("decoder"), S.decode_backend(F.col("p_size") * 100, F.col("p_retailprice")).alias("backend"))
 
 

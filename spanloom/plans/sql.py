@@ -136,7 +136,7 @@ def num(x: str) -> str:
 
 
 def queries(choices: dict[str, list[float]]) -> dict[str, str]:
-    cells = "('12'), ('12s'), ('5%'), ('abc'), (''), ('0'), ('-1'), ('5d'), ('1e2'), ('.5'), (' 7 '), ('10 %'), (NULL)"
+    cells = "('12'), ('12s'), ('5%'), ('abc'), (''), ('0'), ('-1'), ('5d'), ('1e2'), ('.5'), (' 7 '), ('10 %'), ('5% '), ('12ss'), (NULL)"
     fps_text = "CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_partkey || '/1001' WHEN 2 THEN '30/0' WHEN 3 THEN p_brand END"
     zip_path = "url || CASE page_id % 3 WHEN 0 THEN '/Set.ZIP\\a\\b.png' WHEN 1 THEN '/x.zip.zip//c.png' ELSE '/x.zipper/d.png' END"
     step = "CASE WHEN {i} > 0 THEN greatest(1, round_even({r} * {i}, 0)::BIGINT) ELSE 1 END"
@@ -176,8 +176,8 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "CASE event_type WHEN 'view' THEN 'Viewing' WHEN 'click' THEN 'Clicking' ELSE event_type END AS tag, event_id::DOUBLE AS \"start\", (event_id + 12)::DOUBLE AS \"end\" FROM events"
         ),
         "o37_duration_literal": (
-            f"SELECT n_nationkey, cell, round(CASE WHEN cell IS NULL THEN NULL WHEN trim(cell) LIKE '%\\%' ESCAPE '\\' THEN coalesce(({num('rtrim(trim(cell), chr(37))')}) / 100 * (n_nationkey * 100.0::DOUBLE), 0) "
-            f"ELSE coalesce({num('rtrim(trim(cell), chr(115))')}, 0) END, 6) AS seconds FROM nation CROSS JOIN (VALUES {cells}) x(cell)"
+            f"SELECT n_nationkey, cell, round(CASE WHEN cell IS NULL THEN NULL WHEN right(cell, 1) = chr(37) THEN coalesce(({num('left(cell, length(cell) - 1)')}) / 100 * (n_nationkey * 100.0::DOUBLE), 0) "
+            f"WHEN right(cell, 1) = 's' THEN coalesce({num('left(cell, length(cell) - 1)')}, 0) ELSE coalesce({num('cell')}, 0) END, 6) AS seconds FROM nation CROSS JOIN (VALUES {cells}) x(cell)"
         ),
         "o38_defaults": f"WITH {RULES} {rule('*')}",
         "o39_rename": f"WITH {det()}, {RULES} SELECT display, count(*) AS n FROM det JOIN rules USING (category, tag) GROUP BY display",
@@ -224,8 +224,8 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "SELECT p_partkey, round(coalesce(s, CASE WHEN r > 0 THEN f / r END, 0), 6) AS seconds FROM x"
         ),
         "o09_frame_rate": (
-            f"WITH x AS (SELECT p_partkey, {fps_text} AS t FROM part), y AS (SELECT *, coalesce({num('t')}, CASE WHEN t LIKE '%/%' AND ({num('split_part(t, chr(47), 2)')}) <> 0 THEN ({num('split_part(t, chr(47), 1)')}) / ({num('split_part(t, chr(47), 2)')}) END) AS r FROM x) "
-            "SELECT p_partkey, round(CASE WHEN r > 0 THEN r ELSE 30.0::DOUBLE END, 6) AS rate FROM y"
+            f"WITH x AS (SELECT p_partkey, {fps_text} AS t FROM part) SELECT p_partkey, round(coalesce({num('t')}, CASE WHEN t LIKE '%/%' THEN ({num('split_part(t, chr(47), 1)')}) / "
+            f"coalesce(nullif({num('split_part(t, chr(47), 2)')}, 0), 1) END, 30.0::DOUBLE), 6) AS rate FROM x"
         ),
         "o12_decoder": (
             "SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN NULL ELSE CASE p_partkey % 4 WHEN 0 THEN 'h264_cuvid' WHEN 1 THEN 'hevc_cuvid' WHEN 3 THEN 'vp9_cuvid' END END AS decoder, "

@@ -16,7 +16,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "cell, seconds",
-    [("12", 12), ("12s", 12), ("5%", 36), ("abc", 0), ("", 0), ("0", 0), ("-1", -1), ("5d", 0), ("1e2", 100), (" 7 ", 7), ("+.5s", 0.5), ("x%", 0), ("5f", 0), (None, None)],
+    [("12", 12), ("12s", 12), ("5%", 36), ("abc", 0), ("", 0), ("0", 0), ("-1", -1), ("5d", 0), ("1e2", 100), (" 7 ", 7), ("+.5s", 0.5), ("x%", 0), ("5f", 0), ("5% ", 0), ("12ss", 0), ("10 %", 72), (None, None)],
 )
 def test_duration_literal(spark, cell, seconds):
     assert one(spark, S.duration_literal(F.col("c"), F.lit(720.0)), c=(cell, "string")) == seconds
@@ -33,7 +33,7 @@ def test_archives(spark, path, archive, member):
     assert one(spark, S.archive_member(F.col("p")), p=(path, "string")) == member
 
 
-@pytest.mark.parametrize("text, rate", [("25", 25), ("30000/1001", 30000 / 1001), ("30/0", 30), ("x", 30), ("-5", 30), ("0", 30), (None, 30), (" 12.5 ", 12.5)])
+@pytest.mark.parametrize("text, rate", [("25", 25), ("30000/1001", 30000 / 1001), ("24/0", 24), ("x", 30), ("-5", -5), ("0", 0), ("a/b", 30), ("1/2/3", 30), (None, 30), (" 12.5 ", 12.5)])
 def test_frame_rate(spark, text, rate):
     assert one(spark, S.frame_rate(F.col("t")), t=(text, "string")) == pytest.approx(rate)
 
@@ -66,7 +66,8 @@ def test_other_scalars(spark):
     assert one(spark, S.duration(lit(None).cast("double"), lit(None).cast("int"), lit(25.0))) == 0.0
     assert one(spark, S.or_default(lit(""), None, "12")) == "12" and one(spark, S.or_default(lit(""), "9", "12")) == "9"
     assert one(spark, S.three_channels(F.array(lit(1)))) == [1, 1, 1] and one(spark, S.three_channels(F.array(lit(1), lit(2)))) is None
-    assert one(spark, S.hardware_decoder(lit("H264"), lit("yuv422p"))) is None and one(spark, S.hardware_decoder(lit("H264"), lit("nv12"))) == "h264_cuvid"
+    assert one(spark, S.hardware_decoder(lit("H264"), lit("yuv444p"))) is None and one(spark, S.hardware_decoder(lit("AVC-1 (x)"), lit("nv12"))) == "h264_cuvid"
+    assert one(spark, S.hardware_decoder(lit("mpeg2video"), lit(None).cast("string"))) == "mpeg2_cuvid" and one(spark, S.hardware_decoder(lit("gif"), lit("x"))) is None
     assert one(spark, S.active_backend(lit(None).cast("string"), False)) == "cpu" and one(spark, S.active_backend(lit("auto"), True)) == "auto"
     assert one(spark, S.frame_label(lit("gpu"), lit(24), lit(2), lit(12))) == 24 and one(spark, S.frame_label(lit("sequence"), lit(24), lit(2), lit(12))) == 2
     assert one(spark, S.shape_error(lit(3), lit(5), lit(5), 5)) is None and one(spark, S.shape_error(lit(1), lit(5), lit(5), 5))
