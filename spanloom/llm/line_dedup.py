@@ -1,17 +1,16 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one line a group.
 
 A line's normal form is lower case with every run of other characters than letters and digits as one space.
-Lines with at least ``LEAST`` words take part.  Two of them are linked if their 64-bit SimHashes (over words)
-differ in at most ``BITS`` bits and their normal forms' edit similarity is at least ``PERCENT``.  With ``BLOCKS``
-blocks, such hashes agree on ``BLOCKS - BITS`` of them, so each choice of so many blocks is a bucket key: no pair is
-missed, whatever ``BLOCKS`` is.  More blocks give longer keys, hence fewer chance meetings, for more rows a line:
-five serve some hundred million distinct lines, six some billions.  Of each connected group the first occurrence,
-by (doc_id, line number), stays.
+Lines with at least ``LEAST`` words take part.  Two of them are linked if their 64-bit SimHashes, over distinct
+words of at least ``LONG_WORD`` bytes, differ in at most ``BITS`` bits and their normal forms' edit similarity is
+at least ``PERCENT``.  With ``BLOCKS`` blocks, such hashes agree on ``BLOCKS - BITS`` of them, so each choice of so
+many blocks is a bucket key: no pair is missed, whatever ``BLOCKS`` is.  More blocks give longer keys, hence fewer
+chance meetings, for more rows a line: five serve some hundred million distinct lines, six some billions.  Of each
+connected group the first occurrence, by (doc_id, line number), stays.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
@@ -23,43 +22,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import link_buckets
-from .shared import checked_broadcast, drop, stash
-from .text_kernel import hashed_texts
+from .shared import BROADCAST_ROWS, drop, stash
+from .text_kernel import text_chunks, word_hashes, word_spans
 
-BITS, BLOCKS, PERCENT, LEAST = 3, 5, 90, 5
+BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
 _FIRST = -(1 << 63)
-_OTHER = re.compile(r"[\W_]+")
+
+
+class _Letters(dict):
+    """Code point to itself for letters and digits, to a space for all others but the line end; filled as asked."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = c = c if c.isalnum() or c == "\n" else " "
+        return c
+
+
+_LETTERS = _Letters()
 
 
 def normal(line: str) -> str:
     """The line's normal form."""
-    return _OTHER.sub(" ", line.lower()).strip()
+    return " ".join(line.lower().translate(_LETTERS).split())
+
+
+def normal_lines(text: str) -> list[str]:
+    """``normal`` of each of a text's lines."""
+    return [" ".join(x.split()) for x in text.lower().translate(_LETTERS).split("\n")]
 
 
 def line_id(form: str) -> int:
     return int.from_bytes(blake2b(form.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+#: For each byte its eight bits, lowest first, as the eight bytes of a number.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def simhashes(forms: list[str]) -> np.ndarray:
-    """One 64-bit SimHash a line, as int64: bit by bit the majority of its words' hash bits."""
+    """One 64-bit SimHash a line, as int64: bit by bit the majority over its distinct longer words' hash bits.
+
+    Words of fewer than ``LONG_WORD`` bytes, and repetitions, do not vote: the few very frequent words that most
+    lines of a language share are short, and would otherwise make unlike lines' hashes alike.  Only lines with
+    fewer than three longer words use all.  Bits are counted in byte lanes, eight at once, by runs of at most 255
+    words; lines with more words are several runs.
+    """
     out = np.zeros(len(forms), np.uint64)
-    for row, words, first in hashed_texts(pa.array(forms, pa.large_string())):
-        n = np.diff(first)
-        some = np.flatnonzero(n)
-        for lo in range(0, len(some), 4096):  # a few MB of bits at once; a longer line by itself
-            part = some[lo : lo + 4096]
-            a, b = first[part[0]], first[part[-1] + 1]
-            ones = np.zeros((len(part), 64), np.int64)
-            cut = first[part] - a
-            for at in range(0, b - a, 1 << 16):
-                stop = min(at + (1 << 16), b - a)
-                bits = np.unpackbits(words[a + at : a + stop].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                owner = np.searchsorted(cut, at, "right") - 1
-                inner = cut[(cut > at) & (cut < stop)]
-                edges = np.concatenate([[at], inner]) - at
-                ones[owner : owner + len(edges)] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
-            major = (2 * ones > n[part][:, None]).astype(np.uint8)
-            out[row + part] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+    with np.errstate(over="ignore"):
+        for row, raw, offsets in text_chunks(pa.array(forms, pa.large_string())):
+            starts, ends, first = word_spans(raw, offsets)
+            words, line = word_hashes(raw, starts, ends), np.repeat(np.arange(len(first) - 1), np.diff(first))
+            votes = ends - starts >= LONG_WORD
+            few = np.bincount(line[votes], minlength=len(first) - 1) < 3
+            votes |= few[line]
+            words, line = words[votes], line[votes]
+            order = np.lexsort((words, line))
+            words, line = words[order], line[order]
+            new = np.ones(len(words), bool)
+            new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+            words, line = words[new], line[new]
+            if not len(words):
+                continue
+            begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            n = np.diff(np.append(begin, len(line)))
+            runs = -(-n // 255)
+            skip = np.cumsum(runs) - runs
+            cut = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(skip, runs))
+            major = np.empty((len(begin), 64), np.uint8)
+            for k in range(8):
+                lanes = np.add.reduceat(_LANES[(words >> np.uint64(8 * k)) & np.uint64(255)], cut).view(np.uint8).reshape(-1, 8).astype(np.int64)
+                if len(cut) != len(begin):
+                    lanes = np.add.reduceat(lanes, skip, axis=0)
+                major[:, 8 * k : 8 * k + 8] = 2 * lanes > n[:, None]
+            out[row + line[begin]] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
     return out.view(np.int64)
 
 
@@ -100,8 +135,8 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
-def _line_rows(least: int, texts: bool):
-    """Occurrences of the lines that take part: (k, pos, id, sim), or (id, form) with texts=True."""
+def _line_rows(least: int):
+    """Occurrences of the lines that take part: (k, pos, id, sim)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,21 +144,70 @@ def _line_rows(least: int, texts: bool):
                 part = batch.slice(lo, 256)
                 keys, places, forms = [], [], []
                 for k, text in zip(part["k"].to_pylist(), part["text"]):
-                    for pos, line in enumerate((text.as_py() or "").split("\n")):
-                        form = normal(line)
+                    for pos, form in enumerate(normal_lines(text.as_py() or "")):
                         if form.count(" ") >= least - 1 and form:
                             keys.append(k)
                             places.append(pos)
                             forms.append(form)
                 ids = pa.array([line_id(f) for f in forms], pa.int64())
-                if texts:
-                    yield pa.record_batch({"id": ids, "form": pa.array(forms, pa.string())})
-                else:
-                    yield pa.record_batch({"k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(forms), pa.int64())})
+                yield pa.record_batch({"k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(forms), pa.int64())})
 
     return rows
 
 
+def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text, ids in zip(batch["text"], batch["ids"].to_pylist()):
+            wanted = set(ids)
+            found = {i: f for f in normal_lines(text.as_py() or "") if (i := line_id(f)) in wanted}
+            yield pa.record_batch({"id": pa.array(list(found), pa.int64()), "form": pa.array(list(found.values()), pa.string())})
+
+
+def _meetings(bits: int):
+    """Sorted (key, id, sim) to each bucket's (hub, other member): whether they are near, and whether the bucket
+    has more members, whose pairs have then still to be looked at.  A far pair that is a whole bucket has no row.
+
+    Of a bucket that goes on in the next batch only the hub, and a second member that may be the last, are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)  # hub, then perhaps a second member
+        large = False  # whether the held bucket has had three members
+
+        def rows(block: np.ndarray, sizes: np.ndarray, hub: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            near = np.bitwise_count((block[own, 2] ^ block[hub, 2]).view(np.uint64)) <= bits
+            more = sizes >= 3
+            take = near | more
+            return pa.record_batch({
+                "key": pa.array(block[own, 0][take]), "a": pa.array(block[hub, 1][take]), "b": pa.array(block[own, 1][take]),
+                "near": pa.array(near[take]), "more": pa.array(more[take]),
+            })
+
+        for b in batches:
+            block = np.concatenate([held, np.column_stack([b[c].to_numpy() for c in ("key", "id", "sim")])])
+            if not len(block):
+                continue
+            new = np.append(True, block[1:, 0] != block[:-1, 0])
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(block)))
+            if large and len(held):
+                sizes[0] = max(sizes[0], 3)
+            run_of = np.cumsum(new) - 1
+            own = np.flatnonzero(~new)
+            last = len(starts) - 1
+            open_two = sizes[last] == 2 and len(block) - starts[last] == 2
+            if open_two:
+                own = own[own != len(block) - 1]
+            if len(own):
+                yield rows(block, sizes[run_of[own]], starts[run_of[own]], own)
+            large = bool(sizes[last] >= 3)
+            held = block[starts[last] : starts[last] + (2 if open_two else 1)].copy()
+        if len(held) == 2:
+            yield rows(held, np.array([2]), np.array([0]), np.array([1]))
+
+    return run
+
+
 def _block(bits: int, percent: int):
     def link(task: pa.Table) -> pa.Table:
         ids, comp, sims = (task[c].to_numpy() for c in ("id", "component", "sim"))
@@ -146,7 +230,7 @@ def _block(bits: int, percent: int):
 def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """Occurrences to remove: (k, removed array<struct<pos, id>>); k is doc_id, or the least long for a null one."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k"), "text")
-    lines = stash(keyed.mapInArrow(_line_rows(least, False), "k long, pos int, id long, sim long"))
+    lines = stash(keyed.mapInArrow(_line_rows(least), "k long, pos int, id long, sim long"))
     spot = F.struct("k", "pos")
     each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
 
@@ -159,16 +243,19 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
         for i in chosen:
             key = F.shiftleft(key, size[i]).bitwiseOR(cut[i])
         keys.append(key)
-    buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id")
+    # one exchange of the bucket rows; sorted, each bucket is a run whose first id is its hub
+    buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id", "sim").repartition("key").sortWithinPartitions("key", "id")
+    met = stash(buckets.mapInArrow(_meetings(bits), "key long, a long, b long, near boolean, more boolean"))
     sims = each.select("id", "sim")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        wanted = checked_broadcast(wanted)
-        return keyed.mapInArrow(_line_rows(least, True), "id long, form string").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        """Normal forms, made again in the documents that have each wanted line first, of those lines only."""
+        firsts = stash(each.join(wanted, "id", "left_semi").select("first.k", "id"))
+        by_text = firsts.groupBy("k").agg(F.collect_list("id").alias("ids"))
+        by_text = F.broadcast(by_text) if firsts.count() <= BROADCAST_ROWS else by_text.hint("merge")
+        return keyed.join(by_text, "k").select("text", "ids").mapInArrow(_wanted_forms, "id long, form string").dropDuplicates(["id"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        x, y = sims.select(F.col("id").alias("a"), F.col("sim").alias("sa")), sims.select(F.col("id").alias("b"), F.col("sim").alias("sb"))
-        near = stash(pairs.join(x, "a").join(y, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= bits).select("a", "b"))
+    def verify(near: DataFrame) -> DataFrame:
         forms = stash(texts(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         both = near.join(forms.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
 
@@ -179,13 +266,16 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
 
         return both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long")
 
-    parts = link_buckets(buckets, None, lambda wanted: texts(wanted).join(sims, "id"), verify, _block(bits, percent))
+    stars = stash(met.where("near").select("a", "b").distinct())
+    rest = met.where("more").select("key", F.col("b").alias("id"))
+    parts = link_buckets(stars, rest, lambda wanted: texts(wanted).join(sims, "id"), verify, _block(bits, percent))
     # the first occurrence of each group; single lines that occur once need no more work
     owned = each.join(parts, "id", "left").withColumn("g", F.coalesce("component", "id"))
     firsts = owned.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
     extra = stash(owned.join(firsts, "g").select("id", "keep"))
     gone = lines.join(extra, "id").where(spot != F.col("keep")).groupBy("k").agg(F.collect_list(F.struct("pos", "id")).alias("removed"))
-    drop(parts)
+    for x in (parts, met, stars, each):
+        drop(x)
     return gone
 
 
@@ -196,20 +286,14 @@ def _rebuild(names: list[str], least: int):
             for text, removed in zip(batch["text"], batch["_removed"]):
                 text, removed = text.as_py(), removed.as_py()
                 parts = (text or "").split("\n")
-                drop_ = {(r["pos"], r["id"]) for r in removed or ()}
-                kept, some = [], 0
-                for pos, line in enumerate(parts):
-                    if drop_:
-                        form = normal(line)
-                        if form.count(" ") >= least - 1 and form:
-                            if (pos, line_id(form)) in drop_:
-                                continue
-                            some += 1
-                    kept.append(line)
-                texts.append("\n".join(kept) if drop_ else text)
+                at = {}
+                for r in removed or ():
+                    at.setdefault(r["pos"], set()).add(r["id"])
+                kept = [x for pos, x in enumerate(parts) if pos not in at or line_id(normal(x)) not in at[pos]]
+                texts.append("\n".join(kept) if at else text)
                 lines.append(len(parts) if text else 0)
                 gone.append(len(parts) - len(kept))
-                left.append(not drop_ or some > 0)
+                left.append(not at or any(normal(x).count(" ") >= least - 1 for x in kept))
             columns = {n: batch[n] for n in names} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(left)], [*columns, "n_lines", "n_removed", "has_own"])
 

@@ -53,8 +53,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def link_buckets(
-    buckets: DataFrame,
-    coarse: DataFrame | None,
+    stars: DataFrame,
+    coarse: DataFrame,
     items: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     block: Callable[[pa.Table], pa.Table],
@@ -62,17 +62,11 @@ def link_buckets(
 ) -> DataFrame:
     """Components ``(id, component)`` over the confirmed links.
 
-    buckets: ``(key, id)`` for the stars; coarse: ``(key, id)`` whose groups hold every pair that shares a
-    bucket (None: the buckets, whose hubs have then been compared with all their members and drop out); items:
-    from wanted ``(id)`` to ``(id, payload...)``; verify: candidate ``(a, b)`` to confirmed ``(a, b)``; block: a
-    task's rows ``(q boolean, x boolean, component, id, payload...)`` to confirmed links; sizes: ``(id, units)``.
+    stars: candidate ``(a, b)`` of each bucket's hub and its other members; coarse: ``(key, id)`` whose groups
+    hold every other pair that shares a bucket; items: from wanted ``(id)`` to ``(id, payload...)``; verify:
+    candidate ``(a, b)`` to confirmed ``(a, b)``; block: a task's rows ``(q boolean, x boolean, component, id,
+    payload...)`` to confirmed links; sizes: ``(id, units)``, or None for one unit each.
     """
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
-    full = buckets.join(hubs.select("key", "hub"), "key").where("id <> hub")
-    if coarse is None:
-        full = stash(full)
-        coarse = full.select("key", "id")
-    stars = full.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = stash(verify(stars))
     parts = connected_components(links)
 

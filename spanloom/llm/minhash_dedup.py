@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_buckets
-from .shared import checked_broadcast, stash
+from .shared import checked_broadcast, drop, stash
 from .text_kernel import digest, hashed_texts, mix64, shingle_set
 
 BANDS, ROWS, WIDTH, PERCENT = 14, 2, 5, 75
@@ -146,7 +146,11 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         both = likely.join(sb, "b").join(sa, "a").withColumn("k", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.expr(f"100 * k >= {percent} * (size(sa) + size(sb) - k)")).select("a", "b")
 
-    parts = link_buckets(tables, coarse, lambda _: items.drop("n"), verify, _block_linker(percent), items.select("id", F.col("n").alias("units")))
+    hubs = tables.groupBy("key").agg(F.min("id").alias("a"))
+    stars = tables.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    parts = link_buckets(stars, coarse, lambda _: items.drop("n"), verify, _block_linker(percent), items.select("id", F.col("n").alias("units")))
+    for x in (reps, lefts, tables, live, items):
+        drop(x)
     grouped = classes.join(parts, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
     grouped = grouped.groupBy("cls").agg(F.min("component_id").alias("component_id"))
     return (

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,24 @@ def stash(df: DataFrame) -> DataFrame:
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to have at most ``limit`` rows; otherwise for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+
+
+def least_count(counts: DataFrame, most: int, low: float = 1) -> float:
+    """The smallest count, ``low`` at least, that at most ``most`` rows of ``counts(n)`` reach; inf where none does.
+
+    From a histogram of count ranges (a sixteenth of an octave each), so what comes to the driver is a few hundred
+    rows for any table; a sorted limit would send ``most`` rows from every task.
+    """
+    steps = F.floor(F.log2(F.col("n").cast("double")) * 16 + 1e-9).cast("int")
+    bars = sorted(((r.s, r.k) for r in counts.where(F.col("n") >= low).groupBy(steps.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    held, edge = 0, float("inf")
+    for step, k in bars:
+        held += k
+        if held > most:
+            return edge
+        edge = max(low, float(np.ceil(2 ** (step / 16) - 1e-6)))
+    return low
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

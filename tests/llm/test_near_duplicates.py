@@ -110,11 +110,12 @@ def test_edit_distance():
 
 def test_simhash_of_long_and_empty_lines():
     long = " ".join(f"w{k % 977}" for k in range(100_000))
-    a, b, c = line_dedup.simhashes([long, "", long])
-    assert a == c and b == 0
-    words = np.array(line_dedup.simhashes([f"w{k % 977}" for k in range(100_000)]).tolist(), np.int64).view(np.uint8).reshape(-1, 8)
-    ones = np.unpackbits(words, axis=1, bitorder="little").sum(0)
-    assert np.packbits(2 * ones > 100_000, bitorder="little").view(np.int64)[0] == a
+    a, b, c, d, e, f = line_dedup.simhashes([long, "", long, "an ox", "an ox ox", "an ox is here there where"])
+    assert a == c and b == 0 and d == e
+    assert f == line_dedup.simhashes(["where there here here at no"])[0]
+    each = line_dedup.simhashes([f"w{k}" for k in range(100, 977)]).view(np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(each, axis=1, bitorder="little").astype(int).sum(0)
+    assert np.packbits(2 * ones > 877, bitorder="little").view(np.int64)[0] == a
 
 
 def test_lines_equal_brute_force(spark):
@@ -161,3 +162,28 @@ def test_lines_with_other_block_counts_agree(spark):
     results = [sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs(spark, rows), blocks=b).collect()) for b in (4, 5, 6)]
     assert results[0] == results[1] == results[2]
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_meetings_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    r = random.Random(17)
+    for _ in range(60):
+        rows, keys = [], {}
+        for k in range(r.randint(0, 12)):
+            for i in sorted(r.sample(range(100), r.choice([1, 1, 2, 2, 3, 7]))):
+                rows.append((k, i, r.choice([0, 1, 255])))
+                keys.setdefault(k, []).append(rows[-1])
+        expected = []
+        for k, members in keys.items():
+            for m in members[1:]:
+                near, more = (m[2] ^ members[0][2]).bit_count() <= 3, len(members) >= 3
+                if near or more:
+                    expected.append((k, members[0][1], m[1], near, more))
+        cuts = sorted(r.sample(range(len(rows) + 1), min(len(rows), r.randint(0, 6)))) if rows else []
+        batches = [pa.record_batch({c: pa.array([x[j] for x in rows[a:b]], pa.int64()) for j, c in enumerate(("key", "id", "sim"))}) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        got = [tuple(x.values()) for b in line_dedup._meetings(3)(iter(batches)) for x in b.to_pylist()]
+        assert {g[:4] for g in got} == {e[:4] for e in expected if e[3]} | {g[:4] for g in got if not g[3]}
+        # of a bucket with more than two members all but the hub must be seen as such, the far ones without fail
+        assert {g[:3] for g in got} >= {e[:3] for e in expected}
+        assert {(g[0], g[2]) for g in got if g[4]} >= {(e[0], e[2]) for e in expected if e[4]}
