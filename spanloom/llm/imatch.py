@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import drop, least_count, stash
 from .text_kernel import hashed_texts, mix64
 
-LOW, HIGH, MOST_TERMS, SUBSETS, FEWEST = 5e-4, 0.25, 2_000_000, 32, 8
+LOW, HIGH, MOST_TERMS, SUBSETS, FEWEST, PER_RUN = 5e-4, 0.25, 2_000_000, 32, 8, 30
 _SALT = mix64(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _FIRST = -(1 << 63)
 
@@ -41,8 +42,9 @@ def band_lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: in
     """Sorted hashes of the terms with document frequency from ``low`` (two at least) to ``high`` of all documents."""
     total = docs.count()
     counts = docs.select("text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = counts.where((F.col("n") >= max(2, low * total)) & (F.col("n") <= max(2, high * total)))
-    best = counts.orderBy(F.desc("n"), "term").limit(most).select("term").toArrow()["term"].to_numpy()
+    band = stash(counts.where((F.col("n") >= max(2, low * total)) & (F.col("n") <= max(2, high * total))))
+    best = band.where(F.col("n") >= least_count(band, most)).select("term").toArrow()["term"].to_numpy()
+    drop(band)
     return np.sort(best.view(np.uint64))
 
 
@@ -99,14 +101,17 @@ def _prints(texts: list[str], lexicon: np.ndarray) -> list[Fingerprint]:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``docs`` in runs of ascending doc_id, each run ending in a copy (``head``) of the row after it.
 
-    Runs are cut at approximate quantiles of doc_id, so none is long, and the rows that follow them are as few as
-    the runs.  After the last row comes the first.  Null ids come first; rows that share an id go by their text.
+    Runs are cut at quantiles of a few hashed doc_ids (``PER_RUN`` for each run), so none is long, and the rows that
+    follow them are as few as the runs.  After the last row comes the first.  Null ids come first; rows that share an id go by their text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    cuts = docs.select(key.alias("k")).approxQuantile("k", [i / (8 * n) for i in range(1, 8 * n)], 0.02 / n)
-    bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
+    ids = docs.select(key.alias("k"))
+    seen, runs = ids.count(), 8 * n
+    share = min(1.0, PER_RUN * runs / max(seen, 1))  # ids by their hash; they only say where to cut
+    picked = ids.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().toArrow()["k"].to_numpy()
+    bounds = np.unique(np.quantile(picked, np.arange(1, runs) / runs, method="lower")) if len(picked) else np.zeros(0, np.int64)
     keyed = docs.select(key.alias("k"), *columns)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields)
 
