@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import bpe_columns
-from spanloom.llm.line_dedup import dedup_lines
+from spanloom.llm.line_dedup import WHOLE, dedup_lines
 from spanloom.llm.minhash_dedup import near_duplicates
 from spanloom.llm.mixing import poisson_mix
 from spanloom.llm.registry import WORD_BPE, vocabulary
@@ -30,7 +30,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those made only of repeats go.  n_chars follows the text."""
-    kept = dedup_lines(docs).where("has_own")
+    kept = dedup_lines(docs, **WHOLE).where("has_own")
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length).select(*docs.columns)
 

@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one line a group.
 
 A line's normal form is lower case with every run of other characters than letters and digits as one space.
-Lines with at least ``LEAST`` words take part.  Two of them are linked if their 64-bit SimHashes, over distinct
-words of at least ``LONG_WORD`` bytes, differ in at most ``BITS`` bits and their normal forms' edit similarity is
+Lines with at least ``LEAST`` words take part.  Two of them are linked if their 64-bit SimHashes, over all
+words (``WHOLE``; by default distinct ones of at least ``LONG_WORD`` bytes), differ in at most ``BITS`` bits and their normal forms' edit similarity is
 at least ``PERCENT``.  With ``BLOCKS`` blocks, such hashes agree on ``BLOCKS - BITS`` of them, so each choice of so
 many blocks is a bucket key: no pair is missed, whatever ``BLOCKS`` is.  More blocks give longer keys, hence fewer
 chance meetings, for more rows a line: five serve some hundred million distinct lines, six some billions.  Of each
@@ -26,6 +26,8 @@ from .shared import BROADCAST_ROWS, drop, stash
 from .text_kernel import text_chunks, word_hashes, word_spans
 
 BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
+#: Options of the registered query and of the pipeline.
+WHOLE = {"every": True}
 _FIRST = -(1 << 63)
 
 
@@ -59,8 +61,9 @@ def line_id(form: str) -> int:
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def simhashes(forms: list[str]) -> np.ndarray:
-    """One 64-bit SimHash a line, as int64: bit by bit the majority over its distinct longer words' hash bits.
+def simhashes(forms: list[str], every: bool = False) -> np.ndarray:
+    """One 64-bit SimHash a line, as int64: bit by bit the majority over its distinct longer words' hash bits, or
+    with every=True over all its words.
 
     Words of fewer than ``LONG_WORD`` bytes, and repetitions, do not vote: the few very frequent words that most
     lines of a language share are short, and would otherwise make unlike lines' hashes alike.  Only lines with
@@ -72,15 +75,16 @@ def simhashes(forms: list[str]) -> np.ndarray:
         for row, raw, offsets in text_chunks(pa.array(forms, pa.large_string())):
             starts, ends, first = word_spans(raw, offsets)
             words, line = word_hashes(raw, starts, ends), np.repeat(np.arange(len(first) - 1), np.diff(first))
-            votes = ends - starts >= LONG_WORD
-            few = np.bincount(line[votes], minlength=len(first) - 1) < 3
-            votes |= few[line]
-            words, line = words[votes], line[votes]
-            order = np.lexsort((words, line))
-            words, line = words[order], line[order]
-            new = np.ones(len(words), bool)
-            new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-            words, line = words[new], line[new]
+            if not every:
+                votes = ends - starts >= LONG_WORD
+                few = np.bincount(line[votes], minlength=len(first) - 1) < 3
+                votes |= few[line]
+                words, line = words[votes], line[votes]
+                order = np.lexsort((words, line))
+                words, line = words[order], line[order]
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+                words, line = words[new], line[new]
             if not len(words):
                 continue
             begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
@@ -135,7 +139,7 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
-def _line_rows(least: int):
+def _line_rows(least: int, every: bool):
     """Occurrences of the lines that take part: (k, pos, id, sim)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def _line_rows(least: int):
                             places.append(pos)
                             forms.append(form)
                 ids = pa.array([line_id(f) for f in forms], pa.int64())
-                yield pa.record_batch({"k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(forms), pa.int64())})
+                yield pa.record_batch({"k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(forms, every), pa.int64())})
 
     return rows
 
@@ -227,10 +231,10 @@ def _block(bits: int, percent: int):
     return link
 
 
-def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False) -> DataFrame:
     """Occurrences to remove: (k, removed array<struct<pos, id>>); k is doc_id, or the least long for a null one."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k"), "text")
-    lines = stash(keyed.mapInArrow(_line_rows(least), "k long, pos int, id long, sim long"))
+    lines = stash(keyed.mapInArrow(_line_rows(least, every), "k long, pos int, id long, sim long"))
     spot = F.struct("k", "pos")
     each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
 

@@ -11,7 +11,7 @@ from .bpe import bpe_digests
 from .brown_lm import class_scores
 from .html_text import main_text
 from .imatch import fingerprints
-from .line_dedup import dedup_lines
+from .line_dedup import WHOLE, dedup_lines
 from .media import media_digests
 from .minhash_dedup import near_duplicates
 from .mixing import poisson_mix
@@ -38,7 +38,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without repeated lines: doc_id, n_lines, n_removed and the remaining text."""
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(table(spark, sf_dir, "documents"), **WHOLE).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

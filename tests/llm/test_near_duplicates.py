@@ -187,3 +187,14 @@ def test_meetings_do_not_depend_on_batches():
         # of a bucket with more than two members all but the hub must be seen as such, the far ones without fail
         assert {g[:3] for g in got} >= {e[:3] for e in expected}
         assert {(g[0], g[2]) for g in got if g[4]} >= {(e[0], e[2]) for e in expected if e[4]}
+
+
+def test_all_words_vote_in_the_registered_query():
+    lines = ["an ox ox is by us", " ".join(f"w{k % 977}" for k in range(3000)), "", "one"]
+    assert line_dedup.WHOLE["every"]
+    got = line_dedup.simhashes(lines, every=True)
+    for line, sim in zip(lines, got):
+        words = line.split()
+        each = line_dedup.simhashes(words, every=True).view(np.uint8).reshape(-1, 8)
+        ones = np.unpackbits(each, axis=1, bitorder="little").astype(int).sum(0)
+        assert np.packbits(2 * ones > len(words), bitorder="little").view(np.int64)[0] == sim
