@@ -7,6 +7,12 @@ at least ``PERCENT``.  With ``BLOCKS`` blocks, such hashes agree on ``BLOCKS - B
 many blocks is a bucket key: no pair is missed, whatever ``BLOCKS`` is.  More blocks give longer keys, hence fewer
 chance meetings, for more rows a line: five serve some hundred million distinct lines, six some billions.  Of each
 connected group the first occurrence, by (doc_id, line number), stays.
+
+So few bits miss most lines with a changed word, and pigeonhole keys for more are too short to be selective.  With
+``bands`` (``WHOLE``) the bucket keys are min-hashes over the line's neighbouring words instead, two of disjoint
+halves in a key, and the SimHash bound, set by measured recall, only spares comparisons.  A pair of Jaccard
+similarity J over neighbouring words meets with a chance of about 1 - (1 - J * J) ** bands.  In scripts written
+without spaces each letter is a word here.
 """
 
 from __future__ import annotations
@@ -23,11 +29,11 @@ from pyspark.sql import types as T
 
 from .linking import link_buckets
 from .shared import BROADCAST_ROWS, drop, stash
-from .text_kernel import text_chunks, word_hashes, word_spans
+from .text_kernel import hashed_texts, mix64, text_chunks, word_hashes, word_spans
 
 BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
 #: Options of the registered query and of the pipeline.
-WHOLE = {"every": True}
+WHOLE = {"every": True, "bits": 24, "bands": 12}
 _FIRST = -(1 << 63)
 
 
@@ -53,6 +59,23 @@ def normal_lines(text: str) -> list[str]:
     return [" ".join(x.split()) for x in text.lower().translate(_LETTERS).split("\n")]
 
 
+class _Units(dict):
+    """Letters of scripts without spaces (Thai to Myanmar, Khmer, kana, Han) to words of their own."""
+
+    def __missing__(self, point: int) -> str:
+        alone = 0x0E00 <= point < 0x10A0 or 0x1780 <= point < 0x1800 or 0x3040 <= point < 0x3130 or 0x31A0 <= point < 0xA000 or 0xF900 <= point < 0xFB00 or 0x20000 <= point < 0x40000
+        self[point] = c = f" {chr(point)} " if alone else chr(point)
+        return c
+
+
+_UNITS = _Units()
+
+
+def units(form: str) -> str:
+    """The form with spaces about each letter of scripts without spaces."""
+    return form if form.isascii() else form.translate(_UNITS)
+
+
 def line_id(form: str) -> int:
     return int.from_bytes(blake2b(form.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -102,6 +125,33 @@ def simhashes(forms: list[str], every: bool = False) -> np.ndarray:
     return out.view(np.int64)
 
 
+def band_keys(forms: list[str], bands: int) -> np.ndarray:
+    """``bands`` 32-bit values a line, as int32: each of the least hashes of two halves of its neighbouring words.
+
+    The line's start and end count as words.  Halves differ from band to band; an empty half has one fixed value.
+    """
+    out = np.zeros((len(forms), bands), np.uint32)
+    none = np.uint64(2**64 - 1)
+    with np.errstate(over="ignore"):
+        odd = mix64(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
+        for row, words, first in hashed_texts(pa.array(forms, pa.large_string())):
+            n = len(first) - 1
+            cuts = first + np.arange(n + 1)
+            own = np.zeros(len(words) + n, np.uint64)
+            own[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = mix64(words)
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[cuts[:-1]] = 0
+            pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + own)
+            for b in range(bands):
+                h = pairs * odd[b]
+                h ^= h >> np.uint64(32)
+                side = (pairs >> np.uint64(b % 64)) & np.uint64(1) == 1
+                low, high = (np.minimum.reduceat(np.where(x, h, none), cuts[:-1]) for x in (side, ~side))
+                out[row : row + n, b] = mix64(mix64(low) + high) >> np.uint64(32)
+    return out.view(np.int32)
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit-parallel columns, after common ends are cut."""
     if a == b:
@@ -139,8 +189,8 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
-def _line_rows(least: int, every: bool):
-    """Occurrences of the lines that take part: (k, pos, id, sim)."""
+def _line_rows(least: int, every: bool, bands: int):
+    """Occurrences of the lines that take part: (k, pos, id, sim, bands)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +204,12 @@ def _line_rows(least: int, every: bool):
                             places.append(pos)
                             forms.append(form)
                 ids = pa.array([line_id(f) for f in forms], pa.int64())
-                yield pa.record_batch({"k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(forms, every), pa.int64())})
+                words = [units(f) for f in forms] if bands else forms
+                ends = pa.array(np.arange(len(forms) + 1, dtype=np.int32) * bands)
+                yield pa.record_batch({
+                    "k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(words, every), pa.int64()),
+                    "bands": pa.ListArray.from_arrays(ends, pa.array(band_keys(words, bands).ravel())),
+                })
 
     return rows
 
@@ -231,24 +286,29 @@ def _block(bits: int, percent: int):
     return link
 
 
-def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False, bands: int = 0) -> DataFrame:
     """Occurrences to remove: (k, removed array<struct<pos, id>>); k is doc_id, or the least long for a null one."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k"), "text")
-    lines = stash(keyed.mapInArrow(_line_rows(least, every), "k long, pos int, id long, sim long"))
+    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands), "k long, pos int, id long, sim long, bands array<int>"))
     spot = F.struct("k", "pos")
-    each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
-
-    size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    shift = np.cumsum([0, *size])
-    cut = [F.shiftrightunsigned("sim", int(shift[i])).bitwiseAND((1 << size[i]) - 1) for i in range(blocks)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - bits)):
-        key = F.lit(k).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, size[i]).bitwiseOR(cut[i])
-        keys.append(key)
+    each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.any_value("bands").alias("bands"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
+
+    if bands:
+        key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        buckets = each.select(F.posexplode("bands").alias("band", "value"), "id", "sim").select(key.alias("key"), "id", "sim")
+    else:
+        size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+        shift = np.cumsum([0, *size])
+        cut = [F.shiftrightunsigned("sim", int(shift[i])).bitwiseAND((1 << size[i]) - 1) for i in range(blocks)]
+        keys = []
+        for k, chosen in enumerate(combinations(range(blocks), blocks - bits)):
+            key = F.lit(k).cast("long")
+            for i in chosen:
+                key = F.shiftleft(key, size[i]).bitwiseOR(cut[i])
+            keys.append(key)
+        buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id", "sim")
     # one exchange of the bucket rows; sorted, each bucket is a run whose first id is its hub
-    buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id", "sim").repartition("key").sortWithinPartitions("key", "id")
+    buckets = buckets.repartition("key").sortWithinPartitions("key", "id")
     met = stash(buckets.mapInArrow(_meetings(bits), "key long, a long, b long, near boolean, more boolean"))
     sims = each.select("id", "sim")
 

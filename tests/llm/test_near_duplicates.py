@@ -198,3 +198,29 @@ def test_all_words_vote_in_the_registered_query():
         each = line_dedup.simhashes(words, every=True).view(np.uint8).reshape(-1, 8)
         ones = np.unpackbits(each, axis=1, bitorder="little").astype(int).sum(0)
         assert np.packbits(2 * ones > len(words), bitorder="little").view(np.int64)[0] == sim
+
+
+def test_whole_options_find_what_edit_similarity_alone_finds(spark):
+    """No SimHash gate in the brute force: lines with one or two changed words, and Chinese lines."""
+    r = random.Random(21)
+    letters = "abcdefghijklmnop"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(500)]
+    forms = []
+    for k in range(60):
+        base = [r.choice(words) for _ in range(r.randint(8, 60))]
+        if k % 6 == 0:
+            base = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(40))]
+        forms.append(" ".join(base))
+        for _ in range(2):
+            t = list(forms[-1])
+            for _ in range(r.randint(1, 3) if len(t) > 60 else 1):
+                t[r.randrange(len(t))] = r.choice(letters)
+            forms.append(" ".join("".join(t).split()))
+    forms = sorted({f for f in forms if "a" <= f[0] <= "p" and len(f.split()) >= 5 or f[0] > "z"})
+    pairs = [(a, b) for a in range(len(forms)) for b in range(a) if line_dedup.similar(forms[a], forms[b])]
+    sims = line_dedup.simhashes(forms).view(np.uint64)
+    assert sum(np.bitwise_count(sims[a] ^ sims[b]) > 3 for a, b in pairs) > len(pairs) // 3
+    root = closure(len(forms), pairs)
+    options = line_dedup.WHOLE | {"least": 1}
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs(spark, list(enumerate(forms))), **options).collect()}
+    assert got == {i: int(root[i] != i) for i in range(len(forms))}
