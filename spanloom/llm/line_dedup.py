@@ -12,7 +12,8 @@ So few bits miss most lines with a changed word, and pigeonhole keys for more ar
 ``bands`` (``WHOLE``) the bucket keys are min-hashes over the line's neighbouring words instead, two of disjoint
 halves in a key, and the SimHash bound, set by measured recall, only spares comparisons.  A pair of Jaccard
 similarity J over neighbouring words meets with a chance of about 1 - (1 - J * J) ** bands.  In scripts written
-without spaces each letter is a word here.
+without spaces each letter is a word here.  ``WHOLE`` lets every line with a normal form take part; those of fewer
+than ``letters`` letters and digits are grouped with their exact repeats only.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .text_kernel import hashed_texts, mix64, text_chunks, word_hashes, word_spa
 
 BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
 #: Options of the registered query and of the pipeline.
-WHOLE = {"every": True, "bits": 24, "bands": 12}
+WHOLE = {"every": True, "bits": 24, "bands": 12, "least": 1, "letters": 20}
 _FIRST = -(1 << 63)
 
 
@@ -189,7 +190,7 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
-def _line_rows(least: int, every: bool, bands: int):
+def _line_rows(least: int, every: bool, bands: int, letters: int):
     """Occurrences of the lines that take part: (k, pos, id, sim, bands)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +205,12 @@ def _line_rows(least: int, every: bool, bands: int):
                             places.append(pos)
                             forms.append(form)
                 ids = pa.array([line_id(f) for f in forms], pa.int64())
-                words = [units(f) for f in forms] if bands else forms
-                ends = pa.array(np.arange(len(forms) + 1, dtype=np.int32) * bands)
+                fuzzy = np.array([len(f) - f.count(" ") >= letters for f in forms], bool)
+                words = [units(f) if x else "" for f, x in zip(forms, fuzzy)] if bands else forms
+                ends = pa.array(np.append(0, np.cumsum(fuzzy * bands)).astype(np.int32))
                 yield pa.record_batch({
                     "k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(words, every), pa.int64()),
-                    "bands": pa.ListArray.from_arrays(ends, pa.array(band_keys(words, bands).ravel())),
+                    "bands": pa.ListArray.from_arrays(ends, pa.array(band_keys([w for w, x in zip(words, fuzzy) if x], bands).ravel())),
                 })
 
     return rows
@@ -286,10 +288,10 @@ def _block(bits: int, percent: int):
     return link
 
 
-def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False, bands: int = 0) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False, bands: int = 0, letters: int = 0) -> DataFrame:
     """Occurrences to remove: (k, removed array<struct<pos, id>>); k is doc_id, or the least long for a null one."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k"), "text")
-    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands), "k long, pos int, id long, sim long, bands array<int>"))
+    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands, letters), "k long, pos int, id long, sim long, bands array<int>"))
     spot = F.struct("k", "pos")
     each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.any_value("bands").alias("bands"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
 

@@ -224,3 +224,9 @@ def test_whole_options_find_what_edit_similarity_alone_finds(spark):
     options = line_dedup.WHOLE | {"least": 1}
     got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs(spark, list(enumerate(forms))), **options).collect()}
     assert got == {i: int(root[i] != i) for i in range(len(forms))}
+
+
+def test_short_and_spaceless_lines_take_part(spark):
+    rows = [(1, "All rights reserved\nown line\n\n***\n所有权利均予保留"), (2, "ALL rights reserved.\n\n***\n所有权利均予保留\nother"), (3, "end\nend\nbend")]
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(docs(spark, rows), **line_dedup.WHOLE).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n***\nother", 2), 3: ("end\nbend", 1)}
