@@ -345,7 +345,7 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
     return gone
 
 
-def _rebuild(names: list[str], least: int):
+def _rebuild(names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, gone, left = [], [], [], []
@@ -359,7 +359,7 @@ def _rebuild(names: list[str], least: int):
                 texts.append("\n".join(kept) if at else text)
                 lines.append(len(parts) if text else 0)
                 gone.append(len(parts) - len(kept))
-                left.append(not at or any(normal(x).count(" ") >= least - 1 for x in kept))
+                left.append(not at or any(normal(x) for x in kept))
             columns = {n: batch[n] for n in names} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(left)], [*columns, "n_lines", "n_removed", "has_own"])
 
@@ -369,7 +369,7 @@ def _rebuild(names: list[str], least: int):
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated lines, and n_lines, n_removed, has_own; clashing columns are replaced.
 
-    has_own is false where every line that takes part was a repeat.  A null text stays null.  Rows that share a
+    has_own is false where lines were removed and none of the remaining ones has a letter or digit.  A null text stays null.  Rows that share a
     doc_id are one document: their equal lines at equal places are one occurrence.
     """
     docs = docs.drop("n_lines", "n_removed", "has_own", "_removed", "_k")
@@ -377,4 +377,4 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     joined = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))).join(gone, "_k", "left").drop("_k")
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("has_own", T.BooleanType())]
-    return joined.mapInArrow(_rebuild(names, options.get("least", LEAST)), T.StructType([*docs.schema.fields, *extra]))
+    return joined.mapInArrow(_rebuild(names), T.StructType([*docs.schema.fields, *extra]))

@@ -230,3 +230,11 @@ def test_short_and_spaceless_lines_take_part(spark):
     rows = [(1, "All rights reserved\nown line\n\n***\n所有权利均予保留"), (2, "ALL rights reserved.\n\n***\n所有权利均予保留\nother"), (3, "end\nend\nbend")]
     got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(docs(spark, rows), **line_dedup.WHOLE).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\n***\nother", 2), 3: ("end\nbend", 1)}
+
+
+def test_unique_short_lines_keep_their_document(spark):
+    footer = "this footer stands below every page"
+    rows = [(1, footer), (2, f"flour\ntwo eggs\n{footer}"), (3, f"{footer}\n\n--"), (4, f"面粉\n{footer}")]
+    for options in ({}, line_dedup.WHOLE):
+        got = {x.doc_id: (x.has_own, x.text) for x in line_dedup.dedup_lines(docs(spark, rows), **options).collect()}
+        assert got == {1: (True, footer), 2: (True, "flour\ntwo eggs"), 3: (False, "\n--"), 4: (True, "面粉")}
