@@ -184,10 +184,21 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def _bag(form: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(63), minlength=64)
+
+
 def similar(a: str, b: str, percent: int = PERCENT) -> bool:
+    """Whether the edit similarity is ``percent`` at least; most other pairs already differ in more letters than allowed."""
     longest = max(len(a), len(b))
     allowed = longest * (100 - percent) // 100
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    if longest > 20:
+        more = _bag(a) - _bag(b)
+        if int(np.abs(more).sum()) + abs(len(a) - len(b)) > 2 * allowed:  # twice the larger of letters to add, to take
+            return False
+    return edit_distance(a, b) <= allowed
 
 
 def _line_rows(least: int, every: bool, bands: int, letters: int):
@@ -276,7 +287,7 @@ def _block(bits: int, percent: int):
         forms, held = task["form"], np.flatnonzero(is_x)
         a, b = [], []
         for q in np.flatnonzero(is_q):
-            near = held[np.bitwise_count((sims[held] ^ sims[q]).view(np.uint64)) <= bits]
+            near = held[(np.bitwise_count((sims[held] ^ sims[q]).view(np.uint64)) <= bits) & (comp[held] != comp[q])]
             done = {comp[q]}
             for x in near:
                 if comp[x] not in done and similar(forms[q].as_py(), forms[x].as_py(), percent):

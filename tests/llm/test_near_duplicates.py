@@ -238,3 +238,15 @@ def test_unique_short_lines_keep_their_document(spark):
     for options in ({}, line_dedup.WHOLE):
         got = {x.doc_id: (x.has_own, x.text) for x in line_dedup.dedup_lines(docs(spark, rows), **options).collect()}
         assert got == {1: (True, footer), 2: (True, "flour\ntwo eggs"), 3: (False, "\n--"), 4: (True, "面粉")}
+
+
+def test_similar_equals_edit_distance():
+    r = random.Random(3)
+    for _ in range(400):
+        a = "".join(r.choice("abc dé面粉\U0001f600") for _ in range(r.randint(0, 90)))
+        b = list(a)
+        for _ in range(r.randint(0, 12)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 2)] = r.choice(["", "a", "面", "bc"])
+        b = "".join(b)
+        assert line_dedup.similar(a, b) == (slow_distance(a, b) <= max(len(a), len(b)) * 10 // 100)
