@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text_kernel import text_chunks, word_hashes, word_spans
+from .text_kernel import mix64, text_chunks, word_hashes, word_spans
 
-MAX_ROWS, MAX_TERMS, MIN_SHARE, MIN_LIFT, WINDOW, LONGEST = 20_000, 500, 0.01, 20.0, 5, 32
+MAX_ROWS, MAX_TERMS, MIN_SHARE, MIN_LIFT, WINDOW, LONGEST_TERM, LEAST = 20_000, 500, 0.01, 20.0, 5, 32, 4
 #: Signs commonly put for letters, quotation marks, words that report another's speech.
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 QUOTES = "\"'“”‘’«»„‹›`"
@@ -96,6 +97,17 @@ class LexiconAutomaton:
         self.arcs[state][c] = to = self._state(after)
         return to
 
+    def inside(self, run: str, at: int) -> bool:
+        """Whether a term begins at a place in a run."""
+        node = 0
+        for k in range(at, len(run)):
+            node = self.next[node].get(run[k], -1)
+            if node < 0:
+                return False
+            if self.ends[node][0] >= 0:
+                return True
+        return False
+
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term index) of the nearest term within its bound, or None."""
         state, letters = self.start, self.letters
@@ -110,9 +122,25 @@ class LexiconAutomaton:
         return self.accept[state]
 
 
-_EDGE = re.compile(r"^\W+|\W+$")
+_CORE = re.compile(r"\w(?:.*\w)?", re.S)
 _MARK = re.compile(r"[\W\d_]")
-_REPEAT = re.compile(r"(.)\1+")
+_RUN = re.compile(r"(.)\1*", re.S)
+_CUT = re.compile(r"[^\w*@$!|#%]+|_+")
+#: Letters of scripts written without spaces: Thai to Myanmar, Khmer, kana, Han.
+_ALONE = "\u0e00-\u109f\u1780-\u17ff\u3040-\u312f\u31a0-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SPACELESS = re.compile(f"[{_ALONE}]+")
+GRAMS = (2, 3, 4)
+
+
+def _core(word: str) -> str:
+    found = _CORE.search(word)
+    return found[0] if found else ""
+
+
+def _runs(word: str) -> tuple[str, list[int]]:
+    """The word with every run of one letter squeezed to one, and the runs' lengths."""
+    runs = [(m[1], m.end() - m.start()) for m in _RUN.finditer(word)]
+    return "".join(c for c, _ in runs), [n for _, n in runs]
 
 
 class Scorer:
@@ -120,31 +148,50 @@ class Scorer:
 
     def __init__(self, terms: list[str]):
         self.automaton = LexiconAutomaton(terms)
-        self.squeezed = {_REPEAT.sub(r"\1", t) for t in self.automaton.terms}
-
-    def kind(self, word: str) -> int:
-        """0: no match, 1: a plain misspelling, 2: the term itself or a disguise of it."""
-        word = word.lower()
-        core = _EDGE.sub("", word)
+        self.stretched: dict[str, list[list[int]]] = {}
+        for t in self.automaton.terms:
+            letters, runs = _runs(t)
+            self.stretched.setdefault(letters, []).append(runs)
+
+    def _whole(self, word: str) -> int:
+        core = _core(word)
+        if not core:
+            return 0
         found = self.automaton.match(core)
         if found and found[0] == 0:
             return 2
+        letters, runs = _runs(core)
+        if any(all(a >= b for a, b in zip(runs, term)) for term in self.stretched.get(letters, ())):
+            return 2  # letters of a term, some of them repeated
         if _MARK.search(word):
-            plain = _EDGE.sub("", word.strip(".,;:?()[]{}" + QUOTES).translate(PLAIN))
+            plain = _core(word.strip(".,;:?()[]{}" + QUOTES).translate(PLAIN))
             other = self.automaton.match(plain)
             if other and (other[0] == 0 or _MARK.search(core) and other[0] == 1):
                 return 2
-        if found and _REPEAT.sub(r"\1", core) in self.squeezed:
-            return 2
         return 1 if found else 0
 
+    def kind(self, word: str) -> int:
+        """0: no match, 1: a plain misspelling, 2: the term itself or a disguise of it.
+
+        Of a run that signs divide each part counts too, of one in a script without spaces each place in it.
+        """
+        word = word.lower()
+        best = self._whole(word)
+        if best < 2 and _CUT.search(word):
+            best = max(best, max((self._whole(part) for part in set(_CUT.split(word)) if part), default=0))
+        if best < 2:
+            for run in _SPACELESS.finditer(word):
+                if any(self.automaton.inside(run[0], k) for k in range(len(run[0]))):
+                    return 2
+        return best
+
     def features(self, column: pa.Array) -> np.ndarray:
         """One row for each text: FEATURES."""
         out = np.zeros((len(column), len(FEATURES)))
         with np.errstate(over="ignore"):
             for row, raw, offsets in text_chunks(column):
                 starts, ends, first = word_spans(raw, offsets)
-                short = np.flatnonzero((ends - starts <= LONGEST) & (ends - starts >= 3))
+                short = np.flatnonzero(ends - starts >= 3)
                 _, at, inverse = np.unique(word_hashes(raw, starts, ends)[short], return_index=True, return_inverse=True)
                 at = short[at]
                 data = raw.tobytes()
@@ -170,29 +217,69 @@ class Scorer:
         into[2 if opened and closed or reported else 0 if kind == 2 else 1] += 1
 
 
+_LETTER = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, term, place, kin0, kin1, kin2) of each text's possible terms."""
+    for batch in batches:
+        for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
+            raw = text.lower().split()
+            codes = np.array([hash_word(w) for w in raw] or [0], np.uint64)
+            threes = mix64(mix64(mix64(codes[:-2]) + codes[1:-1]) + codes[2:]) if len(codes) > 2 else codes
+            kin = [int(mix64(threes ^ np.uint64(k)).min().view(np.int64)) for k in range(3)]
+            found = set()
+            for k, w in enumerate(raw):
+                if w[0] in QUOTES or w.rstrip(".,;:!?")[-1:] in QUOTES:
+                    continue
+                m = _LETTER.search(w)
+                if m and 4 <= len(m[0]) <= LONGEST_TERM:
+                    found.add((m[0], int(codes[k - 1].view(np.int64)) if k else 0))
+            for run in _SPACELESS.findall(text):
+                found.update((run[k : k + n], kin[0]) for n in GRAMS for k in range(len(run) - n + 1))
+            terms = sorted(found)
+            yield pa.record_batch({
+                "toxic": pa.array([toxic] * len(terms), pa.int64()), "term": pa.array([t for t, _ in terms], pa.string()), "place": pa.array([x for _, x in terms], pa.int64()),
+                **{f"kin{k}": pa.array([x] * len(terms), pa.int64()) for k, x in enumerate(kin)},
+            })
+
+
+def hash_word(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
 def learn_lexicon(rows: DataFrame) -> list[str]:
-    """Terms of ``rows(text, toxic)``; a term counts once a document, equal texts are one document."""
+    """Terms of ``rows(text, toxic)``: those in far more places of toxic texts than of others.
+
+    A place is the word before a term.  A term counts no more often than its texts have distinct least hashes of
+    three words, by any of three hashes: near copies of one document mostly share those, so they and equal texts
+    count about once, as does one document, however long.
+
+    Words with a quotation mark at an end are mentions and count on neither side.  Runs in scripts without spaces
+    count by their letter sequences of ``GRAMS`` letters.
+    """
     rows = rows.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    words = F.transform(F.split(F.lower(F.col("text")), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    words = F.array_distinct(F.filter(words, lambda w: F.length(w).between(4, LONGEST)))
     sides = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, clean = int(sides[0]), int(sides[1] - sides[0])
     if not toxic or not clean:
         return []
-    terms = rows.select(F.explode(words).alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    lift = (F.col("t") + 0.01) / toxic / ((F.col("n") - F.col("t") + 0.5) / clean)
-    least = max(3, int(np.ceil(MIN_SHARE * toxic)))
+    spots = ("place", "kin0", "kin1", "kin2")
+    terms = rows.select("toxic", "text").mapInArrow(_term_rows, "toxic long, term string, place long, kin0 long, kin1 long, kin2 long")
+    terms = terms.groupBy("term", "toxic").agg(F.least(*(F.count_distinct(c) for c in spots)).alias("n"))
+    terms = terms.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(side) for side, k in (("t", 1), ("c", 0))))
+    lift = (F.col("t") + 0.01) / toxic / ((F.col("c") + 0.5) / clean)
+    least = max(LEAST, int(np.ceil(MIN_SHARE * toxic)))
     best = terms.where((F.col("t") >= least) & (lift >= MIN_LIFT)).orderBy(F.desc("t"), "term").limit(MAX_TERMS)
     return [r.term for r in best.collect()]
 
 
-def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Logistic weights, drawn to PRIOR by a ridge penalty; Newton steps."""
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Logistic weights, drawn to PRIOR by a ridge penalty; Newton steps.  n: how often each row counts."""
     x = np.column_stack([np.ones(len(x)), x])
     w, pull = PRIOR.copy(), strength * np.diag([0.01] + [1.0] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (y - p) - pull @ (w - PRIOR))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + pull, x.T @ (n * (y - p)) - pull @ (w - PRIOR))
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -204,38 +291,50 @@ def held_out(column="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def _share(most: int, found: int) -> int:
+    """A threshold for hashes below 2**30 that about ``most`` of ``found`` rows pass; five deviations below it on average."""
+    return int((most - 5 * most**0.5) / found * (1 << 30)) if found > most else 1 << 30
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[float]]:
-    """Lexicon and weights from at most ``max_rows`` labelled rows outside the held-out fifth."""
+    """Lexicon and weights from at most ``max_rows`` labelled rows outside the held-out fifth.
+
+    Where a document's labels differ, one toxic label makes it toxic.  Null texts and labels teach nothing.
+    """
+    small = lambda found, *by: F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < _share(max_rows, found)
     labels = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    found = labels.count()
-    if found > max_rows:  # rows whose hash is small: five deviations below the bound on average, so never beyond it
-        share = (max_rows - 5 * max_rows**0.5) / found
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(labels), "doc_id").where("text is not null").select("text", F.col("toxic").cast("long")).cache()
+    labels = labels.where(small(labels.count(), "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(labels), "doc_id").where("text is not null")
+    rows = rows.groupBy("doc_id", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.first("toxic").cast("long").alias("toxic"), F.count("*").alias("n"))
+    rows = rows.cache()
     try:
-        terms = learn_lexicon(rows)
-        if rows.limit(1).count() == 0:
+        found = rows.count()
+        used = rows.where(small(found, "doc_id", "t")) if found > max_rows else rows  # repeated ids with many texts
+        terms = learn_lexicon(used)
+        if not found:
             return [], PRIOR.tolist()
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(terms)
             for b in batches:
-                yield pa.record_batch({"toxic": b["toxic"]} | {n: pa.array(v) for n, v in zip(FEATURES, scorer.features(b["text"]).T)})
+                yield pa.record_batch({"toxic": b["toxic"], "n": b["n"]} | {n: pa.array(v) for n, v in zip(FEATURES, scorer.features(b["text"]).T)})
 
-        # duplicates of a (features, label) pair are one row with a weight: at most max_rows rows of six numbers
-        got = rows.mapInArrow(featured, "toxic long, " + ", ".join(f"{n} double" for n in FEATURES)).toPandas()
+        # equal features with one label are one row: at most max_rows rows of seven numbers
+        got = used.mapInArrow(featured, "toxic long, n long, " + ", ".join(f"{n} double" for n in FEATURES))
+        got = got.groupBy("toxic", *FEATURES).agg(F.sum("n").alias("n")).toPandas()
     finally:
         rows.unpersist()
     got = got.sort_values(got.columns.tolist())
-    return terms, fit(got[list(FEATURES)].to_numpy(), got["toxic"].to_numpy(float)).tolist()
+    return terms, fit(got[list(FEATURES)].to_numpy(), got["toxic"].to_numpy(float), got["n"].to_numpy(float)).tolist()
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """``docs`` columns doc_id, held_out, score, predicted, strong, weak, mention (match counts).
 
     A null or empty text has no matches and the model's base score; without usable labels the prior weights and
-    an empty lexicon apply, which predict 0.
+    an empty lexicon apply, which predict 0.  Texts and single words of any length are read whole.  Repeated rows
+    are scored each alike; other columns, whatever their names, are not read.
     """
     terms, weights = train(docs, labels, max_rows)
     return apply_scores(docs.select("doc_id", "text"), terms, weights).drop("text").select(

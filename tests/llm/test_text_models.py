@@ -155,6 +155,39 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_long_runs_and_scripts_without_spaces():
+    s = toxicity.Scorer(["idiot", "asshole", "笨蛋"])
+    assert [s.kind(w) for w in ("you/" * 30 + "idiot", "x,x," * 2000 + "idiot,x", "idiot" + "!" * 50_000, "你是一个笨蛋吗", "aasshholle")] == [2, 2, 2, 2, 2]
+    assert [s.kind(w) for w in ("你是一个", "a" + "!" * 50_000 + "b", "ashole", "x/y/z", "!!!", "")] == [0, 0, 1, 0, 0, 0]
+
+
+def test_quoted_terms_are_not_abuse(spark):
+    """Documents that only quote or report a term are clean, those that use it are toxic; both hold the same terms."""
+    r = random.Random(14)
+    rows, labels = [], []
+    for i in range(600):
+        words = [r.choice(["tree", "house", "river", "stone"]) + str(r.randrange(9)) for _ in range(30)]
+        kind, term, k = i % 3, r.choice(["idiot", "scumbag", "loser"]), r.randrange(2, 28)
+        if kind:
+            words[k] = f'"{term}"' if kind == 1 else term
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(kind == 2)))
+    got = toxicity.toxicity_scores(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [x for x in got if x.held_out]
+    assert sum(x.predicted == labels[x.doc_id][2] for x in held) / len(held) > 0.97
+    assert all(x.mention > 0 for x in got if x.doc_id % 3 == 1)
+
+
+def test_conflicting_labels_and_repeated_ids(spark):
+    d, labels, truth = labelled(spark, 300)
+    twice = labels.unionByName(labels.selectExpr("doc_id", "quality", "0 as toxic"))
+    many = d.unionByName(d).unionByName(docs(spark, [(3, f"tree house {k}") for k in range(400)]))
+    terms, weights = toxicity.train(many, twice, max_rows=200)
+    assert set(terms) <= {"idiot", "scumbag", "loser"} and len(weights) == 6
+    long = docs(spark, [(1, "river " * 300_000 + "idiot"), (2, "x" * 2_000_000)])
+    assert toxicity.apply_scores(long.select("doc_id", "text"), ["idiot"], toxicity.PRIOR.tolist()).orderBy("doc_id").select("strong").collect() == [(1,), (0,)]
+
+
 def test_language_model_base_and_normalisation(spark):
     r = random.Random(13)
     rows = [(i, " ".join(r.choice("aa bb cc dd ee ff gg".split()) * r.randint(1, 2) + (str(i) if r.random() < 0.1 else "") for _ in range(r.randint(0, 40)))) for i in range(120)]
