@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import checked_broadcast
 from .text_kernel import mix64, text_chunks, word_hashes, word_spans
 
 MAX_ROWS, MAX_TERMS, MIN_SHARE, MIN_LIFT, WINDOW, LONGEST_TERM, LEAST = 20_000, 500, 0.01, 20.0, 5, 32, 4
@@ -264,11 +265,15 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     if not toxic or not clean:
         return []
     spots = ("place", "kin0", "kin1", "kin2")
-    terms = rows.select("toxic", "text").mapInArrow(_term_rows, "toxic long, term string, place long, kin0 long, kin1 long, kin2 long")
-    terms = terms.groupBy("term", "toxic").agg(F.least(*(F.count_distinct(c) for c in spots)).alias("n"))
-    terms = terms.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(side) for side, k in (("t", 1), ("c", 0))))
+    words = rows.select("toxic", "text").mapInArrow(_term_rows, "toxic long, term string, place long, kin0 long, kin1 long, kin2 long")
+    side = lambda k, n: F.coalesce(F.sum(F.when(F.col("toxic") == k, n)), F.lit(0))
     lift = (F.col("t") + 0.01) / toxic / ((F.col("c") + 0.5) / clean)
     least = max(LEAST, int(np.ceil(MIN_SHARE * toxic)))
+    # the distinct counts are of those terms only that toxic texts hold often enough, and twice as often as others, at all
+    often = words.groupBy("term").agg(side(1, F.lit(1)).alias("t"), side(0, F.lit(1)).alias("c"))
+    often = often.where((F.col("t") >= least) & (F.col("t") / toxic >= 2 * F.col("c") / clean)).select("term")
+    terms = words.join(checked_broadcast(often), "term", "left_semi").groupBy("term", "toxic").agg(F.least(*(F.count_distinct(c) for c in spots)).alias("n"))
+    terms = terms.groupBy("term").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("c"))
     best = terms.where((F.col("t") >= least) & (lift >= MIN_LIFT)).orderBy(F.desc("t"), "term").limit(MAX_TERMS)
     return [r.term for r in best.collect()]
 
