@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import link_buckets
-from .shared import BROADCAST_ROWS, drop, stash
+from .shared import checked_broadcast, drop, stash
 from .text_kernel import hashed_texts, mix64, text_chunks, word_hashes, word_spans
 
 BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
 #: Options of the registered query and of the pipeline.
 WHOLE = {"every": True, "bits": 24, "bands": 12, "least": 1, "letters": 20}
 _FIRST = -(1 << 63)
+PAIR_BINS, BLOCK_LINES, SEEN = 128, 3000, 500_000
 
 
 class _Letters(dict):
@@ -153,88 +154,137 @@ def band_keys(forms: list[str], bands: int) -> np.ndarray:
     return out.view(np.int32)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns, after common ends are cut."""
+def _common(a: str, b: str, i: int, j: int) -> int:
+    """How many characters agree from a[i] and b[j] on."""
+    n, step = 0, 16
+    while a[i + n : i + n + step] == b[j + n : j + n + step]:
+        if not a[i + n : i + n + step]:
+            return n
+        n += step
+        step *= 2
+    while step > 1:  # the slices of length step differ or one is at its end
+        step //= 2
+        if a[i + n : i + n + step] == b[j + n : j + n + step] and len(a) >= i + n + step and len(b) >= j + n + step:
+            n += step
+    return n
+
+
+def _few_edits(a: str, b: str, most: int) -> int | None:
+    """Levenshtein distance if it is at most ``most``: for each number of edits how far each diagonal reaches."""
+    shift, reach = len(b) - len(a), {0: _common(a, b, 0, 0)}
+    if reach[0] >= len(a) and not shift:
+        return 0
+    for d in range(1, most + 1):
+        now = {}
+        for k in range(-d, d + 1):
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -1), reach.get(k + 1, -2) + 1)
+            i = min(i, len(a), len(b) - k)
+            if i < 0 or i + k < 0:
+                continue
+            i += _common(a, b, i, i + k)
+            if k == shift and i >= len(a):
+                return d
+            now[k] = i
+        reach = now
+    return None
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance; with ``most`` any larger number where it is larger than that."""
     if a == b:
         return 0
-    lo, n = 0, min(len(a), len(b))
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not a or not b:
-        return len(a) + len(b)
+    few = _few_edits(a, b, 4 if most is None else min(4, most))
+    if few is not None:
+        return few
+    if most is not None and most <= 4:
+        return most + 1
     if len(a) > len(b):
         a, b = b, a
+    if not a:
+        return len(b)
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
     m, full = len(a), (1 << len(a)) - 1
     up, down, score, top = full, 0, m, 1 << (m - 1)
-    for c in b:
+    for k, c in enumerate(b):
         eq = places.get(c, 0)
         x = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | (full & ~(x | up)), up & x
         score += bool(plus & top) - bool(minus & top)
+        if most is not None and score - (len(b) - 1 - k) > most:
+            return most + 1
         plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
         x = eq | down
         up, down = minus | (full & ~(x | plus)), plus & x
     return score
 
 
-def _bag(form: str) -> np.ndarray:
-    return np.bincount(np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(63), minlength=64)
+def similar(a: str, b: str, percent: int = PERCENT) -> bool:
+    """Whether the edit similarity is ``percent`` at least."""
+    allowed = max(len(a), len(b)) * (100 - percent) // 100
+    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b, allowed) <= allowed
+
 
+def _profiles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the forms, and for each how many of its neighbouring letter pairs fall into each of ``PAIR_BINS`` bins."""
+    length = np.fromiter(map(len, forms), np.int64, len(forms))
+    code = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(forms)), length)
+    inner = row[1:] == row[:-1]
+    bins = (code[:-1] * np.uint32(2654435761) ^ code[1:] * np.uint32(2246822519)) >> np.uint32(25)
+    counts = np.bincount(row[1:][inner] * PAIR_BINS + bins[inner], minlength=len(forms) * PAIR_BINS)
+    return length, counts.reshape(len(forms), PAIR_BINS).astype(np.int32)
 
-def similar(a: str, b: str, percent: int = PERCENT) -> bool:
-    """Whether the edit similarity is ``percent`` at least; most other pairs already differ in more letters than allowed."""
-    longest = max(len(a), len(b))
-    allowed = longest * (100 - percent) // 100
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    if longest > 20:
-        more = _bag(a) - _bag(b)
-        if int(np.abs(more).sum()) + abs(len(a) - len(b)) > 2 * allowed:  # twice the larger of letters to add, to take
-            return False
-    return edit_distance(a, b) <= allowed
+
+def _possible(la, ca, lb, cb, percent: int) -> np.ndarray:
+    """Rows that may be similar: an edit changes at most four counts of letter pairs by one, so no pair is lost."""
+    allowed = np.maximum(la, lb) * (100 - percent) // 100
+    out = np.abs(la - lb) <= allowed
+    at = np.flatnonzero(out)
+    wide = lambda c: c[at] if c.ndim == 2 else c
+    out[at] = np.abs(wide(ca) - wide(cb)).sum(1) <= 4 * (allowed[at] if allowed.ndim else allowed)
+    return out
 
 
 def _line_rows(least: int, every: bool, bands: int, letters: int):
-    """Occurrences of the lines that take part: (k, pos, id, sim, bands)."""
+    """Occurrences of the lines that take part: (k, pos, id), and with a line's first in the task (sim, bands, form)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for lo in range(0, len(batch["text"]), 256):
                 part = batch.slice(lo, 256)
-                keys, places, forms = [], [], []
+                keys, places, ids, fresh = [], [], [], {}
+                if len(seen) > SEEN:
+                    seen.clear()  # what is asked again is only given again
                 for k, text in zip(part["k"].to_pylist(), part["text"]):
                     for pos, form in enumerate(normal_lines(text.as_py() or "")):
-                        if form.count(" ") >= least - 1 and form:
+                        if form and form.count(" ") >= least - 1:
+                            i = line_id(form)
+                            if i not in seen:
+                                seen.add(i)
+                                fresh[len(ids)] = form
                             keys.append(k)
                             places.append(pos)
-                            forms.append(form)
-                ids = pa.array([line_id(f) for f in forms], pa.int64())
+                            ids.append(i)
+                forms = list(fresh.values())
                 fuzzy = np.array([len(f) - f.count(" ") >= letters for f in forms], bool)
                 words = [units(f) if x else "" for f, x in zip(forms, fuzzy)] if bands else forms
+                sim, at = simhashes(words, every), np.full(len(ids), -1)
+                at[list(fresh)] = np.arange(len(forms))
+                take = pa.array(at, mask=at < 0)
                 ends = pa.array(np.append(0, np.cumsum(fuzzy * bands)).astype(np.int32))
+                keyed = pa.ListArray.from_arrays(ends, pa.array(band_keys([w for w, x in zip(words, fuzzy) if x], bands).ravel()))
                 yield pa.record_batch({
-                    "k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": ids, "sim": pa.array(simhashes(words, every), pa.int64()),
-                    "bands": pa.ListArray.from_arrays(ends, pa.array(band_keys([w for w, x in zip(words, fuzzy) if x], bands).ravel())),
+                    "k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": pa.array(ids, pa.int64()),
+                    "sim": pa.array(sim, pa.int64()).take(take), "bands": keyed.take(take),
+                    "form": pa.array([f if x else None for f, x in zip(forms, fuzzy)], pa.string()).take(take),
                 })
 
     return rows
 
 
-def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text, ids in zip(batch["text"], batch["ids"].to_pylist()):
-            wanted = set(ids)
-            found = {i: f for f in normal_lines(text.as_py() or "") if (i := line_id(f)) in wanted}
-            yield pa.record_batch({"id": pa.array(list(found), pa.int64()), "form": pa.array(list(found.values()), pa.string())})
-
-
 def _meetings(bits: int):
     """Sorted (key, id, sim) to each bucket's (hub, other member): whether they are near, and whether the bucket
     has more members, whose pairs have then still to be looked at.  A far pair that is a whole bucket has no row.
@@ -284,13 +334,15 @@ def _block(bits: int, percent: int):
     def link(task: pa.Table) -> pa.Table:
         ids, comp, sims = (task[c].to_numpy() for c in ("id", "component", "sim"))
         is_q, is_x = (task[c].to_numpy(zero_copy_only=False) for c in ("q", "x"))
-        forms, held = task["form"], np.flatnonzero(is_x)
+        forms, held = task["form"].to_pylist(), np.flatnonzero(is_x)
+        length, pairs = _profiles(forms)
         a, b = [], []
         for q in np.flatnonzero(is_q):
             near = held[(np.bitwise_count((sims[held] ^ sims[q]).view(np.uint64)) <= bits) & (comp[held] != comp[q])]
+            near = near[_possible(length[near], pairs[near], length[q], pairs[q], percent)]
             done = {comp[q]}
             for x in near:
-                if comp[x] not in done and similar(forms[q].as_py(), forms[x].as_py(), percent):
+                if comp[x] not in done and similar(forms[q], forms[x], percent):
                     done.add(comp[x])
                     a.append(ids[q])
                     b.append(ids[x])
@@ -302,9 +354,9 @@ def _block(bits: int, percent: int):
 def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False, bands: int = 0, letters: int = 0) -> DataFrame:
     """Occurrences to remove: (k, removed array<struct<pos, id>>); k is doc_id, or the least long for a null one."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k"), "text")
-    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands, letters), "k long, pos int, id long, sim long, bands array<int>"))
+    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands, letters), "k long, pos int, id long, sim long, bands array<int>, form string"))
     spot = F.struct("k", "pos")
-    each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.any_value("bands").alias("bands"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
+    each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.any_value("bands", F.lit(True)).alias("bands"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
 
     if bands:
         key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -326,26 +378,26 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
     sims = each.select("id", "sim")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        """Normal forms, made again in the documents that have each wanted line first, of those lines only."""
-        firsts = stash(each.join(wanted, "id", "left_semi").select("first.k", "id"))
-        by_text = firsts.groupBy("k").agg(F.collect_list("id").alias("ids"))
-        by_text = F.broadcast(by_text) if firsts.count() <= BROADCAST_ROWS else by_text.hint("merge")
-        return keyed.join(by_text, "k").select("text", "ids").mapInArrow(_wanted_forms, "id long, form string").dropDuplicates(["id"])
+        """Normal forms of the wanted lines."""
+        return lines.where("form is not null").select("id", "form").join(checked_broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
 
     def verify(near: DataFrame) -> DataFrame:
-        forms = stash(texts(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        forms = stash(texts(stash(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
         both = near.join(forms.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
-                good = [similar(p.as_py(), q.as_py(), percent) for p, q in zip(t["fa"], t["fb"])]
-                yield pa.record_batch({"a": t["a"], "b": t["b"]}).filter(pa.array(good, pa.bool_()))
+                fa, fb = t["fa"].to_pylist(), t["fb"].to_pylist()
+                good = _possible(*_profiles(fa), *_profiles(fb), percent)
+                for k in np.flatnonzero(good):
+                    good[k] = similar(fa[k], fb[k], percent)
+                yield pa.record_batch({"a": t["a"], "b": t["b"]}).filter(pa.array(good))
 
         return both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long")
 
     stars = stash(met.where("near").select("a", "b").distinct())
     rest = met.where("more").select("key", F.col("b").alias("id"))
-    parts = link_buckets(stars, rest, lambda wanted: texts(wanted).join(sims, "id"), verify, _block(bits, percent))
+    parts = link_buckets(stars, rest, lambda wanted: texts(wanted).join(sims, "id"), verify, _block(bits, percent), block_units=BLOCK_LINES)
     # the first occurrence of each group; single lines that occur once need no more work
     owned = each.join(parts, "id", "left").withColumn("g", F.coalesce("component", "id"))
     firsts = owned.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")

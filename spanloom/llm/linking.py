@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import drop, stash
 
-#: Payload units (shingles, lines) in one block of one task.
-BLOCK_UNITS = 1_000_000
+#: Payload units (shingles) in one block of one task, which compares at most so many with as many.
+BLOCK_UNITS = 250_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -59,14 +59,16 @@ def link_buckets(
     verify: Callable[[DataFrame], DataFrame],
     block: Callable[[pa.Table], pa.Table],
     sizes: DataFrame | None = None,
+    block_units: int = BLOCK_UNITS,
 ) -> DataFrame:
     """Components ``(id, component)`` over the confirmed links.
 
     stars: candidate ``(a, b)`` of each bucket's hub and its other members; coarse: ``(key, id)`` whose groups
     hold every other pair that shares a bucket; items: from wanted ``(id)`` to ``(id, payload...)``; verify:
     candidate ``(a, b)`` to confirmed ``(a, b)``; block: a task's rows ``(q boolean, x boolean, component, id,
-    payload...)`` to confirmed links; sizes: ``(id, units)``, or None for one unit each.
+    payload...)`` to confirmed links; sizes: ``(id, units)``, or None for one unit each; block_units: a block's units, on either side of a task.
     """
+    spark = stars.sparkSession
     links = stash(verify(stars))
     parts = connected_components(links)
 
@@ -81,7 +83,7 @@ def link_buckets(
     )
     open_rows = known.join(main, "key")
     out = F.col("component") != F.col("main")
-    blocks = lambda total: F.greatest(F.lit(1), F.ceil(total / BLOCK_UNITS)).cast("int")
+    blocks = lambda total: F.greatest(F.lit(1), F.ceil(total / block_units)).cast("int")
     dealt = open_rows.groupBy("key").agg(
         blocks(F.sum("_u")).alias("nx"), blocks(F.sum(F.when(out, F.col("_u")))).alias("nq")
     )
@@ -102,7 +104,9 @@ def link_buckets(
         ).alias("t"),
     ).select("key", "t.*", "id", "component")
     tasks = stash(tasks)
-    more = tasks.join(items(tasks.select("id").distinct()), "id").groupBy("key", "bq", "bx").applyInArrow(block, "a long, b long")
+    # an explicit count, since what a task costs are pairs, not the bytes that adaptive coalescing goes by
+    dealt = tasks.join(items(tasks.select("id").distinct()), "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "bq", "bx")
+    more = dealt.groupBy("key", "bq", "bx").applyInArrow(block, "a long, b long")
     more = stash(more.distinct())
     joined = links.unionAll(more)
     done = connected_components(joined)

@@ -96,9 +96,8 @@ def _block_linker(percent: int):
             if not len(n):
                 continue
             at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            both = np.bincount(posted[at], minlength=len(ids))
-            near = (100 * both >= percent * (size[q] + size - both)) & (comp != comp[q]) & (both > 0)
-            hit = np.flatnonzero(near)
+            met, both = np.unique(posted[at], return_counts=True)
+            hit = met[(100 * both >= percent * (size[q] + size[met] - both)) & (comp[met] != comp[q])]
             if len(hit):
                 _, one = np.unique(comp[hit], return_index=True)
                 a += [ids[q]] * len(one)
