@@ -231,6 +231,72 @@ def test_exchange_never_lowers_the_likelihood():
     assert all(b >= a - 1e-6 for a, b in zip(steps, steps[1:]))
 
 
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_part(terms):
+    """{(density, subset): value} of a set of term hashes, by the definition."""
+    start, out = max(0, len(terms).bit_length() - 1), {}
+    for d in range(start, imatch.DEPTH):
+        for k in range(imatch.SUBSETS):
+            salt = plain_mix((k + 1) * 0xA0761D6478BD642F % 2**64)
+            kept = [t for t in sorted(terms) if plain_mix(t ^ salt) >> (64 - d) == 0]
+            if kept:
+                power, total = 1, 0
+                for t in kept:
+                    power = power * 0x9E3779B97F4A7C15 % 2**64
+                    total += plain_mix(t) * power
+                out[d, k] = plain_mix(total % 2**64) % 255 + 1
+    return start, out
+
+
+def plain_like(x, y):
+    equal = seen = 0
+    for w, (s, a), (t, b) in zip((1, imatch.OUTSIDE), x, y):
+        lo = max(s if a else 0, t if b else 0)
+        spots = {p for p in a.keys() | b.keys() if p[0] >= lo}
+        equal += w * sum(a.get(p) == b.get(p) for p in spots)
+        seen += w * len(spots)
+    return equal / seen if seen else 0.0
+
+
+def plain_text(parts):
+    each = []
+    for s, values in parts:
+        depth = max((d for d, _ in values), default=-1)
+        each.append(f"{s:x}:" + bytes(values.get((d, k), 0) for d in range(s, depth + 1) for k in range(imatch.SUBSETS)).hex() if values else "-")
+    return ".".join(each)
+
+
+def test_fingerprints_equal_their_definition(spark):
+    r = random.Random(22)
+    words = [f"t{k}" for k in range(700)]
+    rows = [(i * 2, " ".join(["the"] * 3 + [r.choice(words) for _ in range(r.choice([1, 3, 20, 90, 300]))])) for i in range(40)]
+    rows += [(81, "of a text without company"), (83, None), (85, rows[3][1] + " " + rows[4][1])]
+    texts = [t or "" for _, t in rows]
+    df = Counter(w for t in texts for w in set(t.split()))
+    code = {w: int(next(hashed_texts(pa.array([w])))[1][0]) for t in texts for w in t.split()}
+    lexicon = {w for w, n in df.items() if 2 <= n <= imatch.HIGH * len(rows)}
+    part = lambda t: [plain_part({code[w] for w in t.split() if (w in lexicon) == inside}) for inside in (True, False)]
+    got = sorted(imatch.fingerprints(docs(spark, rows)).collect(), key=lambda x: x.doc_id)
+    for k, x in enumerate(got):
+        after = texts[(k + 1) % len(texts)]
+        assert x.fingerprint == plain_text(part(texts[k])) or not texts[k], k
+        assert abs(x.near_next - (1.0 if texts[k] == after else plain_like(part(texts[k]), part(after)))) < 1e-9, k
+
+
+def test_likeness_follows_jaccard_at_any_sizes():
+    base = [f"w{k}" for k in range(4000)]
+    lexicon = np.sort(next(hashed_texts(pa.array([" ".join(base)])))[1])
+    for a, b in (((0, 127), (0, 256)), ((0, 300), (100, 400)), ((0, 100), (0, 1500)), ((0, 3000), (600, 3600)), ((0, 50), (60, 110))):
+        x, y = imatch._prints([" ".join(base[slice(*a)]), " ".join(base[slice(*b)])], lexicon)
+        both = len(set(range(*a)) & set(range(*b)))
+        assert abs(x.like(y) - both / (a[1] - a[0] + b[1] - b[0] - both)) < 0.2
+
+
 def test_fingerprints(spark):
     r = random.Random(21)
     words = [f"t{k}" for k in range(2000)]
@@ -253,3 +319,16 @@ def test_fingerprints_of_one_and_no_row(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     assert imatch.fingerprints(docs(spark, [])).count() == 0
     assert imatch.fingerprints(docs(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (2, "c")])).count() == 4
+
+
+def test_runs_divide_rows_of_one_id(spark, monkeypatch):
+    """Many rows without an id, in many small runs: every text's next one is the next by hash, the last's the first."""
+    monkeypatch.setattr(imatch, "RUN_BYTES", 64)
+    rows = [(None, f"text number {k} " * (k % 5)) for k in range(300)] + [(k, "other " * k) for k in range(20)]
+    got = imatch.fingerprints(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and {x.doc_id for x in got} == {None, *range(20)}
+    placed = imatch.with_next(docs(spark, rows), ["doc_id", "text"]).collect()
+    heads, runs = [x for x in placed if x["head"]], {x.run for x in placed}
+    assert len(heads) == len(runs) > 30
+    order = [(x.k, x.h) for x in sorted((x for x in placed if not x["head"]), key=lambda x: (x.run, x.k, x.h))]
+    assert order == sorted(order)
