@@ -39,36 +39,59 @@ def _group(weights: dict[str, float]):
     return F.when(F.col("source").isin(named), F.col("source")).otherwise(REST) if named else F.lit(REST)
 
 
-def distribution(rate: float) -> list[float]:
-    """Poisson probabilities of at most 0, 1, ...; until what remains is below 2**-54."""
-    p = math.exp(-rate)
-    if p < 1e-280:
-        raise ValueError(f"a rate of {rate:g} is beyond what one document may be repeated")
-    steps, total, k = [], 0.0, 0
-    while True:
-        total += p
-        steps.append(total)
-        k += 1
-        p *= rate / k
-        if k > rate and p < 2.0**-60:
-            return steps
+def distribution(rate: float) -> tuple[int, list[float]]:
+    """(k, Poisson probabilities of at most k, k + 1, ...); what lies below k, and remains at the end, is below 2**-54.
+
+    Weights are relative to the likeliest count, so no rate is too large; the list is about 17 * sqrt(rate) long.
+    """
+    mode = int(rate)
+    below, k, w = [], mode, 1.0
+    while k > 0 and w > 2.0**-60:
+        w *= k / rate
+        k -= 1
+        below.append(w)
+    above, j, w = [], mode, 1.0
+    while w > 2.0**-62:
+        j += 1
+        w *= rate / j
+        above.append(w)
+    weights = [*reversed(below), 1.0, *above]
+    whole, total, steps = math.fsum(weights), 0.0, []
+    for x in weights:
+        total += x
+        steps.append(total / whole)
+    return k, steps
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until it is none of the columns."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float], *, budget: float = 1.0, size: str | None = None, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """``docs`` rows repeated by their Poisson counts, in a global shuffle, with a ``copy`` number from 1.
 
     Sources without a weight share that of ``REST``; groups without one (or with weight 0) are left out, since
-    their target is none.  Rows with one doc_id have one count; a null doc_id hashes as the empty string.
+    their target is none.  Rows with one doc_id have one count and, for each copy number, one place in the order, in
+    which they may stand in any sequence; a null doc_id hashes as the empty string.  A column named ``copy`` is
+    replaced; all others, whatever their names, and texts of any length, null or empty, pass through.
     """
     rates = group_rates(docs, weights, budget=budget, size=size)
-    steps = F.create_map(*(x for g, r in rates.items() for x in (F.lit(g), F.array(*map(F.lit, distribution(r)))))) if rates else F.lit(None).cast("map<string,array<double>>")
+    drawn = {g: distribution(r) for g, r in rates.items()}
+    by_group = lambda f, kind: F.create_map(*(x for g, d in drawn.items() for x in (F.lit(g), f(d)))) if drawn else F.lit(None).cast(f"map<string,{kind}>")
+    steps = by_group(lambda d: F.array(*map(F.lit, d[1])), "array<double>")
+    least = by_group(lambda d: F.lit(d[0]), "int")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = _uniform(F.lit(seed), key)
+    group = _group(weights)
     # the draw is an array element, so that it is hashed once and not for each step of the distribution
-    below = F.transform(F.array(u), lambda v: F.size(F.filter(F.element_at(steps, _group(weights)), lambda c: c <= v)))
-    count = F.coalesce(F.element_at(below, 1), F.lit(0))
-    drawn = docs.drop("copy").withColumn("_n", count).where("_n > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    below = F.transform(F.array(u), lambda v: F.size(F.filter(F.element_at(steps, group), lambda c: c <= v)))
+    count = F.coalesce(F.element_at(below, 1) + F.element_at(least, group), F.lit(0))
+    docs = docs.drop("copy")
+    n, place = _free(docs, "_n"), _free(docs, "_place")
+    copies = docs.withColumn(n, count).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
     order = F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string")))
-    out = copies.withColumn("_o", order).orderBy("_o").drop("_o")
+    out = copies.withColumn(place, order).orderBy(place).drop(place)
     return out.select(*keep) if keep else out

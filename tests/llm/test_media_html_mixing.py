@@ -147,6 +147,25 @@ def test_mix_equals_inverted_distribution(spark):
     assert mixing.poisson_mix(docs.limit(0), weights).count() == 0
 
 
+def test_distribution_at_any_rate():
+    for rate in (1e-9, 0.3, 1.0, 7.5, 80.0, 644.0, 5000.0, 1e6):
+        k, steps = mixing.distribution(rate)
+        assert steps == sorted(steps) and abs(steps[-1] - 1) < 1e-12 and len(steps) < 100 + 20 * math.sqrt(rate)
+        mean = sum((k + i) * (b - a) for i, (a, b) in enumerate(zip([0.0, *steps], steps)))
+        assert mean == pytest.approx(rate, rel=1e-6)
+        if rate < 100:
+            assert steps[0] == pytest.approx(sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(k + 1)), rel=1e-9)
+
+
+def test_rare_source_and_clashing_columns(spark):
+    rows = [(i, "t", "a", i, 2 * i) for i in range(3000)] + [(9000, None, "rare", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _n long, _place long")
+    out = mixing.poisson_mix(docs, {"rare": 0.3, "*": 0.7})
+    assert out.columns == [*docs.columns, "copy"]
+    got = out.collect()
+    assert 700 < sum(x.source == "rare" for x in got) < 1100 and all(x._place == 2 * x._n for x in got)
+
+
 def test_registered_sql_agrees(spark):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
