@@ -108,73 +108,180 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def _tables(data: memoryview, start: int, end: int, found: dict) -> list[dict]:
-    """Each track's leaf boxes, by walking the containers."""
-    tracks = []
-    for kind, lo, hi in boxes(data, start, end):
-        if kind == b"trak":
-            own: dict = {}
-            _tables(data, lo, hi, own)
-            tracks.append(own)
-        elif kind in CONTAINERS:
-            tracks += _tables(data, lo, hi, found)
-        else:
-            found[kind] = (lo, hi)
-    return tracks
-
-
-def _column(data: memoryview, at: int, n: int, kind: str = ">u4") -> np.ndarray:
+def _tables(data: memoryview) -> tuple[list[dict], list[dict], dict]:
+    """Tracks and track fragments, each with its leaf boxes, and the defaults of later fragments by track number.
+
+    The nesting is walked with an own stack, so its depth is bounded by the file alone.
+    """
+    tracks, parts, defaults = [], [], {}
+    todo: list[tuple[int, int, dict, int]] = [(0, len(data), {}, 0)]
+    while todo:
+        start, end, found, moof = todo.pop()
+        inner = []
+        for kind, lo, hi in boxes(data, start, end):
+            if kind in (b"trak", b"traf"):
+                own = {"moof": moof}
+                (tracks if kind == b"trak" else parts).append(own)
+                inner.append((lo, hi, own, moof))
+            elif kind in CONTAINERS:
+                inner.append((lo, hi, found, lo - 8 if kind == b"moof" else moof))
+            elif kind == b"trex":
+                track, _, duration, size, flags = struct.unpack_from(">5I", data, lo + 4)
+                defaults[track] = (duration, size, flags)
+            elif kind == b"trun":
+                found.setdefault("runs", []).append((lo, hi))
+            else:
+                found[kind] = (lo, hi)
+        todo += reversed(inner)
+    return tracks, parts, defaults
+
+
+def _column(data: memoryview, at: int, n: int, kind: str = ">u4", end: int | None = None) -> np.ndarray:
+    """``n`` numbers of a table; ValueError where the box, or the file, is too short for so many."""
+    if at + n * np.dtype(kind).itemsize > (len(data) if end is None else end):
+        raise ValueError(f"a table of {n} entries at {at} goes beyond its box")
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def probe(container: bytes) -> dict:
-    """Codec, timescale, duration, samples' offsets and sizes, keyframe positions; of the first track."""
-    data = memoryview(container)
-    tracks = _tables(data, 0, len(data), {})
-    if not tracks:
-        raise ValueError("no track")
-    t = tracks[0]
-    count = lambda kind: struct.unpack_from(">I", data, t[kind][0] + 4)[0]
-    at = t[b"mdhd"][0]
-    scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
+def _table(data: memoryview, box: tuple[int, int], width: int = 1, kind: str = ">u4") -> np.ndarray:
+    """A full box's table of counted entries, each of ``width`` numbers."""
+    return _column(data, box[0] + 8, width * struct.unpack_from(">I", data, box[0] + 4)[0], kind, box[1])
+
+
+def _stored_samples(data: memoryview, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Offsets, sizes, keyframes and chunk ranges by a track's sample tables."""
+    if b"stsz" not in t:
+        raise ValueError("no table of sample sizes")
     fixed, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
-    sizes = np.full(n, fixed, np.int64) if fixed else _column(data, t[b"stsz"][0] + 12, n)
-    chunk = _column(data, t[b"co64"][0] + 8, count(b"co64"), ">u8") if b"co64" in t else _column(data, t[b"stco"][0] + 8, count(b"stco"))
-    runs = _column(data, t[b"stsc"][0] + 8, 3 * count(b"stsc")).reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1)))
-    if per.sum() != n or len(per) != len(chunk):
+    if fixed and n * fixed > len(data):
+        raise ValueError(f"{n} samples of {fixed} bytes are more than the file")
+    sizes = np.full(n, fixed, np.int64) if fixed else _column(data, t[b"stsz"][0] + 12, n, end=t[b"stsz"][1])
+    chunk = _table(data, t[b"co64"], kind=">u8") if b"co64" in t else _table(data, t[b"stco"])
+    runs = _table(data, t[b"stsc"], 3).reshape(-1, 3)
+    steps = np.diff(np.append(runs[:, 0], len(chunk) + 1))
+    if (steps < 0).any() or int(steps.sum()) != len(chunk) or int((runs[:, 1] * steps).sum()) != n:
         raise ValueError("sample tables disagree")
+    per = np.repeat(runs[:, 1], steps)
     # a sample starts at its chunk's offset plus the sizes before it in that chunk
     before = np.concatenate([[0], np.cumsum(sizes)])
     first = np.cumsum(per) - per
     owner = np.repeat(np.arange(len(chunk)), per)
     offsets = chunk[owner] + before[:-1] - before[first[owner]]
-    keys = _column(data, t[b"stss"][0] + 8, count(b"stss")) - 1 if b"stss" in t else np.arange(n)
+    keys = _table(data, t[b"stss"]) - 1 if b"stss" in t else np.arange(n)
+    if len(keys) and not 0 <= int(keys.min()) <= int(keys.max()) < n:
+        raise ValueError("a sync sample is none of the samples")
     ends = chunk + before[first + per] - before[first]
-    return {"codec": codec, "timescale": scale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys,
-            "chunks": list(zip(chunk.tolist(), ends.tolist()))}
+    return offsets, sizes, keys, list(zip(chunk.tolist(), ends.tolist()))
+
+
+def _fragment_samples(data: memoryview, part: dict, defaults: dict) -> tuple[int, list, list, list, int]:
+    """Track number, offsets, sizes, sync marks and duration of a track fragment's runs."""
+    at = part[b"tfhd"][0]
+    flags, track = struct.unpack_from(">II", data, at)
+    flags, at = flags & 0xFFFFFF, at + 8
+    base, duration, size, mark = part["moof"], *defaults.get(track, (0, 0, 0))
+    if flags & 1:
+        base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+    at += 4 if flags & 2 else 0
+    fields = [8, 16, 32]
+    values = [duration, size, mark]
+    for k, bit in enumerate(fields):
+        if flags & bit:
+            values[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+    duration, size, mark = values
+    offsets, sizes, syncs, total = [], [], [], 0
+    place = base
+    for lo, hi in part.get("runs", ()):
+        own, n = struct.unpack_from(">II", data, lo)
+        own, at, first = own & 0xFFFFFF, lo + 8, None
+        if own & 1:
+            place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+        if own & 4:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if own & bit]
+        if not columns and n * max(size, 1) > len(data):
+            raise ValueError(f"a run of {n} samples is more than the file")
+        table = _column(data, at, n * len(columns), end=hi).reshape(n, len(columns))
+        of = {bit: table[:, k] for k, bit in enumerate(columns)}
+        each = of.get(0x200, np.full(n, size, np.int64))
+        marks = of.get(0x400, np.full(n, mark, np.int64)).copy()
+        if first is not None and n:
+            marks[0] = first
+        total += int(of[0x100].sum()) if 0x100 in of else n * duration
+        offsets += (place + np.concatenate([[0], np.cumsum(each)[:-1]])).tolist() if n else []
+        sizes += each.tolist()
+        syncs += (marks & 0x10000 == 0).tolist()
+        place += int(each.sum())
+    return track, offsets, sizes, syncs, total
+
+
+def probe_tracks(container: bytes) -> list[dict]:
+    """Of every track: number, kind, codec, timescale, duration, its samples' offsets and sizes, keyframe positions.
+
+    Samples are those of the sample tables, then those of movie fragments.
+    """
+    data = memoryview(container)
+    tracks, parts, defaults = _tables(data)
+    if not tracks:
+        raise ValueError("no track")
+    out = []
+    for t in tracks:
+        at = t[b"mdhd"][0]
+        scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+        codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
+        number = struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in t else 0
+        kind = bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in t else ""
+        offsets, sizes, keys, chunks = _stored_samples(data, t)
+        out.append({"track": number, "kind": kind, "codec": codec, "timescale": scale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys, "chunks": chunks})
+    by = {t["track"]: t for t in out}
+    for part in parts:
+        track, offsets, sizes, syncs, duration = _fragment_samples(data, part, defaults)
+        if track not in by:
+            raise ValueError(f"a fragment of track {track}, which there is not")
+        t, n = by[track], len(by[track]["sizes"])
+        t["keys"] = np.append(t["keys"], n + np.flatnonzero(np.array(syncs, bool)))
+        t["offsets"], t["sizes"] = np.append(t["offsets"], np.array(offsets, np.int64)), np.append(t["sizes"], np.array(sizes, np.int64))
+        t["chunks"] = t["chunks"] + [(o, o + s) for o, s in zip(offsets, sizes)]
+        t["duration"] += duration
+    return out
 
 
+def probe(container: bytes) -> dict:
+    """``probe_tracks`` of the first video track, or of the first one where none is video."""
+    tracks = probe_tracks(container)
+    return next((t for t in tracks if t["kind"] == "vide"), tracks[0])
+
+
+_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+_TRACK = pa.struct([("kind", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)])
 INDEX = (
-    "codec string, timescale long, duration long, n_samples long, "
-    "keyframes array<struct<offset: long, size: long>>, error string"
+    "codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset: long, size: long>>, "
+    "tracks array<struct<kind: string, codec: string, timescale: long, duration: long, n_samples: long, keyframes: array<struct<offset: long, size: long>>>>, error string"
 )
-_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+
+
+def _track_row(t: dict) -> dict:
+    ranges = [{"offset": int(o), "size": int(s)} for o, s in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]])]
+    return {n: t[n] for n in ("kind", "codec", "timescale", "duration")} | {"n_samples": len(t["sizes"]), "keyframes": ranges}
 
 
 def _index_row(container: bytes | None) -> dict:
+    names = ("codec", "timescale", "duration", "n_samples", "keyframes")
     try:
-        p = probe(container or b"")
-        ranges = [{"offset": int(o), "size": int(s)} for o, s in zip(p["offsets"][p["keys"]], p["sizes"][p["keys"]])]
-        return {"codec": p["codec"], "timescale": p["timescale"], "duration": p["duration"], "n_samples": len(p["sizes"]), "keyframes": ranges, "error": None}
-    except (ValueError, KeyError, IndexError, struct.error) as e:
-        return dict.fromkeys(("codec", "timescale", "duration", "n_samples", "keyframes")) | {"error": str(e) or type(e).__name__}
+        tracks = [_track_row(t) for t in probe_tracks(container or b"")]
+        main = next((t for t in tracks if t["kind"] == "vide"), tracks[0])
+        return {n: main[n] for n in names} | {"tracks": tracks, "error": None}
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
+        return dict.fromkeys((*names, "tracks")) | {"error": str(e) or type(e).__name__}
 
 
 def media_columns(frames: DataFrame, column: str = "media") -> DataFrame:
-    """``frames`` with the container's index as further columns (prefix ``media_``); the payload stays untouched."""
-    kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _RANGES), ("error", pa.string())])
+    """``frames`` with the container's index as further columns (prefix ``media_``); the payload stays untouched.
+
+    The columns are those of the first video track (or first track); ``media_tracks`` has all tracks.  A null, empty
+    or malformed container has only ``media_error``.
+    """
+    kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _RANGES), ("tracks", pa.list_(_TRACK)), ("error", pa.string())])
 
     @F.arrow_udf(f"struct<{INDEX}>")
     def index(values: pa.Array) -> pa.Array:
@@ -210,7 +317,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Each text stored as a container, read back through its sample tables, with digests and index columns."""
+    """Each text stored as a container, read back through its sample tables, with digests and index columns.
+
+    A null text counts as empty and is one frame of zero bytes; a text of any length is one container, so a task
+    holds a few times its longest text.  Repeated rows are repeated in the result; other columns are not read.
+    """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _digests,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "

@@ -44,6 +44,52 @@ def test_other_writers_tables():
     assert p["offsets"].tolist() == [1000, 2000, 2005, 2007] and p["sizes"].tolist() == [3, 5, 2, 7] and p["keys"].tolist() == [0, 1, 2, 3]
 
 
+def fragmented():
+    """A movie without samples and two fragments of two tracks, with every kind of run field."""
+    box, full, u = media._box, media._full, lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def trak(number, kind, codec):
+        stbl = box(b"stbl", full(b"stsd", u(1), box(codec, bytes(8))), full(b"stsz", u(0, 0)), full(b"stsc", u(0)), full(b"stco", u(0)))
+        return box(b"trak", full(b"tkhd", u(0, 0, number, 0, 0)), box(b"mdia", full(b"mdhd", u(0, 0, 1000, 0)), full(b"hdlr", bytes(4), kind, bytes(12)), box(b"minf", stbl)))
+
+    head = box(b"ftyp", b"iso5") + box(b"moov", trak(1, b"soun", b"mp4a"), trak(2, b"vide", b"avc1"), box(b"mvex", full(b"trex", u(2, 1, 40, 7, 0x10000)), full(b"trex", u(1, 1, 20, 5, 0))))
+    video = box(b"traf", full(b"tfhd", u(2), flags=0), full(b"trun", u(3), struct.pack(">i", 100), u(0, 40, 11, 50, 12, 60, 13), flags=1 | 4 | 0x100 | 0x200))
+    sound = box(b"traf", full(b"tfhd", u(1, 9), flags=16), full(b"trun", u(2), struct.pack(">i", 300), flags=1), full(b"trun", u(1)))
+    return head + box(b"moof", full(b"mfhd", u(1)), video, sound) + box(b"mdat", bytes(400)), len(head)
+
+
+def test_fragments_and_all_tracks(spark):
+    data, at = fragmented()
+    sound, video = media.probe_tracks(data)
+    assert (sound["codec"], sound["duration"], sound["sizes"].tolist(), sound["keys"].tolist()) == ("mp4a", 60, [9, 9, 9], [0, 1, 2])
+    assert sound["offsets"].tolist() == [at + 300, at + 309, at + 318]
+    assert (video["codec"], video["duration"], video["sizes"].tolist(), video["keys"].tolist()) == ("avc1", 150, [11, 12, 13], [0])
+    assert video["offsets"].tolist() == [at + 100, at + 111, at + 123] and media.probe(data)["codec"] == "avc1"
+    row = media.media_columns(spark.createDataFrame([(1, bytearray(data))], "id int, media binary")).first()
+    assert row.media_codec == "avc1" and [t.codec for t in row.media_tracks] == ["mp4a", "avc1"] and row.media_keyframes == [(at + 100, 11)]
+
+
+def test_hostile_containers_are_errors():
+    box, full = media._box, media._full
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    stbl = lambda *x: box(b"moov", box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">4I", 0, 0, 1, 1)), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"abcd", bytes(8))), *x)))))
+    tail = (full(b"stsc", struct.pack(">4I", 1, 1, 1, 1)), full(b"stco", struct.pack(">2I", 1, 0)))
+    bad = [
+        deep, b"", b"junk", stbl(), stbl(full(b"stsz", struct.pack(">II", 0, 2**32 - 1)), *tail), stbl(full(b"stsz", struct.pack(">II", 9, 2**32 - 1)), *tail),
+        stbl(full(b"stsz", struct.pack(">III", 0, 1, 1)), full(b"stsc", struct.pack(">4I", 1, 1, 2**32 - 1, 1)), tail[1]),
+        stbl(full(b"stsz", struct.pack(">III", 0, 1, 1)), full(b"stsc", struct.pack(">I", 2**31)), tail[1]),
+        stbl(full(b"stsz", struct.pack(">III", 0, 1, 1)), *tail, full(b"stss", struct.pack(">II", 1, 7))),
+    ]
+    for data in bad:
+        row = media._index_row(data)
+        assert row["error"] and row["codec"] is None, data[:80]
+    good = media.pack(bytes(640))
+    for cut in range(0, len(good), 7):  # any truncation
+        media._index_row(good[:cut])
+
+
 def test_media_digests_and_columns(spark):
     rows = [(1, "héllo"), (2, None), (3, ""), (4, "z" * 70_000), (5, "héllo"), (None, "q")]
     got = {r.doc_id: r for r in media.media_digests(texts(spark, rows)).collect()}
