@@ -33,6 +33,35 @@ LONG, NEVER = 64, 1 << 30
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile("[\t\n\v\f\r \x85\xa0  -     　]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: Ranges of code points that are younger than the library's tables of letters and numbers, which so
+#: are neither to it, and the lower case of those capitals among them that its case table already has.
+YOUNG_RANGES = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x1C89, 0x1C89), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CB, 0xA7CC), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DA), (0xA7DC, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10D50, 0x10D65), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+]
+YOUNG_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{p: p + 0x20 for p in range(0x10D50, 0x10D66)}, **{p: p + 0x1B for p in range(0x16EA0, 0x16EB9)},
+}
+#: Ranges of combining marks that are younger than the library's normalisation tables, where they
+#: are letters like any other: what they stand between is composed apart.
+YOUNG_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+MARKS = regex.compile("([" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in YOUNG_MARKS) + "])")
+_YOUNG = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in YOUNG_RANGES)
+YOUNG = regex.compile(f"[{_YOUNG}]")
+CUT_YOUNG = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_YOUNG}]]+|[\p{{N}}--[{_YOUNG}]]|[[^\s\p{{L}}\p{{N}}]||[{_YOUNG}]]+")
 
 
 @lru_cache(1)
@@ -238,7 +267,9 @@ class BpeCodec:
                 if value is None:
                     del young[c]
                     # lower case letter by letter: sigma has no final form here
-                    cuts[c] = words = [w.encode() for w in CUT.findall(c.replace("Σ", "σ").lower())]
+                    low = c.replace("Σ", "σ").lower()
+                    found_words = CUT.findall(low) if low.isascii() or not YOUNG.search(low) else CUT_YOUNG.findall(low.translate(YOUNG_LOWER))
+                    cuts[c] = words = [w.encode() for w in found_words]
                     for w in words:
                         unseen[w] = None
                     continue
@@ -264,7 +295,7 @@ class BpeCodec:
                 out.append((self.specials[part], part))
             elif part:
                 if not unicodedata.is_normalized("NFC", part):
-                    part = unicodedata.normalize("NFC", part)
+                    part = "".join([unicodedata.normalize("NFC", x) for x in MARKS.split(part)])
                 out += filter(None, SPACE.split(part)) if ODD_SPACE.search(part) else part.split()
         return out
 

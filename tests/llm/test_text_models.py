@@ -77,6 +77,21 @@ def test_bpe_equals_library(spark):
     assert bpe_digests(docs(spark, []), path).count() == 0
 
 
+def test_every_code_point_equals_library():
+    path = files.path("word_bpe_49k.json")
+    t, codec = tokenizers.Tokenizer.from_file(path), BpeCodec(load_spec(path))
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for lo in range(0, len(points), 1 << 14):
+        texts = [f"a{c}b" for c in points[lo : lo + (1 << 14)]]
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert [[int(i) for i in ids.split()] for ids, _, _ in codec.encode_many(texts)] == want
+    import unicodedata
+
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = [x for c in marks for x in (f"a{c}\u0327\u0301", f"a\u0301{c}\u0327", f"a\u0323{c}\u0302", f"e{c}\u0316\u0308")]
+    assert [[int(i) for i in ids.split()] for ids, _, _ in codec.encode_many(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_merging_forms_agree_with_and_without_lexicon():
     spec = load_spec(files.path("word_bpe_49k.json"))
     with_lexicon, plain, r = BpeCodec(spec, lexicon_image(spec, ["zzyzx"])), BpeCodec(spec), random.Random(6)
