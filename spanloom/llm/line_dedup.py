@@ -242,8 +242,7 @@ def _possible(la, ca, lb, cb, percent: int) -> np.ndarray:
     allowed = np.maximum(la, lb) * (100 - percent) // 100
     out = np.abs(la - lb) <= allowed
     at = np.flatnonzero(out)
-    wide = lambda c: c[at] if c.ndim == 2 else c
-    out[at] = np.abs(wide(ca) - wide(cb)).sum(1) <= 4 * (allowed[at] if allowed.ndim else allowed)
+    out[at] = np.abs(ca[at] - cb[at]).sum(1) <= 4 * allowed[at]
     return out
 
 
@@ -278,26 +277,27 @@ def _line_rows(least: int, every: bool, bands: int, letters: int):
                 keyed = pa.ListArray.from_arrays(ends, pa.array(band_keys([w for w, x in zip(words, fuzzy) if x], bands).ravel()))
                 yield pa.record_batch({
                     "k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": pa.array(ids, pa.int64()),
-                    "sim": pa.array(sim, pa.int64()).take(take), "bands": keyed.take(take),
+                    "sim": pa.array(sim, pa.int64()).take(take), "size": pa.array(list(map(len, forms)), pa.int32()).take(take), "bands": keyed.take(take),
                     "form": pa.array([f if x else None for f, x in zip(forms, fuzzy)], pa.string()).take(take),
                 })
 
     return rows
 
 
-def _meetings(bits: int):
-    """Sorted (key, id, sim) to each bucket's (hub, other member): whether they are near, and whether the bucket
+def _meetings(bits: int, percent: int):
+    """Sorted (key, id, sim, size) to each bucket's (hub, other member): whether they are near in bits and length, and whether the bucket
     has more members, whose pairs have then still to be looked at.  A far pair that is a whole bucket has no row.
 
     Of a bucket that goes on in the next batch only the hub, and a second member that may be the last, are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)  # hub, then perhaps a second member
+        held = np.zeros((0, 4), np.int64)  # hub, then perhaps a second member
         large = False  # whether the held bucket has had three members
 
         def rows(block: np.ndarray, sizes: np.ndarray, hub: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
             near = np.bitwise_count((block[own, 2] ^ block[hub, 2]).view(np.uint64)) <= bits
+            near &= np.abs(block[own, 3] - block[hub, 3]) <= np.maximum(block[own, 3], block[hub, 3]) * (100 - percent) // 100
             more = sizes >= 3
             take = near | more
             return pa.record_batch({
@@ -306,7 +306,7 @@ def _meetings(bits: int):
             })
 
         for b in batches:
-            block = np.concatenate([held, np.column_stack([b[c].to_numpy() for c in ("key", "id", "sim")])])
+            block = np.concatenate([held, np.column_stack([b[c].to_numpy() for c in ("key", "id", "sim", "size")])])
             if not len(block):
                 continue
             new = np.append(True, block[1:, 0] != block[:-1, 0])
@@ -330,22 +330,41 @@ def _meetings(bits: int):
     return run
 
 
+def _pairs(group: np.ndarray, is_q: np.ndarray, is_x: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (q, x) of each group's pairs, query by query, in runs of about ``most``; a run ends with a whole query."""
+    x = np.flatnonzero(is_x)
+    lo, hi = np.searchsorted(group[x], group, "left"), np.searchsorted(group[x], group, "right")
+    q = np.flatnonzero(is_q & (hi > lo))
+    n = (hi - lo)[q]
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(q):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        m = n[at:to]
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(q[at:to], m), x[np.repeat(lo[q[at:to]], m) + place]
+        at = to
+
+
 def _block(bits: int, percent: int):
-    def link(task: pa.Table) -> pa.Table:
+    def link(task: pa.Table, group: np.ndarray) -> pa.Table:
         ids, comp, sims = (task[c].to_numpy() for c in ("id", "component", "sim"))
         is_q, is_x = (task[c].to_numpy(zero_copy_only=False) for c in ("q", "x"))
-        forms, held = task["form"].to_pylist(), np.flatnonzero(is_x)
-        length, pairs = _profiles(forms)
-        a, b = [], []
-        for q in np.flatnonzero(is_q):
-            near = held[(np.bitwise_count((sims[held] ^ sims[q]).view(np.uint64)) <= bits) & (comp[held] != comp[q])]
-            near = near[_possible(length[near], pairs[near], length[q], pairs[q], percent)]
-            done = {comp[q]}
-            for x in near:
-                if comp[x] not in done and similar(forms[q], forms[x], percent):
-                    done.add(comp[x])
-                    a.append(ids[q])
-                    b.append(ids[x])
+        forms = task["form"].to_pylist()
+        length, counts = _profiles(forms)
+        a, b, done = [], [], set()
+        for q, x in _pairs(group, is_q, is_x):
+            near = np.flatnonzero((comp[q] != comp[x]) & (np.bitwise_count((sims[q] ^ sims[x]).view(np.uint64)) <= bits))
+            q, x = q[near], x[near]
+            near = np.flatnonzero(np.abs(length[q] - length[x]) <= np.maximum(length[q], length[x]) * (100 - percent) // 100)
+            for lo in range(0, len(near), 1 << 14):
+                part = near[lo : lo + (1 << 14)]
+                good = _possible(length[q[part]], counts[q[part]], length[x[part]], counts[x[part]], percent)
+                for i, j in zip(q[part][good].tolist(), x[part][good].tolist()):
+                    if (i, comp[j]) not in done and similar(forms[i], forms[j], percent):
+                        done.add((i, comp[j]))
+                        a.append(ids[i])
+                        b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return link
@@ -354,13 +373,13 @@ def _block(bits: int, percent: int):
 def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, percent: int = PERCENT, least: int = LEAST, every: bool = False, bands: int = 0, letters: int = 0) -> DataFrame:
     """Occurrences to remove: (k, removed array<struct<pos, id>>); k is doc_id, or the least long for a null one."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k"), "text")
-    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands, letters), "k long, pos int, id long, sim long, bands array<int>, form string"))
+    lines = stash(keyed.mapInArrow(_line_rows(least, every, bands, letters), "k long, pos int, id long, sim long, size int, bands array<int>, form string"))
     spot = F.struct("k", "pos")
-    each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.any_value("bands", F.lit(True)).alias("bands"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
+    each = stash(lines.groupBy("id").agg(F.min("sim").alias("sim"), F.max("size").alias("size"), F.any_value("bands", F.lit(True)).alias("bands"), F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")))
 
     if bands:
         key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        buckets = each.select(F.posexplode("bands").alias("band", "value"), "id", "sim").select(key.alias("key"), "id", "sim")
+        buckets = each.select(F.posexplode("bands").alias("band", "value"), "id", "sim", "size").select(key.alias("key"), "id", "sim", "size")
     else:
         size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
         shift = np.cumsum([0, *size])
@@ -371,10 +390,10 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
             for i in chosen:
                 key = F.shiftleft(key, size[i]).bitwiseOR(cut[i])
             keys.append(key)
-        buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id", "sim")
+        buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id", "sim", "size")
     # one exchange of the bucket rows; sorted, each bucket is a run whose first id is its hub
     buckets = buckets.repartition("key").sortWithinPartitions("key", "id")
-    met = stash(buckets.mapInArrow(_meetings(bits), "key long, a long, b long, near boolean, more boolean"))
+    met = stash(buckets.mapInArrow(_meetings(bits, percent), "key long, a long, b long, near boolean, more boolean"))
     sims = each.select("id", "sim")
 
     def texts(wanted: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +53,49 @@ def connected_components(links: DataFrame) -> DataFrame:
     return stash(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots))
 
 
+#: Rows after which whole groups are handed to the block function.
+CHUNK_ROWS = 20_000
+
+
+def whole_groups(block: Callable[[pa.Table, np.ndarray], pa.Table]):
+    """Rows sorted by (key, bq, bx) to the results of ``block(rows, group number of each row)`` for many whole groups at a time.
+
+    A group is bounded by its two blocks, so what is held is one chunk and one group; a call for each small group
+    would cost far more than its few pairs.
+    """
+
+    def number(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        for c in ("key", "bq", "bx"):
+            v = rows[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < CHUNK_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            group = number(rows)
+            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if cut:
+                yield from block(rows.slice(0, cut), group[:cut]).to_batches()
+            held = rows.slice(cut).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from block(rows, number(rows)).to_batches()
+
+    return run
+
+
 def link_buckets(
     stars: DataFrame,
     coarse: DataFrame,
     items: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
-    block: Callable[[pa.Table], pa.Table],
+    block: Callable[[pa.Table, np.ndarray], pa.Table],
     sizes: DataFrame | None = None,
     block_units: int = BLOCK_UNITS,
 ) -> DataFrame:
@@ -65,8 +103,8 @@ def link_buckets(
 
     stars: candidate ``(a, b)`` of each bucket's hub and its other members; coarse: ``(key, id)`` whose groups
     hold every other pair that shares a bucket; items: from wanted ``(id)`` to ``(id, payload...)``; verify:
-    candidate ``(a, b)`` to confirmed ``(a, b)``; block: a task's rows ``(q boolean, x boolean, component, id,
-    payload...)`` to confirmed links; sizes: ``(id, units)``, or None for one unit each; block_units: a block's units, on either side of a task.
+    candidate ``(a, b)`` to confirmed ``(a, b)``; block: rows ``(q boolean, x boolean, component, id, payload...)`` of
+    many groups, and their group numbers, to confirmed links within groups; sizes: ``(id, units)``, or None for one unit each; block_units: a block's units, on either side of a task.
     """
     spark = stars.sparkSession
     links = stash(verify(stars))
@@ -105,8 +143,8 @@ def link_buckets(
     ).select("key", "t.*", "id", "component")
     tasks = stash(tasks)
     # an explicit count, since what a task costs are pairs, not the bytes that adaptive coalescing goes by
-    dealt = tasks.join(items(tasks.select("id").distinct()), "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "bq", "bx")
-    more = dealt.groupBy("key", "bq", "bx").applyInArrow(block, "a long, b long")
+    dealt = tasks.join(items(tasks.select("id").distinct()), "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "bq", "bx").sortWithinPartitions("key", "bq", "bx")
+    more = dealt.mapInArrow(whole_groups(block), "a long, b long")
     more = stash(more.distinct())
     joined = links.unionAll(more)
     done = connected_components(joined)

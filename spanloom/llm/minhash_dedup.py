@@ -75,16 +75,18 @@ def _set_maker(width: int):
 
 
 def _block_linker(percent: int):
-    """Exact links of outliers to members of other components, by counting through an inverted index."""
+    """Exact links of outliers to members of other components in their group, by counting through an inverted index."""
 
-    def link(task: pa.Table) -> pa.Table:
+    def link(task: pa.Table, group: np.ndarray) -> pa.Table:
         ids, comp = task["id"].to_numpy(), task["component"].to_numpy()
         is_q, is_x = task["q"].to_numpy(zero_copy_only=False), task["x"].to_numpy(zero_copy_only=False)
         lists = task["s"].combine_chunks()
         flat, offs = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         size = np.diff(offs)
         owner = np.repeat(np.arange(len(ids)), size)
-        uniq, inverse = np.unique(flat, return_inverse=True)
+        with np.errstate(over="ignore"):  # shingles of different groups are different terms
+            terms_of = mix64(flat.view(np.uint64) + mix64(group[owner].astype(np.uint64) + np.uint64(1)))
+        uniq, inverse = np.unique(terms_of, return_inverse=True)
         held = is_x[owner]
         order = np.argsort(inverse[held], kind="stable")
         posted, start = owner[held][order], np.searchsorted(inverse[held][order], np.arange(len(uniq) + 1))

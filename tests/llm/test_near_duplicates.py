@@ -78,6 +78,28 @@ def test_adverse_family_without_links(spark):
     assert {k: v for k, v in got.items() if k != v} == {100: 7}
 
 
+def test_groups_are_handed_over_whole(monkeypatch):
+    import pyarrow as pa
+
+    from spanloom.llm import linking
+
+    monkeypatch.setattr(linking, "CHUNK_ROWS", 7)
+    r = random.Random(2)
+    rows = sorted((r.randrange(6), r.randrange(2), r.randrange(2), k) for k in range(120))
+    seen = []
+
+    def block(task, group):
+        got = [tuple(x.values()) for x in task.to_pylist()]
+        assert all((a[:3] == b[:3]) == (x == y) for a, b, x, y in zip(got, got[1:], group, group[1:]))
+        seen.append({x[:3] for x in got})
+        return task.select(["key"])
+
+    cuts = [0, 1, 1, 30, 31, 90, 120]
+    batches = [pa.record_batch({c: pa.array([x[k] for x in rows[a:b]], pa.int64()) for k, c in enumerate(("key", "bq", "bx", "id"))}) for a, b in zip(cuts, cuts[1:])]
+    assert sum(b.num_rows for b in linking.whole_groups(block)(iter(batches))) == 120
+    assert sum(map(len, seen)) == len(set.union(*seen)) and len(seen) > 2
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     got = near_duplicates(docs(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None)])).collect()
@@ -172,17 +194,17 @@ def test_meetings_do_not_depend_on_batches():
         rows, keys = [], {}
         for k in range(r.randint(0, 12)):
             for i in sorted(r.sample(range(100), r.choice([1, 1, 2, 2, 3, 7]))):
-                rows.append((k, i, r.choice([0, 1, 255])))
+                rows.append((k, i, r.choice([0, 1, 255]), r.choice([20, 21, 40])))
                 keys.setdefault(k, []).append(rows[-1])
         expected = []
         for k, members in keys.items():
             for m in members[1:]:
-                near, more = (m[2] ^ members[0][2]).bit_count() <= 3, len(members) >= 3
+                near, more = (m[2] ^ members[0][2]).bit_count() <= 3 and abs(m[3] - members[0][3]) <= max(m[3], members[0][3]) // 10, len(members) >= 3
                 if near or more:
                     expected.append((k, members[0][1], m[1], near, more))
         cuts = sorted(r.sample(range(len(rows) + 1), min(len(rows), r.randint(0, 6)))) if rows else []
-        batches = [pa.record_batch({c: pa.array([x[j] for x in rows[a:b]], pa.int64()) for j, c in enumerate(("key", "id", "sim"))}) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        got = [tuple(x.values()) for b in line_dedup._meetings(3)(iter(batches)) for x in b.to_pylist()]
+        batches = [pa.record_batch({c: pa.array([x[j] for x in rows[a:b]], pa.int64()) for j, c in enumerate(("key", "id", "sim", "size"))}) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        got = [tuple(x.values()) for b in line_dedup._meetings(3, 90)(iter(batches)) for x in b.to_pylist()]
         assert {g[:4] for g in got} == {e[:4] for e in expected if e[3]} | {g[:4] for g in got if not g[3]}
         # of a bucket with more than two members all but the hub must be seen as such, the far ones without fail
         assert {g[:3] for g in got} >= {e[:3] for e in expected}
