@@ -123,12 +123,70 @@ def test_media_digests_and_columns(spark):
         ("<main><form><input>q</form><p>t\n t</main>", [("t t", True)]),
         ("<style>p{}</style><title>t</title><nav><p>n</nav><p>m", [("m", False)]),
         ("<article><p>one<div class='ad'>buy</div>two</article>", [("one", True), ("two", True)]),
+        ("<p title=John's>Hello world. It's fine</p><p>next one</p>", [("Hello world. It's fine", False), ("next one", False)]),
+        ("<article class='related-story'>a</article><div id='search-results'>b</div><div class='post-related'>no", [("a", True), ("b", False)]),
+        ("<p title='a>b' x=\"c>d\" y='>z", [("z", False)]),
+        ("<article class=comment>no</article><article><p data-x='1'>yes", [("yes", True)]),
     ],
 )
 def test_blocks(page, blocks):
     assert html_text.parse_blocks(page) == blocks
 
 
+def test_deep_and_long_pages_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert html_text.parse_blocks("<div><p>" * n + "x" + "</div>" * n) == [("x", False)]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+    assert html_text.parse_blocks("<p " + "a='" * 50_000 + ">x") in ([("x", False)], [])
+    assert len(html_text.parse_blocks("word " * 500_000)[0][0]) == 2_499_999
+
+
+def test_whole_query_on_pages_without_main_element(spark):
+    """Crawled-like pages: what three pages of a host repeat, over runs of eight words, is cut; all else stays."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(5))
+    pools = {h: [[word() for _ in range(r.randint(5, 20))] for _ in range(12)] for h in ("a.example", "b.example")}
+    rows = []
+    for k in range(90):
+        host = r.choice(sorted(pools))
+        blocks = []
+        for _ in range(r.randint(1, 6)):
+            words = [word() for _ in range(r.randint(0, 12))]
+            if r.random() < 0.6:
+                at = r.randint(0, len(words))
+                words[at:at] = r.choice(pools[host])
+            blocks.append(words)
+        rows.append((k, f"https://{host}/{k}", "".join(f"<div>{' '.join(b)}</div>" for b in blocks), [b for b in blocks if b]))
+    expected = {}
+    for host in pools:
+        own = [x for x in rows if host in x[1]]
+        where: dict = {}
+        for k, _, _, blocks in own:
+            flat = [w for b in blocks for w in b]
+            for i in range(len(flat) - html_text.RUN + 1):
+                where.setdefault(tuple(flat[i : i + html_text.RUN]), set()).add(k)
+        for k, _, _, blocks in own:
+            flat = [w for b in blocks for w in b]
+            gone = set()
+            for i in range(len(flat) - html_text.RUN + 1):
+                if len(where[tuple(flat[i : i + html_text.RUN])]) >= html_text.LEAST_PAGES:
+                    gone.update(range(i, i + html_text.RUN))
+            at, kept = 0, []
+            for b in blocks:
+                kept.append(" ".join(w for j, w in enumerate(b, at) if j not in gone))
+                at += len(b)
+            expected[k] = "\n".join(x for x in kept if x)
+    frame = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").repartition(4)
+    got = {x.page_id: x for x in html_text.main_text(frame).collect()}
+    assert {k: x.text for k, x in got.items()} == expected
+    assert sum(x.n_repeated > 0 for x in got.values()) > 30  # the array decides on many of these pages
+
+
 def test_repeated_equals_brute_force():
     r = np.random.default_rng(7)
     for _ in range(60):
