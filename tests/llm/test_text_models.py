@@ -233,6 +233,42 @@ def test_exchange_finds_classes():
     assert len({*of[:6]}) == len({*of[6:12]}) == 1 and of[0] != of[6] and of[n] == 2 and of[n + 1] == 3
 
 
+def test_insertion_gains_equal_likelihood_differences():
+    """Inserted words follow and precede other classes than their own here, so margins and cells are all they change."""
+    r = np.random.default_rng(4)
+    table, before, after = (r.poisson(6.0, x).astype(float) for x in ((6, 6), (7, 6), (7, 6)))
+    before[:, :3] = after[:, :3] = 0
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    gain = brown_lm.insertion_gains(table, before, after)[:, :3]
+    for w in range(7):
+        seen = []
+        for c in range(3):
+            t = table.copy()
+            t[c] += after[w]
+            t[:, c] += before[w]
+            seen.append(f(t) - f(t.sum(0)) - f(t.sum(1)))
+        assert np.allclose(gain[w] - gain[w, 0], np.array(seen) - seen[0])
+
+
+def test_words_beyond_the_first_are_inserted_by_context(spark, monkeypatch):
+    """Two worlds of words that never meet: no class that a rarer word is inserted into holds words of both."""
+    monkeypatch.setattr(brown_lm, "TOP", 8)
+    monkeypatch.setattr(brown_lm, "CLASSES", 4)
+    r = random.Random(8)
+    worlds = [[f"{k:02d}{a}" for k in range(24)] for a in "pq"]
+    weights = [10] * 4 + [1] * 20
+    rows = [(i, " ".join(r.choices(worlds[i % 2], weights, k=60))) for i in range(400)]
+    kept = {}
+    whole = brown_lm.insert_words
+    monkeypatch.setattr(brown_lm, "insert_words", lambda training, classes, table, free: kept.setdefault("of", (classes.known, whole(training, classes, table, free)))[1])
+    got = brown_lm.class_scores(docs(spark, rows)).collect()
+    known, of = kept["of"]
+    cls = {int(h): int(c) for h, c in zip(known, of)}
+    side = [{cls[int(next(hashed_texts(pa.array([w])))[1][0])] for w in world} for world in worlds]
+    assert not side[0] & side[1]
+    assert sum(x.score for x in got if x.held_out) > sum(x.base_score for x in got if x.held_out) + 10
+
+
 def test_exchange_never_lowers_the_likelihood():
     def likelihood(pairs, of):
         k = of.max() + 1
