@@ -233,25 +233,23 @@ def test_exchange_finds_classes():
     assert len({*of[:6]}) == len({*of[6:12]}) == 1 and of[0] != of[6] and of[n] == 2 and of[n + 1] == 3
 
 
-def test_insertion_gains_equal_likelihood_differences():
-    """Inserted words follow and precede other classes than their own here, so margins and cells are all they change."""
+def test_insertion_gains_are_likelihood_derivatives():
     r = np.random.default_rng(4)
-    table, before, after = (r.poisson(6.0, x).astype(float) for x in ((6, 6), (7, 6), (7, 6)))
-    before[:, :3] = after[:, :3] = 0
-    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
-    gain = brown_lm.insertion_gains(table, before, after)[:, :3]
+    table, before, after = (r.poisson(6.0, x) + 1.0 for x in ((6, 6), (7, 6), (7, 6)))
+    f = lambda x: (x * np.log(x)).sum()
+    gain = brown_lm.insertion_gains(table, before, after, alpha=0.0)
     for w in range(7):
         seen = []
-        for c in range(3):
+        for c in range(6):
             t = table.copy()
-            t[c] += after[w]
-            t[:, c] += before[w]
-            seen.append(f(t) - f(t.sum(0)) - f(t.sum(1)))
-        assert np.allclose(gain[w] - gain[w, 0], np.array(seen) - seen[0])
+            t[c] += 1e-6 * after[w]
+            t[:, c] += 1e-6 * before[w]
+            seen.append((f(t) - f(t.sum(0)) - f(t.sum(1))) * 1e6)
+        assert np.allclose(gain[w] - gain[w, 0], np.array(seen) - seen[0], atol=0.01)
 
 
 def test_words_beyond_the_first_are_inserted_by_context(spark, monkeypatch):
-    """Two worlds of words that never meet: no class that a rarer word is inserted into holds words of both."""
+    """Two worlds of words that never meet: nearly every word, also the rarer ones, is in a class of its own world."""
     monkeypatch.setattr(brown_lm, "TOP", 8)
     monkeypatch.setattr(brown_lm, "CLASSES", 4)
     r = random.Random(8)
@@ -264,8 +262,9 @@ def test_words_beyond_the_first_are_inserted_by_context(spark, monkeypatch):
     got = brown_lm.class_scores(docs(spark, rows)).collect()
     known, of = kept["of"]
     cls = {int(h): int(c) for h, c in zip(known, of)}
-    side = [{cls[int(next(hashed_texts(pa.array([w])))[1][0])] for w in world} for world in worlds]
-    assert not side[0] & side[1]
+    held = Counter((cls[int(next(hashed_texts(pa.array([w])))[1][0])], k) for k, world in enumerate(worlds) for w in world)
+    pure = sum(max(held[c, 0], held[c, 1]) for c in {c for c, _ in held})
+    assert pure >= 0.85 * 48 and len({c for c, _ in held}) > 1
     assert sum(x.score for x in got if x.held_out) > sum(x.base_score for x in got if x.held_out) + 10
 
 
