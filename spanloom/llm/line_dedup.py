@@ -189,41 +189,73 @@ def _few_edits(a: str, b: str, most: int) -> int | None:
     return None
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance; with ``most`` any larger number where it is larger than that."""
-    if a == b:
-        return 0
-    few = _few_edits(a, b, 4 if most is None else min(4, most))
-    if few is not None:
-        return few
-    if most is not None and most <= 4:
-        return most + 1
+def _columns(a: str, b: str, most: int) -> int:
+    """Levenshtein distance by bit-parallel columns; any larger number where it is larger than ``most``."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return len(b)
     places: dict[str, int] = {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    m, full = len(a), (1 << len(a)) - 1
-    up, down, score, top = full, 0, m, 1 << (m - 1)
-    for k, c in enumerate(b):
-        eq = places.get(c, 0)
+    bit = 1
+    for c in a:
+        places[c] = places.get(c, 0) | bit
+        bit <<= 1
+    full, top = bit - 1, bit >> 1
+    up, down, score, left, get = full, 0, len(a), len(b) - 1, places.get
+    for c in b:
+        eq = get(c, 0)
         x = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | (full & ~(x | up)), up & x
-        score += bool(plus & top) - bool(minus & top)
-        if most is not None and score - (len(b) - 1 - k) > most:
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        if score - left > most:
             return most + 1
-        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
-        x = eq | down
-        up, down = minus | (full & ~(x | plus)), plus & x
+        left -= 1
+        plus, x = plus << 1 | 1, eq | down
+        up, down = (minus << 1 | ~(x | plus)) & full, plus & x & full
     return score
 
 
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance; with ``most`` any larger number where it is larger than that."""
+    if a == b:
+        return 0
+    most = len(a) + len(b) if most is None else most
+    few = _few_edits(a, b, min(2, most))
+    if few is not None:
+        return few
+    lo = _common(a, b, 0, 0)
+    a, b = a[lo:], b[lo:]
+    hi = _common(a[::-1], b[::-1], 0, 0)
+    return _columns(a[: len(a) - hi], b[: len(b) - hi], most)
+
+
+def _enough(a: str, b: str, most: int) -> int:
+    """An upper bound of the distance: words in order, unequal ones against each other, as long as it is within ``most``."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        after = x[i + 1] if i + 1 < len(x) else None
+        if after == y[j] and (j + 1 == len(y) or after is not None):
+            cost, i = cost + len(x[i]) + 1, i + 1
+        elif j + 1 < len(y) and y[j + 1] == x[i]:
+            cost, j = cost + len(y[j]) + 1, j + 1
+        else:
+            cost, i, j = cost + _columns(x[i], y[j], most), i + 1, j + 1
+        if cost > most:
+            return cost
+    return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
 def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     """Whether the edit similarity is ``percent`` at least."""
     allowed = max(len(a), len(b)) * (100 - percent) // 100
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b, allowed) <= allowed
+    return abs(len(a) - len(b)) <= allowed and (_enough(a, b, allowed) <= allowed or edit_distance(a, b, allowed) <= allowed)
 
 
 def _profiles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
