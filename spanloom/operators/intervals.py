@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 KEY = ["media_id", "category", "tag"]
 PASSES = 10
 CLUSTER = {"density_weight": 0.04, "gap_factor": 0.85, "average_factor": 0.25, "min_gap": 0.0}
@@ -45,7 +47,7 @@ def with_rules(spans: DataFrame, rules: DataFrame) -> DataFrame:
     rules are resolved: category, tag, display, min_marker_duration, max_gap, required_duration, tag_threshold.
     A null confidence does not pass here.
     """
-    return spans.join(F.broadcast(rules), ["category", "tag"]).where("confidence >= tag_threshold and min_marker_duration > 0")
+    return spans.join(small(rules), ["category", "tag"]).where("confidence >= tag_threshold and min_marker_duration > 0")
 
 
 def with_position(spans: DataFrame) -> DataFrame:
@@ -96,12 +98,18 @@ def _fold(array: str, fi: str, p: dict) -> str:
     return f"aggregate(sequence(1, {PASSES}), {array}, (acc, i) -> {one})"
 
 
-def merge_buckets(buckets: DataFrame, keys: list[str] | None = None, params: dict | None = None) -> DataFrame:
-    """O-53 stage 2 as folds over each key's sorted buckets; params may be numbers or column names."""
-    keys, p = keys or KEY, CLUSTER | (params or {})
-    named = [v for v in p.values() if isinstance(v, str)]
-    rows = buckets.groupBy(*keys, *[c for c in named if c not in keys]).agg(F.max("fi").alias("fi"), F.sort_array(F.collect_list(F.struct("s", "e", "tc"))).alias("b"))
-    return rows.select(*keys, *[c for c in named if c not in keys], "fi", F.inline(F.expr(_fold("b", "fi", p))))
+def merge_buckets(buckets: DataFrame, params: dict | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """O-53 stage 2 as folds over each key's sorted buckets, a row of arrays each.
+
+    With a grid (a row for each combination of parameters) every key's row meets every combination after the one
+    exchange, so buckets are neither multiplied nor shuffled by combination.  For keys with very many buckets there
+    is ``merge_buckets_windowed``.
+    """
+    p, extra = CLUSTER | (params or {}), grid.columns if grid is not None else []
+    rows = buckets.groupBy(*KEY).agg(F.max("fi").alias("fi"), F.sort_array(F.collect_list(F.struct("s", "e", "tc"))).alias("b"))
+    if grid is not None:
+        rows, p = rows.join(F.broadcast(grid)), p | {n: n for n in extra}
+    return rows.select(*KEY, *extra, "fi", F.inline(F.expr(_fold("b", "fi", p))))
 
 
 def merge_buckets_windowed(buckets: DataFrame, params: dict | None = None) -> DataFrame:
@@ -141,10 +149,13 @@ def merge_proportional(spans: DataFrame, interval: str, proportion: float = 0.5)
 
 
 def totals(spans: DataFrame, rules: DataFrame, interval: Column, media: DataFrame) -> DataFrame:
-    """O-55: seconds of every configured tag of every media, zeros included; a null or zero confidence passes."""
+    """O-55: seconds of every configured tag of every media, zeros included; a null or zero confidence passes.
+
+    The zeros make media x rules rows, so the cross join is the result's own size; the rules are configuration.
+    """
     passes = F.coalesce(F.col("confidence"), F.lit(0.0)).isin(0.0) | (F.col("confidence") >= F.col("tag_threshold"))
     held = F.when(passes, F.when(F.col("end").isNull(), interval).otherwise(F.col("end") - F.col("start") + interval))
-    rules = F.broadcast(rules)
+    rules = small(rules)
     sums = spans.join(rules, ["category", "tag"]).groupBy(*KEY).agg(F.coalesce(F.sum(held), F.lit(0.0)).alias("total"))
     every = media.select("media_id").join(rules)
     return every.join(sums, KEY, "left").select(*KEY, "display", "required_duration", F.coalesce("total", F.lit(0.0)).alias("total"))

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import KEY, merge_buckets
+from .sizes import small
 
 
 def coalesced(spans: DataFrame) -> DataFrame:
     """Overlapping or touching intervals of a key as one, so that they measure as a set."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*KEY).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("_n", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("_g", F.sum("_n").over(w))
@@ -25,11 +24,20 @@ def measure(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
-def overlap(actual: DataFrame, desired: DataFrame, keys: list[str], desired_keys: list[str] | None = None) -> DataFrame:
-    """O-57, O-70: seconds in both, by an equi join on the keys with the overlap as a further condition."""
-    d = desired.select(*(desired_keys or keys), F.col("start").alias("d_start"), F.col("end").alias("d_end"))
-    both = actual.join(d, desired_keys or keys).where("start < d_end and d_start < end")
-    return both.groupBy(*keys).agg(F.sum(F.least("end", "d_end") - F.greatest("start", "d_start")).alias("shared"))
+def overlap(actual: DataFrame, desired: DataFrame, keys: list[str]) -> DataFrame:
+    """O-57, O-70: seconds in both, summed over all pairs, for keys with any.
+
+    A sweep: between two neighbouring ends the pairs in force are (open actual) x (open desired) intervals, so a key
+    costs a sort of its ends and not a comparison of all its pairs.
+    """
+    ends = lambda df, a, d: [df.select(*keys, F.col(c).alias("t"), F.lit(sign * a).alias("a"), F.lit(sign * d).alias("d")) for c, sign in (("start", 1), ("end", -1))]
+    rows = None
+    for part in ends(actual.where("start < end"), 1, 0) + ends(desired.where("start < end"), 0, 1):
+        rows = part if rows is None else rows.unionAll(part)
+    w = Window.partitionBy(*keys).orderBy("t")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    both = F.sum("a").over(so_far) * F.sum("d").over(so_far) * (F.lead("t").over(w) - F.col("t"))
+    return rows.select(*keys, both.alias("both")).groupBy(*keys).agg(F.sum("both").alias("shared")).where("shared > 0")
 
 
 def loss(actual: DataFrame, desired: DataFrame) -> DataFrame:
@@ -57,18 +65,18 @@ def parameter_grid(spark, **choices: list[float]) -> DataFrame:
 def grid_search(buckets: DataFrame, desired: DataFrame, grid: DataFrame, least: float, top: int = 10) -> DataFrame:
     """O-60, O-91: parameters by loss + 2 * count mismatch over all media, ascending; ties by the parameters.
 
-    The grid is the broadcast side (its size is that of the parameter lists); buckets are never copied to one task.
+    The grid is the broadcast side (its size is that of the parameter lists) and meets each key's buckets, and the
+    desired intervals, once; what is shuffled by combination are the merged intervals alone.
     """
     p = grid.columns
-    rows = buckets.join(F.broadcast(grid))
-    merged = merge_buckets(rows, KEY + p, {n: n for n in p}).where(F.col("e") - F.col("s") + F.col("fi") >= least)
+    merged = merge_buckets(buckets, grid=grid).where(F.col("e") - F.col("s") + F.col("fi") >= least)
     actual = merged.select(*KEY, *p, F.col("s").alias("start"), F.col("e").alias("end"))
     counts = actual.groupBy(*p).agg(F.count("*").alias("n"))
     wanted = measure(desired, KEY).agg(F.coalesce(F.sum("covered"), F.lit(0.0)).alias("wanted"))
     n_wanted = desired.agg(F.count("*").alias("n_wanted"))
     keys = desired.select(*KEY).distinct()
     covered = actual.join(keys, KEY, "left_semi").groupBy(*p).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
-    shared = overlap(actual, desired, KEY + p, KEY).groupBy(*p).agg(F.sum("shared").alias("shared"))
+    shared = overlap(actual, desired.select(*KEY, "start", "end").join(F.broadcast(grid)), KEY + p).groupBy(*p).agg(F.sum("shared").alias("shared"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     scored = grid.join(counts, p, "left").join(covered, p, "left").join(shared, p, "left").join(F.broadcast(wanted)).join(F.broadcast(n_wanted))
     mismatch = F.abs(F.coalesce("n", F.lit(0)) - F.col("n_wanted"))
@@ -85,4 +93,4 @@ def desired_lookup(wanted: DataFrame, rules: DataFrame) -> DataFrame:
     spans = wanted.select("media_id", "display", F.explode("intervals").alias("j")).select(
         "media_id", "display", F.from_json("j", "start double, end double").alias("x")
     )
-    return spans.join(F.broadcast(last), "display", "left").select("media_id", F.coalesce("category", F.lit("Unknown")).alias("category"), F.col("display").alias("tag"), "x.start", "x.end")
+    return spans.join(small(last), "display", "left").select("media_id", F.coalesce("category", F.lit("Unknown")).alias("category"), F.col("display").alias("tag"), "x.start", "x.end")

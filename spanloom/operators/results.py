@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import run_lengths
+from .sizes import small
 
 #: Identifiers from this one on are early models, whose successors always rerun.
 EARLY_MODEL = 950
@@ -83,7 +84,10 @@ def build_v1(detections: DataFrame, models: DataFrame, interval: Column) -> tupl
 
 
 def build_v3(detections: DataFrame, models: DataFrame, media: DataFrame, interval: float, max_merge: float = 4.0) -> DataFrame:
-    """O-102: one JSON text a media: duration, models, interval, spans without confidence."""
+    """O-102: one JSON text a media: duration, models, interval, spans without confidence.
+
+    A media's spans are one text, as the format asks; their number is bounded by its frames times the tags.
+    """
     spans = run_lengths(detections.withColumn("confidence", F.lit(None).cast("double")), F.lit(interval), max_merge)
     return to_json_v3(spans, models, media, interval)
 
@@ -142,10 +146,10 @@ def upgrade_v0(stored: DataFrame, tag_categories: DataFrame, model_map: DataFram
     rows = stored.select("media_id", F.from_json("json", V0).alias("r"))
     last = tag_categories.groupBy("tag").agg(F.max("category").alias("category"))
     spans = rows.select("media_id", F.explode("r.tags").alias("tag", "t")).select("media_id", "tag", F.inline("t.time_frames"))
-    spans = spans.join(F.broadcast(last), "tag", "left").select("media_id", F.coalesce("category", F.lit("Unknown")).alias("category"), "tag", "start", "end", "confidence")
+    spans = spans.join(small(last), "tag", "left").select("media_id", F.coalesce("category", F.lit("Unknown")).alias("category"), "tag", "start", "end", "confidence")
     old = rows.select("media_id", F.explode("r.video_metadata.models").alias("name", "m")).select("media_id", "name", F.col("m.version").alias("was"), "m.ai_model_config.*")
     exact = model_map.withColumn("specific", F.col("old_version").isNotNull())
-    found = old.join(F.broadcast(exact), (old["name"] == exact["name"]) & (exact["old_version"].isNull() | (exact["old_version"] == old["was"])))
+    found = old.join(small(exact), (old["name"] == exact["name"]) & (exact["old_version"].isNull() | (exact["old_version"] == old["was"])))
     best = found.groupBy("media_id", "category").agg(F.max_by(F.struct("frame_interval", "threshold", "version", "ai_model_id", "file_name"), F.struct("specific", old["name"])).alias("m"))
     return spans, best.select("media_id", "category", "m.*")
 

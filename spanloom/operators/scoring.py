@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 
 def linear_head(weights: list[float], bias: float = 0.0):
     """O-41, O-42: sigmoid(w . x + b) over Arrow batches; the batch size is Spark's, so nothing is padded."""
@@ -38,18 +40,18 @@ def threshold_tags(scores: DataFrame, tags: DataFrame, threshold: float | None,
     rows = scores.select("media_id", "frame_index", "model", F.posexplode("scores").alias("idx", "score"))
     if limit:
         rows = rows.where(F.col("score") > limit)
-    named = rows.join(F.broadcast(tags), ["model", "idx"])
+    named = rows.join(small(tags), ["model", "idx"])
     return named.select("media_id", "frame_index", "model", "idx", F.col("name").alias("tag"), F.bround(F.col("score").cast("double"), 2).alias("confidence"))
 
 
 def route(tagged: DataFrame, mappings: DataFrame) -> DataFrame:
     """O-44, O-67: each tag index to its category; unmapped indexes go."""
-    return tagged.join(F.broadcast(mappings), ["model", "idx"]).select("media_id", "category", "tag", "frame_index", "confidence")
+    return tagged.join(small(mappings), ["model", "idx"]).select("media_id", "category", "tag", "frame_index", "confidence")
 
 
 def image_rules(tagged: DataFrame, rules: DataFrame, use_thresholds: bool) -> DataFrame:
     """O-45: configured tags only, shown by their display name; with thresholds on, at or above the tag's."""
-    rows = tagged.join(F.broadcast(rules), ["category", "tag"])
+    rows = tagged.join(small(rules), ["category", "tag"])
     if use_thresholds:
         rows = rows.where("confidence is null or confidence >= tag_threshold")
     return rows.select("media_id", "category", F.col("display").alias("tag"), "confidence")

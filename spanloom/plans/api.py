@@ -11,6 +11,7 @@ from ..operators import intervals as I
 from ..operators import overlap as O
 from ..operators import results as R
 from ..operators.scoring import image_rules
+from ..operators.sizes import small
 from .dag import Model, Pipeline, Registry, score_frames
 
 
@@ -101,7 +102,7 @@ def optimise_markers(existing: DataFrame, wanted: DataFrame, rules: DataFrame, g
     """POST optimize_timeframe_settings: the ten best parameter rows for stored spans and hand-made intervals."""
     spans = R.spans_of_v1(existing)
     shown = rules.select("category", "tag", "display")
-    desired = O.desired_lookup(wanted, rules).withColumnRenamed("tag", "display").join(F.broadcast(shown), ["category", "display"]).drop("display")
+    desired = O.desired_lookup(wanted, rules).withColumnRenamed("tag", "display").join(small(shown), ["category", "display"]).drop("display")
     buckets = I.adjacency_buckets(I.with_rules(spans, rules), F.lit(interval))
     return O.grid_search(buckets, O.coalesced(desired.select(*I.KEY, "start", "end")), grid, least)
 

@@ -285,3 +285,51 @@ def test_stream_with_confidence(spark, tmp_path):
     chunks = [[(100, 0.5), (102, 0.5), (106, 0.7)], [(104, 0.5), (108, 0.7)], [(1000, 0.5)], [(1001, 0.5)]]
     got = replay(spark, tmp_path, lambda s: streams.stream_runs_by_confidence(s, 2, 0, "10 seconds"), chunks)
     assert got == [(100, 104), (106, 108)]
+
+
+def plain_unfilter(kinds, rows):
+    """Sample by sample, by the format's definition."""
+    h, w, k = rows.shape
+    out = np.zeros((h, w, k), int)
+    for y in range(h):
+        for x in range(w):
+            for c in range(k):
+                a, b = (out[y, x - 1, c] if x else 0), (out[y - 1, x, c] if y else 0)
+                d = out[y - 1, x - 1, c] if x and y else 0
+                p = a + b - d
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
+                out[y, x, c] = (int(rows[y, x, c]) + (0, a, b, (a + b) // 2, near)[kinds[y]]) % 256
+    return out
+
+
+def test_png_filters_equal_their_definition():
+    r = np.random.default_rng(6)
+    for h, w, k in ((1, 1, 3), (7, 5, 4), (9, 12, 1), (3, 20, 2)):
+        for kinds in (r.integers(0, 5, h), r.integers(0, 3, h), np.full(h, 4)):
+            rows = r.integers(0, 256, (h, w, k)).astype(np.uint8)
+            assert (pictures._unfilter(kinds, rows) == plain_unfilter(kinds, rows)).all()
+
+
+@pytest.mark.parametrize(
+    "data",
+    [b"P6 2", b"P6", b"P5 2 2 255", b"P6 9 9 255\n123", b"P5 #x", b"\x89PNG\r\n\x1a\n", b""],
+)
+def test_truncated_pictures_are_errors(data):
+    with pytest.raises(ValueError):
+        pictures.decode(data)
+
+
+def test_damaged_png_and_streams_are_item_errors(spark):
+    good = png(np.zeros((4, 4, 1), np.uint8), 0)
+    indexed = png(np.full((4, 4, 1), 3, np.uint8), 0).replace(struct.pack(">IIBBBBB", 4, 4, 8, 0, 0, 0, 0), struct.pack(">IIBBBBB", 4, 4, 8, 3, 0, 0, 0))
+    huge = good.replace(struct.pack(">IIBBBBB", 4, 4, 8, 0, 0, 0, 0), struct.pack(">IIBBBBB", 2**31, 2**31, 8, 0, 0, 0, 0))
+    rows = [("good", good), ("indexed", indexed), ("huge", huge), ("cut", good[:45])]
+    got = {x.path: x for x in pictures.prepared_pictures(spark.createDataFrame([(p, bytearray(c), None) for p, c in rows], "path string, content binary, error string"), 4, 0).collect()}
+    assert got["good"].error is None and all(got[p].error and got[p].tensor is None for p in ("indexed", "huge", "cut"))
+    streams = [("a", b"YUV4MPEG2 W4 H2 F25:1 Cmono\n" + b"FRAME\n12345678" * 3), ("b", b"junk"), ("c", b""), ("d", None), ("e", b"YUV4MPEG2 W0 H2 F25:1\n"), ("f", b"YUV4MPEG2 W2 H2 F1:0\n")]
+    files = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in streams], "path string, content binary")
+    frames = pictures.frame_scan(files, 0.0)
+    assert {x.path: (x.n, bool(x.error)) for x in frames.where("n is null").collect()} == {p: (None, True) for p in "bcdef"}
+    assert frames.where("path = 'a'").count() == 3 and {x.path for x in pictures.media_probe(files).where("error is not null").collect()} == set("bcdef")
+    tensors = pictures.scan_tensors(frames, 4, 0).collect()
+    assert {len(x.tensor) for x in tensors if x.path == "a"} == {48} and all(x.tensor is None for x in tensors if x.path != "a")
