@@ -240,7 +240,7 @@ def o05_normalise_path(s, d):
 
 @query
 def o06_url_scheme(s, d):
-    path = F.when(F.col("page_id") % 5 == 0, "  ").when(F.col("page_id") % 5 == 1, F.col("url")).when(F.col("page_id") % 5 == 2, F.substring("url", 9, 200)).when(F.col("page_id") % 5 == 3, "1x://y")
+    path = F.when(F.col("page_id") % 5 == 0, "  ").when(F.col("page_id") % 5 == 1, F.col("url")).when(F.col("page_id") % 5 == 2, F.expr("substring(url, 9)")).when(F.col("page_id") % 5 == 3, "1x://y")
     known = F.col("page_id") % 2 == 0
     return X.table(s, d, "pages").select("page_id", S.path_error(path, known).alias("error"))
 
@@ -317,7 +317,7 @@ def o49_used_models(s, d):
 @query
 def o72_coalesce(s, d):
     det = X.detections(s, d)
-    parts = [det.where(F.col("category") == c) for c in ("engagement", "conversion")]
+    parts = [det.where(F.col("category") == c) for c in ("engagement", "conversion", "system")]
     return C.combine_models(*parts).groupBy("media_id", "frame_index").agg(F.count("*").alias("tags"), F.count_distinct("category").alias("categories"))
 
 
@@ -371,8 +371,9 @@ def o18_dispatch(s, d):
 
 @query
 def o100_build_v1(s, d):
-    models = X.stored_models(s, d).where("category = 'a'").select("media_id", F.lit("engagement").alias("category"), "frame_interval", "threshold", "version", "ai_model_id", "file_name")
-    spans, checked = R.build_v1(X.detections(s, d).where("category = 'engagement'"), models, F.lit(X.INTERVAL))
+    each = F.explode(F.array(*map(F.lit, ("engagement", "conversion", "system")))).alias("category")
+    models = X.stored_models(s, d).where("category = 'a'").select("media_id", each, "frame_interval", "threshold", "version", "ai_model_id", "file_name")
+    spans, checked = R.build_v1(X.detections(s, d), models, F.lit(X.INTERVAL))
     text = R.to_json_v1(spans, checked, X.media(s, d))
     return _six(R.spans_of_v1(text))
 

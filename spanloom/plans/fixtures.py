@@ -64,18 +64,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten dimensions of embeddings as logits."""
-    probability = F.transform(F.slice("embedding", 1, 10), lambda x: 1.0 / (1.0 + F.exp(-8.0 * x.cast("double"))))
+    """All dimensions of embeddings as logits."""
+    probability = F.transform("embedding", lambda x: 1.0 / (1.0 + F.exp(-8.0 * x.cast("double"))))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_id"), F.col("label").cast("double").alias("frame_index"), F.lit("m1").alias("model"), probability.alias("scores"))
 
 
 def tags(spark: SparkSession) -> DataFrame:
-    return spark.range(10).select(F.lit("m1").alias("model"), F.col("id").cast("int").alias("idx"), F.concat(F.lit("t"), F.col("id")).alias("name"))
+    return spark.range(64).select(F.lit("m1").alias("model"), F.col("id").cast("int").alias("idx"), F.concat(F.lit("t"), F.col("id")).alias("name"))
 
 
 def mappings(spark: SparkSession) -> DataFrame:
     """Index to category; the last index has none."""
-    return spark.range(9).select(F.lit("m1").alias("model"), F.col("id").cast("int").alias("idx"), F.concat(F.lit("c"), F.col("id") % 3).alias("category"))
+    return spark.range(63).select(F.lit("m1").alias("model"), F.col("id").cast("int").alias("idx"), F.concat(F.lit("c"), F.col("id") % 3).alias("category"))
 
 
 def image_rule_rows(spark: SparkSession) -> DataFrame:

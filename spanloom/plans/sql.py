@@ -21,11 +21,11 @@ FRAMES = (
     "l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS n FROM lineitem)"
 )
 SCORES = (
-    "e AS (SELECT vec_id AS media_id, label::DOUBLE AS frame_index, unnest(range(10))::INTEGER AS idx, "
-    "1.0::DOUBLE / (1.0::DOUBLE + exp(-8.0::DOUBLE * unnest(embedding[1:10])::DOUBLE)) AS score FROM embeddings), "
+    "e AS (SELECT vec_id AS media_id, label::DOUBLE AS frame_index, unnest(range(64))::INTEGER AS idx, "
+    "1.0::DOUBLE / (1.0::DOUBLE + exp(-8.0::DOUBLE * unnest(embedding)::DOUBLE)) AS score FROM embeddings), "
     "tagged AS (SELECT media_id, frame_index, idx, 't' || idx AS tag, round_even(score, 2)::DOUBLE AS confidence FROM e WHERE score > 0.55::DOUBLE)"
 )
-ROUTED = "routed AS (SELECT media_id, 'c' || (idx % 3) AS category, tag, idx, frame_index, confidence FROM tagged WHERE idx < 9)"
+ROUTED = "routed AS (SELECT media_id, 'c' || (idx % 3) AS category, tag, idx, frame_index, confidence FROM tagged WHERE idx < 63)"
 STORED = (
     "stored AS (SELECT c_custkey AS media_id, category, 1.0::DOUBLE + c_custkey % 3 AS frame_interval, 0.1::DOUBLE * (c_custkey % 5) AS threshold, "
     "1.0::DOUBLE + c_custkey % 2 AS version, CASE WHEN c_custkey % 7 = 0 THEN 950 ELSE 200 + c_custkey % 4 END AS ai_model_id, 'f' || (c_custkey % 6) AS file_name "
@@ -216,7 +216,7 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
         ),
         "o05_normalise_path": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(url) ELSE replace(trim(url), '/', '\\') END AS source FROM pages",
         "o06_url_scheme": (
-            "WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN url WHEN 2 THEN substr(url, 9, 200) WHEN 3 THEN '1x://y' END AS p FROM pages) "
+            "WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN url WHEN 2 THEN substr(url, 9) WHEN 3 THEN '1x://y' END AS p FROM pages) "
             "SELECT page_id, CASE WHEN p IS NULL OR trim(p) = '' THEN 'empty path' WHEN regexp_matches(trim(p), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN NULL WHEN page_id % 2 <> 0 THEN 'not found' END AS error FROM x"
         ),
         "o07_duration": (
@@ -238,7 +238,7 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
         "o46_passthrough": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 't,' || page_id ELSE '' END AS tags FROM pages",
         "o48_skip": "SELECT n_name AS name, n_nationkey % 7 < 3 AND n_nationkey % 5 < 2 AS skipped FROM nation",
         "o49_used_models": "SELECT n_name AS name, n_nationkey AS identifier, (n_nationkey % 3)::DOUBLE AS version FROM nation WHERE NOT (n_nationkey % 7 < 3 AND n_nationkey % 5 < 2)",
-        "o72_coalesce": f"WITH {det()} SELECT media_id, frame_index, count(*) AS tags, count(DISTINCT category) AS categories FROM det WHERE category <> 'system' GROUP BY ALL",
+        "o72_coalesce": f"WITH {det()} SELECT media_id, frame_index, count(*) AS tags, count(DISTINCT category) AS categories FROM det GROUP BY ALL",
         "o73_await": f"WITH {det()} SELECT media_id, count(DISTINCT frame_index) AS frames, count(*) AS detections FROM det GROUP BY media_id",
         "o98_reprocess": f"WITH {PLAN} SELECT media_id, category, need FROM need",
         "o99_plan": f"WITH {PLAN} SELECT media_id, bool_or(NOT known OR need = 2) AS work, count(*) FILTER (WHERE NOT (NOT known OR need = 2)) AS skipped FROM need GROUP BY media_id",
@@ -255,7 +255,7 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "SELECT media_id, category, 2.0::DOUBLE AS frame_interval, 0.3::DOUBLE AS threshold, version, ai_model_id, file_name FROM m"
         ),
         "o18_dispatch": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v3' WHEN 2 THEN CASE WHEN props IS NULL THEN 'none' ELSE 'v0' END ELSE 'none' END AS kind FROM events",
-        "o100_build_v1": f"WITH {runs()} SELECT {FLAT}, round(confidence, 6) AS confidence FROM spans WHERE category = 'engagement'",
+        "o100_build_v1": f"WITH {runs()} SELECT {FLAT}, round(confidence, 6) AS confidence FROM spans",
         "o102_build_v3": f"WITH {runs(2, 4.0, False)} SELECT {FLAT} FROM spans",
         "o81_apportion": (
             "WITH x AS (SELECT l_orderkey % 500 AS batch, l_suppkey AS root, count(*) AS items FROM lineitem GROUP BY ALL) "
