@@ -18,7 +18,6 @@ from spanloom.llm.registry import WORD_BPE, vocabulary
 from spanloom.llm.shared import stash, table
 from spanloom.llm.toxicity import drop_toxic
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Target shares of the mixed corpus, and its size as a multiple of the distinct documents (two epochs).
 WEIGHTS, EPOCHS = {"src0": 0.25, "*": 0.75}, 2.0
 
@@ -61,7 +60,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: The stages' models, components and encodings are beyond SQL; tests hold run() against a brute-force version.
+#: The stages' models, components and encodings are beyond SQL; a test holds run() against brute force over all pairs.
 ORACLE_SQL = None
 
 

@@ -12,7 +12,6 @@ import heapq
 import json
 import mmap
 import os
-import tempfile
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -121,9 +120,15 @@ class MinimalLexicon:
         arrays = [np.asarray(p, np.int32) for p in parts]
         return np.array([len(a) for a in arrays], np.int32).tobytes() + b"".join(a.tobytes() for a in arrays)
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
+    def __init__(self, image: str | bytes):
+        """image: a file's path, or its content, for which an anonymous map is made."""
+        if isinstance(image, bytes):
+            held = mmap.mmap(-1, len(image))
+            held.write(image)
+        else:
+            with open(image, "rb") as f:
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        view = memoryview(held).cast("i")
         at, parts = 7, []
         for n in view[:7]:
             parts.append(view[at : at + n])
@@ -153,13 +158,7 @@ class BpeCodec:
         self.letter, self.last = [self.vocab[c] for c in byte_letters()], [self.vocab[c + END] for c in byte_letters()]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.lexicon = None
-        if image is not None:
-            fd, path = tempfile.mkstemp(suffix=".lexicon")
-            with os.fdopen(fd, "wb") as f:
-                f.write(image)
-            self.lexicon = MinimalLexicon(path)
-            os.unlink(path)  # the map stays
+        self.lexicon = MinimalLexicon(image) if image is not None else None
         self.young: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
         keys = np.fromiter(self.rank, np.int64, len(self.rank))

@@ -222,7 +222,7 @@ _LETTER = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, term, place, kin0, kin1, kin2) of each text's possible terms."""
+    """(toxic, term, kin0, kin1, kin2) of each text's possible terms."""
     for batch in batches:
         for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
             raw = text.lower().split()
@@ -230,17 +230,17 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             threes = mix64(mix64(mix64(codes[:-2]) + codes[1:-1]) + codes[2:]) if len(codes) > 2 else codes
             kin = [int(mix64(threes ^ np.uint64(k)).min().view(np.int64)) for k in range(3)]
             found = set()
-            for k, w in enumerate(raw):
+            for w in raw:
                 if w[0] in QUOTES or w.rstrip(".,;:!?")[-1:] in QUOTES:
                     continue
                 m = _LETTER.search(w)
                 if m and 4 <= len(m[0]) <= LONGEST_TERM:
-                    found.add((m[0], int(codes[k - 1].view(np.int64)) if k else 0))
+                    found.add(m[0])
             for run in _SPACELESS.findall(text):
-                found.update((run[k : k + n], kin[0]) for n in GRAMS for k in range(len(run) - n + 1))
+                found.update(run[k : k + n] for n in GRAMS for k in range(len(run) - n + 1))
             terms = sorted(found)
             yield pa.record_batch({
-                "toxic": pa.array([toxic] * len(terms), pa.int64()), "term": pa.array([t for t, _ in terms], pa.string()), "place": pa.array([x for _, x in terms], pa.int64()),
+                "toxic": pa.array([toxic] * len(terms), pa.int64()), "term": pa.array(terms, pa.string()),
                 **{f"kin{k}": pa.array([x] * len(terms), pa.int64()) for k, x in enumerate(kin)},
             })
 
@@ -250,11 +250,10 @@ def hash_word(word: str) -> int:
 
 
 def learn_lexicon(rows: DataFrame) -> list[str]:
-    """Terms of ``rows(text, toxic)``: those in far more places of toxic texts than of others.
+    """Terms of ``rows(text, toxic)``: those in far more toxic texts than in others.
 
-    A place is the word before a term.  A term counts no more often than its texts have distinct least hashes of
-    three words, by any of three hashes: near copies of one document mostly share those, so they and equal texts
-    count about once, as does one document, however long.
+    A term counts as often as its texts have distinct least hashes of three words, by the least of three hashes: near
+    copies of one document mostly share those, so they and equal texts count about once.
 
     Words with a quotation mark at an end are mentions and count on neither side.  Runs in scripts without spaces
     count by their letter sequences of ``GRAMS`` letters.
@@ -264,15 +263,15 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     toxic, clean = int(sides[0]), int(sides[1] - sides[0])
     if not toxic or not clean:
         return []
-    spots = ("place", "kin0", "kin1", "kin2")
-    words = rows.select("toxic", "text").mapInArrow(_term_rows, "toxic long, term string, place long, kin0 long, kin1 long, kin2 long")
+    kin = ("kin0", "kin1", "kin2")
+    words = rows.select("toxic", "text").mapInArrow(_term_rows, "toxic long, term string, kin0 long, kin1 long, kin2 long")
     side = lambda k, n: F.coalesce(F.sum(F.when(F.col("toxic") == k, n)), F.lit(0))
     lift = (F.col("t") + 0.01) / toxic / ((F.col("c") + 0.5) / clean)
     least = max(LEAST, int(np.ceil(MIN_SHARE * toxic)))
     # the distinct counts are of those terms only that toxic texts hold often enough, and twice as often as others, at all
     often = words.groupBy("term").agg(side(1, F.lit(1)).alias("t"), side(0, F.lit(1)).alias("c"))
     often = often.where((F.col("t") >= least) & (F.col("t") / toxic >= 2 * F.col("c") / clean)).select("term")
-    terms = words.join(checked_broadcast(often), "term", "left_semi").groupBy("term", "toxic").agg(F.least(*(F.count_distinct(c) for c in spots)).alias("n"))
+    terms = words.join(checked_broadcast(often), "term", "left_semi").groupBy("term", "toxic").agg(F.least(*(F.count_distinct(c) for c in kin)).alias("n"))
     terms = terms.groupBy("term").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("c"))
     best = terms.where((F.col("t") >= least) & (lift >= MIN_LIFT)).orderBy(F.desc("t"), "term").limit(MAX_TERMS)
     return [r.term for r in best.collect()]

@@ -306,3 +306,78 @@ def test_pipeline_stages_keep_their_contract(spark):
             assert all(r.text in before[r.doc_id].text or "\n" in before[r.doc_id].text for r in rows)
             assert all(r.n_chars == len(r.text) for r in rows if r.text != before[r.doc_id].text)
         docs = out
+
+
+def test_pipeline_run_equals_brute_force(spark, tmp_path):
+    """All five stages over a small corpus: all pairs of lines, all pairs of documents, the tokenizers library."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from test_near_duplicates import closure, shingles
+
+    from spanloom.llm import line_dedup, toxicity
+
+    r = random.Random(77)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    footer, rows, labels = line(9), [], []
+    for i in range(150):
+        lines = [line(r.randint(1, 14)) for _ in range(r.randint(1, 6))]
+        if i % 4 == 0:
+            lines.append(footer[:-1] + r.choice("xyz") if i % 8 else footer)
+        bad = i % 5 == 1
+        if bad:
+            lines[0] += " you " + r.choice(["grumbler", "snarkler"]) + " " + word()
+        rows.append((i, "\n".join(lines), "en", f"src{i % 3}", 0))
+        labels.append((i, 1, int(bad)))
+    rows += [(200 + i, rows[i][1] + " tail", "en", "src1", 0) for i in (0, 7, 12)] + [(210, rows[3][1], "en", "src0", 0), (211, None, "en", None, 0), (212, "", "en", "src0", 0), (213, footer, "fr", "src2", 0)]
+    rows = [(i, t, lang, s, len(t or "")) for i, t, lang, s, _ in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    terms, w = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert {"grumbler", "snarkler"} <= set(terms)
+    x = toxicity.Scorer(terms).features(pa.array([t for _, t, *_ in rows]))
+    left = [row for row, f in zip(rows, x) if 1 / (1 + math.exp(-(w[0] + f @ np.array(w[1:])))) < 0.5]
+    assert 20 < len(rows) - len(left) < 40
+
+    spots = [(i, p, line_dedup.normal(y)) for i, t, *_ in sorted(left) for p, y in enumerate((t or "").split("\n")) if line_dedup.normal(y)]
+    forms = sorted({f for _, _, f in spots})
+    fuzzy = [len(f) - f.count(" ") >= line_dedup.WHOLE["letters"] for f in forms]
+    root = closure(len(forms), [(a, b) for a in range(len(forms)) for b in range(a) if fuzzy[a] and fuzzy[b] and line_dedup.similar(forms[a], forms[b])])
+    number, seen, gone = {f: k for k, f in enumerate(forms)}, set(), {}
+    for i, p, f in spots:
+        if root[number[f]] in seen:
+            gone.setdefault(i, set()).add(p)
+        seen.add(root[number[f]])
+    kept = []
+    for i, t, lang, s, n in left:
+        lines = [y for p, y in enumerate((t or "").split("\n")) if p not in gone.get(i, ())]
+        if i not in gone:
+            kept.append((i, t, lang, s, n))
+        elif any(map(line_dedup.normal, lines)):
+            kept.append((i, "\n".join(lines), lang, s, len("\n".join(lines))))
+    assert gone and len(kept) < len(left)
+
+    sets = [shingles(t) for _, t, *_ in kept]
+    order = sorted(range(len(kept)), key=lambda k: kept[k][0])
+    pairs = [(a, b) for a in range(len(order)) for b in range(a) if (p := sets[order[a]]) and (q := sets[order[b]]) and 100 * len(p & q) >= 75 * len(p | q)]
+    root = closure(len(order), pairs)
+    single = [kept[order[k]] for k in range(len(order)) if root[k] == k]
+
+    group = lambda s: s if s == "src0" else "*"
+    sizes = Counter(group(s) for *_, s, _ in single)
+    library, expected = tokenizers.Tokenizer.from_file(files.path("word_bpe_49k.json")), Counter()
+    for i, t, lang, s, n in single:
+        rate = pipeline.EPOCHS * len(single) * pipeline.WEIGHTS[group(s)] / sizes[group(s)]
+        u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        copies, total = 0, math.exp(-rate)
+        while total <= u:
+            copies += 1
+            total += math.exp(-rate) * rate**copies / math.factorial(copies)
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        if copies:
+            expected[i, t, lang, s, n, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] = copies
+    got = Counter((x.doc_id, x.text, x.lang, x.source, x.n_chars, x.n_tokens, x.ids_sha256) for x in pipeline.run(spark, str(tmp_path)).collect())
+    assert got == expected
