@@ -125,6 +125,7 @@ class LexiconAutomaton:
 
 _CORE = re.compile(r"\w(?:.*\w)?", re.S)
 _MARK = re.compile(r"[\W\d_]")
+_TWICE = re.compile(r"(.)\1", re.S)
 _RUN = re.compile(r"(.)\1*", re.S)
 _CUT = re.compile(r"[^\w*@$!|#%]+|_+")
 #: Letters of scripts written without spaces: Thai to Myanmar, Khmer, kana, Han.
@@ -161,9 +162,10 @@ class Scorer:
         found = self.automaton.match(core)
         if found and found[0] == 0:
             return 2
-        letters, runs = _runs(core)
-        if any(all(a >= b for a, b in zip(runs, term)) for term in self.stretched.get(letters, ())):
-            return 2  # letters of a term, some of them repeated
+        if _TWICE.search(core):
+            letters, runs = _runs(core)
+            if any(all(a >= b for a, b in zip(runs, term)) for term in self.stretched.get(letters, ())):
+                return 2  # letters of a term, some of them repeated
         if _MARK.search(word):
             plain = _core(word.strip(".,;:?()[]{}" + QUOTES).translate(PLAIN))
             other = self.automaton.match(plain)
@@ -180,7 +182,7 @@ class Scorer:
         best = self._whole(word)
         if best < 2 and _CUT.search(word):
             best = max(best, max((self._whole(part) for part in set(_CUT.split(word)) if part), default=0))
-        if best < 2:
+        if best < 2 and not word.isascii():
             for run in _SPACELESS.finditer(word):
                 if any(self.automaton.inside(run[0], k) for k in range(len(run[0]))):
                     return 2
