@@ -50,6 +50,16 @@ def with_rules(spans: DataFrame, rules: DataFrame) -> DataFrame:
     return spans.join(small(rules), ["category", "tag"]).where("confidence >= tag_threshold and min_marker_duration > 0")
 
 
+def with_interval(spans: DataFrame, metadata: DataFrame) -> DataFrame:
+    """O-65: spans with their category's frame_interval from metadata(media_id, category, frame_interval).
+
+    Evaluation fails, naming the category, where there is none.
+    """
+    known = metadata.select("media_id", "category", "frame_interval")
+    message = F.concat_ws(" ", F.lit("no frame interval is known for category"), F.col("category"))
+    return spans.join(known, ["media_id", "category"], "left").withColumn("frame_interval", F.coalesce("frame_interval", F.raise_error(message).cast("double")))
+
+
 def with_position(spans: DataFrame) -> DataFrame:
     return spans.withColumn("pos", F.coalesce("end", "start"))
 

@@ -13,8 +13,8 @@ from ..operators import metrics as M
 from ..operators import overlap as O
 from ..operators import results as R
 from ..operators import scoring as C
+from . import api, dag, sql
 from . import fixtures as X
-from . import sql
 
 _registered: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -136,6 +136,40 @@ def o61_desired_lookup(s, d):
     return O.desired_lookup(wanted, X.rules(s))
 
 
+@query
+def o65_interval(s, d):
+    stored = X.stored_models(s, d)
+    spans = _model_spans(s, d, "x").join(stored.select("media_id", "category"), ["media_id", "category"], "left_semi")
+    return _six(I.with_interval(spans, stored).select("media_id", "category", "start", "frame_interval"))
+
+
+@query
+def o62_methods(s, d):
+    spans, parts = I.with_rules(_spans(s, d), X.rules(s)), None
+    for name in sorted(api.METHODS):
+        found = api.METHODS[name](spans, X.INTERVAL).groupBy("media_id", "category", "tag").agg(F.count("*").alias("markers")).withColumn("method", F.lit(name))
+        parts = found if parts is None else parts.unionByName(found)
+    return parts.where("method <> 'cluster'")
+
+
+@query
+def o63_tag_info(s, d):
+    none = s.createDataFrame([], "media_id long, category string")
+    return api.tag_info(_spans(s, d), none, X.rules(s), X.media(s, d), X.INTERVAL, "gap").tags
+
+
+@query
+def o114_pipeline(s, d):
+    """A spec whose steps stand in reverse order; they run in order of their inputs."""
+    dag.step("catalog_spans")(lambda found: I.run_lengths(found, F.lit(X.INTERVAL)))
+    dag.step("catalog_markers")(lambda spans, rules: I.merge_gaps(I.with_rules(spans, rules), F.lit(X.INTERVAL)))
+    spec = {
+        "inputs": ["found", "rules"], "output": "markers", "short_name": "catalog", "version": 1.0,
+        "models": [{"name": "catalog_markers", "inputs": ["spans", "rules"], "outputs": ["markers"]}, {"name": "catalog_spans", "inputs": ["found"], "outputs": ["spans"]}],
+    }
+    return _six(dag.Pipeline(spec).run(X.detections(s, d), X.rules(s)))
+
+
 # rules and scalars -------------------------------------------------------------------------------------------
 
 
@@ -232,6 +266,18 @@ def o02_zip_split(s, d):
     return X.table(s, d, "pages").select("page_id", S.archive_path(path).alias("archive"), S.archive_member(path).alias("member"))
 
 
+@query
+def o03_member_name(s, d):
+    path = F.concat(F.lit("//"), F.replace(F.col("url"), F.lit("/"), F.lit("\\")))
+    return X.table(s, d, "pages").select("page_id", S.member_name(path).alias("member"))
+
+
+@query
+def o14_backend(s, d):
+    wanted = F.element_at(F.array(F.lit("auto"), F.lit("gpu"), F.lit("frame"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return X.table(s, d, "part").select("p_partkey", S.active_backend(wanted, True).alias("with_gpu"), S.active_backend(wanted, False).alias("without"))
+
+
 @query
 def o05_normalise_path(s, d):
     path = F.concat(F.lit("  "), F.replace(F.col("url"), F.lit("/"), F.lit("\\")), F.lit(" "))
@@ -345,6 +391,16 @@ def _model_spans(s, d, which):
     return rows.select("media_id", "category", F.lit(which).alias("tag"), (F.col("media_id") % 10).cast("double").alias("start"), (F.col("media_id") % 10 + 4).cast("double").alias("end"))
 
 
+@query
+def o104_short_circuit(s, d):
+    return R.work_by_media(R.plan_reuse(X.active_models(s, d), X.stored_models(s, d))).where("not work").select("media_id", "skipped")
+
+
+@query
+def o99_skip_lists(s, d):
+    return R.skip_lists(R.plan_reuse(X.active_models(s, d), X.stored_models(s, d))).select("media_id", F.array_join("skip", ",").alias("skip"))
+
+
 @query
 def o101_upsert(s, d):
     updated = R.updated_categories(X.stored_models(s, d), X.active_models(s, d))

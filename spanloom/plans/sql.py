@@ -241,6 +241,16 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
         "o72_coalesce": f"WITH {det()} SELECT media_id, frame_index, count(*) AS tags, count(DISTINCT category) AS categories FROM det GROUP BY ALL",
         "o73_await": f"WITH {det()} SELECT media_id, count(DISTINCT frame_index) AS frames, count(*) AS detections FROM det GROUP BY media_id",
         "o98_reprocess": f"WITH {PLAN} SELECT media_id, category, need FROM need",
+        "o104_short_circuit": f"WITH {PLAN} SELECT media_id, count(*) AS skipped FROM need GROUP BY media_id HAVING NOT bool_or(NOT known OR need = 2)",
+        "o99_skip_lists": f"WITH {PLAN} SELECT media_id, string_agg(category, ',' ORDER BY category) AS skip FROM need WHERE known AND need < 2 GROUP BY media_id",
+        "o65_interval": f"WITH {STORED} SELECT media_id, category, (media_id % 10)::DOUBLE AS \"start\", frame_interval FROM stored",
+        "o63_tag_info": f"WITH {TOTALS} SELECT DISTINCT media_id, category, display AS video_tag FROM tot WHERE required_duration > 0 AND total >= required_duration",
+        "o114_pipeline": f"WITH {WANTED} SELECT {FLAT} FROM wanted",
+        "o03_member_name": "SELECT page_id, ltrim(replace('//' || replace(url, '/', chr(92)), chr(92), '/'), '/') AS member FROM pages",
+        "o14_backend": (
+            "WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'gpu' WHEN 2 THEN 'frame' ELSE 'auto' END AS w FROM part) "
+            "SELECT p_partkey, w AS with_gpu, CASE WHEN w = 'frame' THEN w ELSE 'cpu' END AS without FROM x"
+        ),
         "o99_plan": f"WITH {PLAN} SELECT media_id, bool_or(NOT known OR need = 2) AS work, count(*) FILTER (WHERE NOT (NOT known OR need = 2)) AS skipped FROM need GROUP BY media_id",
         "o101_upsert": (
             f"WITH {PLAN} SELECT media_id, category, CASE WHEN NOT known OR need > 0 THEN 'new' ELSE 'old' END AS tag, (media_id % 10)::DOUBLE AS \"start\", (media_id % 10 + 4)::DOUBLE AS \"end\" FROM need"
@@ -278,4 +288,6 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
         ),
     }
     q["o53_cluster_windowed"] = q["o53_cluster"]
+    counted = "SELECT {k}, count(*) AS markers, '{m}' AS method FROM ({sql}) GROUP BY ALL"
+    q["o62_methods"] = " UNION ALL ".join(counted.format(k=K, m=m, sql=q[n]) for m, n in (("gap", "o52_merge_gap"), ("proportional", "o54_merge_prop")))
     return q
