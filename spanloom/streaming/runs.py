@@ -5,13 +5,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEY = ["media_id", "category", "tag"]
 
 
+class Gauge(StreamingQueryListener):
+    """O-109: batches begun and ended, input rows and the rows still waiting, of the streaming queries of a session.
+
+    ``spark.streams.addListener(gauge)``; waiting is the last batch's backlog where the source reports one.
+    """
+
+    def __init__(self):
+        self.running: set[str] = set()
+        self.batches = self.rows = self.waiting = 0
+
+    def onQueryStarted(self, event) -> None:
+        self.running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches += 1
+        self.rows += p.numInputRows
+        self.waiting = sum(int((s.metrics or {}).get("numFilesOutstanding", (s.metrics or {}).get("maxOffsetsBehindLatest", 0)) or 0) for s in p.sources)
+
+    def onQueryIdle(self, event) -> None:
+        self.waiting = 0
+
+    def onQueryTerminated(self, event) -> None:
+        self.running.discard(str(event.runId))
+
+
+def bounded_stream(spark: SparkSession, path: str, schema: str, most_files: int, kind: str = "parquet") -> DataFrame:
+    """O-106: a file stream whose batches take at most ``most_files`` new files, so a backlog waits in the source."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).format(kind).load(path)
+
+
+def batched_writer(stream: DataFrame, handle, checkpoint: str, wait: str | None = None):
+    """O-105: ``handle(batch, number)`` of each micro-batch, begun every ``wait``; with None, of all there is, then the end."""
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=wait) if wait else writer.trigger(availableNow=True)
+
+
 def stream_runs(detections: DataFrame, interval: int, max_merge: int, delay: str) -> DataFrame:
     """O-51 without confidence: detections(media_id, category, tag, ts) to closed runs.
 

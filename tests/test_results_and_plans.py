@@ -333,3 +333,31 @@ def test_damaged_png_and_streams_are_item_errors(spark):
     assert frames.where("path = 'a'").count() == 3 and {x.path for x in pictures.media_probe(files).where("error is not null").collect()} == set("bcdef")
     tensors = pictures.scan_tensors(frames, 4, 0).collect()
     assert {len(x.tensor) for x in tensors if x.path == "a"} == {48} and all(x.tensor is None for x in tensors if x.path != "a")
+
+
+def test_bounded_batches_and_gauge(spark, tmp_path):
+    for k in range(5):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    gauge, seen = streams.Gauge(), []
+    spark.streams.addListener(gauge)
+    try:
+        rows = streams.bounded_stream(spark, str(tmp_path / "in"), "id long", 2)
+        query = streams.batched_writer(rows, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "c")).start()
+        assert query.awaitTermination(60)
+        for _ in range(50):
+            if gauge.rows == 50 and not gauge.running:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(gauge)
+    assert sorted(n for _, n in seen) == [10, 20, 20] and gauge.rows == 50 and not gauge.running and gauge.batches >= 3
+
+
+def test_missing_interval_is_an_error(spark):
+    spans = spark.createDataFrame([(1, "a", "t", 0.0, 4.0), (1, "b", "t", 0.0, 4.0)], "media_id long, category string, tag string, start double, end double")
+    known = spark.createDataFrame([(1, "a", 2.0)], "media_id long, category string, frame_interval double")
+    from spanloom.operators import intervals as I
+
+    assert I.with_interval(spans.where("category = 'a'"), known).first().frame_interval == 2.0
+    with pytest.raises(Exception, match="category b"):
+        I.with_interval(spans, known).collect()
