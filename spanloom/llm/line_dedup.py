@@ -1,6 +1,6 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one line a group.
 
-A line's normal form is lower case with every run of other characters than letters and digits as one space.
+Texts and lines of any length are read whole.  A line's normal form is lower case with every run of other characters than letters and digits as one space.
 Lines with at least ``LEAST`` words take part.  Two of them are linked if their 64-bit SimHashes, over all
 words (``WHOLE``; by default distinct ones of at least ``LONG_WORD`` bytes), differ in at most ``BITS`` bits and their normal forms' edit similarity is
 at least ``PERCENT``.  With ``BLOCKS`` blocks, such hashes agree on ``BLOCKS - BITS`` of them, so each choice of so

@@ -113,7 +113,9 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links of ``100 * shared >= percent * union`` distinct
-    ``width``-word shingles; kept says whether the row's doc_id is that one.
+    ``width``-word shingles; kept says whether the row's doc_id is that one.  Texts of any length are read whole, a
+    chunk at a time; a row without an id joins no group but takes its class's component_id; other columns, whatever
+    their names, are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stash(docs.mapInArrow(

@@ -91,7 +91,8 @@ def load_pieces(model_file: str) -> tuple[list[str], list[str]]:
 def token_counts(docs: DataFrame, initial: list[str], continuation: list[str]) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every row; words are maximal runs outside ASCII white space, A-Z lower.
 
-    Null and empty texts have zeros.  The vocabulary (its size is the file's, whatever the corpus) goes to each
+    Null and empty texts have zeros; texts and words of any length are read whole; repeated rows and null ids are
+    rows like others; other columns, whatever their names, are not read.  The vocabulary (its size is the file's, whatever the corpus) goes to each
     worker once; only a chunk's distinct words are run.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast((initial, continuation))

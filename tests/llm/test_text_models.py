@@ -77,6 +77,22 @@ def test_bpe_equals_library(spark):
     assert bpe_digests(docs(spark, []), path).count() == 0
 
 
+def test_token_counts_of_whole_texts_equal_library(spark):
+    initial, more = load_pieces(files.path("piece_bpe_32k.model"))
+    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(initial + ["##" + x for x in more] + ["[UNK]"]))}
+    t = tokenizers.Tokenizer(tokenizers.models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=10**9))
+    r = random.Random(9)
+    rows = [(i, " \n".join("".join(r.choice("etaoinsh éß,.☃AB") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 60)))) for i in range(40)]
+    rows += [(None, "no id here"), (None, "no id here"), (50, "x" * 1500), (51, "the end " * 30_000), (52, None), (53, " \t")]
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_words, x.n_tokens, x.n_unknown) for x in token_counts(docs(spark, rows), initial, more).collect())
+    expected = []
+    for i, text in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(UPPER))
+        each = {w: t.encode(w).tokens for w in set(words)}
+        expected.append((i is None, i or 0, len(words), sum(len(each[w]) for w in words), sum(each[w] == ["[UNK]"] for w in words)))
+    assert got == sorted(expected)
+
+
 def test_every_code_point_equals_library():
     path = files.path("word_bpe_49k.json")
     t, codec = tokenizers.Tokenizer.from_file(path), BpeCodec(load_spec(path))
