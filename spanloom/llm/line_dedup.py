@@ -384,10 +384,18 @@ def _block(bits: int, percent: int):
         is_q, is_x = (task[c].to_numpy(zero_copy_only=False) for c in ("q", "x"))
         forms = task["form"].to_pylist()
         length, counts = _profiles(forms)
+        band = task["key"].to_numpy() >> 32
+        keys = task["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if "bands" in task.column_names else None
         a, b, done = [], [], set()
         for q, x in _pairs(group, is_q, is_x):
             near = np.flatnonzero((comp[q] != comp[x]) & (np.bitwise_count((sims[q] ^ sims[x]).view(np.uint64)) <= bits))
             q, x = q[near], x[near]
+            # where both are on both sides, one order is enough
+            near = np.flatnonzero(~(is_x[q] & is_q[x]) | (ids[q] < ids[x]))
+            q, x = q[near], x[near]
+            if keys is not None:  # lines that meet in several bands are compared in the first, or were as hub and member
+                near = np.concatenate([lo + np.flatnonzero((keys[q[lo : lo + 65536]] == keys[x[lo : lo + 65536]]).argmax(1) == band[q[lo : lo + 65536]]) for lo in range(0, len(q), 65536)] or [near])
+                q, x = q[near], x[near]
             near = np.flatnonzero(np.abs(length[q] - length[x]) <= np.maximum(length[q], length[x]) * (100 - percent) // 100)
             for lo in range(0, len(near), 1 << 14):
                 part = near[lo : lo + (1 << 14)]
@@ -426,7 +434,7 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
     # one exchange of the bucket rows; sorted, each bucket is a run whose first id is its hub
     buckets = buckets.repartition("key").sortWithinPartitions("key", "id")
     met = stash(buckets.mapInArrow(_meetings(bits, percent), "key long, a long, b long, near boolean, more boolean"))
-    sims = each.select("id", "sim")
+    sims = each.select("id", "sim", *(["bands"] if bands else []))
 
     def texts(wanted: DataFrame) -> DataFrame:
         """Normal forms of the wanted lines."""
