@@ -85,11 +85,18 @@ def zone_blocks(points: DataFrame, dims: int, block_rows: int = BLOCK_ROWS) -> D
     range (three deviations either way).  Equal keys are told apart by a hash of the id, so that many copies of a vector are
     spread over tasks.
     """
-    x = [F.col("q")[i].cast("double") for i in range(dims)]
-    stats = points.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("m", F.avg), ("v", F.var_pop)))).first()
-    spread = sorted(range(dims), key=lambda i: (-(stats[f"v{i}"] or 0.0), i))[:CURVE_DIMS]
-    middle = np.array([stats[f"m{i}"] or 0.0 for i in spread])
-    reach = np.array([3 * (stats[f"v{i}"] or 0.0) ** 0.5 + 1e-9 for i in spread])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _matrix(b.column("q"), dims).astype(float)
+            n = np.full(dims, len(q), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(dims, dtype=np.int32), n, q.sum(0), (q * q).sum(0))], ["i", "n", "s", "ss"])
+
+    stats = points.mapInArrow(moments, "i int, n long, s double, ss double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    means = {r["i"]: (r["s"] / r["n"], max(0.0, r["ss"] / r["n"] - (r["s"] / r["n"]) ** 2)) for r in stats.where("n > 0").collect()}
+    spread = sorted(means, key=lambda i: (-means[i][1], i))[:CURVE_DIMS]
+    middle = np.array([means[i][0] for i in spread])
+    reach = np.array([3 * means[i][1] ** 0.5 + 1e-9 for i in spread])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +172,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterato
 
 
 def centroid_step(blocks: DataFrame, centroids: np.ndarray) -> dict[int, tuple[int, list[int]]]:
-    """One round's counts and component sums by cluster; k rows come to the driver."""
+    """One round's counts and component sums by cluster; k * dims rows come to the driver."""
     dims = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +183,14 @@ def centroid_step(blocks: DataFrame, centroids: np.ndarray) -> dict[int, tuple[i
                 count[c] += mine.sum()
                 sums[c] += q[mine].sum(0, dtype=np.int64)
         used = np.flatnonzero(count)
-        flat = pa.ListArray.from_arrays(np.arange(0, len(used) * dims + 1, dims, dtype=np.int32), pa.array(sums[used].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used]), flat], ["cluster", "n", "sums"])
-
-    parts = blocks.mapInArrow(run, "cluster int, n long, sums array<long>")
-    total = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *(F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)))
-    return {r["cluster"]: (r["n"], [int(r[f"s{i}"]) for i in range(dims)]) for r in total.collect()}
+        columns = (np.repeat(used, dims).astype(np.int32), np.tile(np.arange(dims, dtype=np.int32), len(used)), np.repeat(count[used], dims), sums[used].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cluster", "i", "n", "s"])
+
+    parts = blocks.mapInArrow(run, "cluster int, i int, n long, s long").groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+    total: dict[int, tuple[int, list[int]]] = {}
+    for r in parts.collect():
+        total.setdefault(r["cluster"], (r["n"], [0] * dims))[1][r["i"]] = int(r["s"])
+    return total
 
 
 def first_centroids(points: DataFrame, k: int, seed: int) -> np.ndarray:
