@@ -11,6 +11,7 @@ from ..operators import intervals as I
 from ..operators import overlap as O
 from ..operators import results as R
 from ..operators.scoring import image_rules
+from ..operators.segments import merge_buckets_segmented
 from ..operators.sizes import small
 from .dag import Model, Pipeline, Registry, score_frames
 
@@ -38,7 +39,7 @@ ACTIVE = "cluster"
 def _clustered(spans: DataFrame, interval: float, params: dict) -> DataFrame:
     buckets = I.adjacency_buckets(spans, F.lit(interval))
     least = spans.select(*I.KEY, "min_marker_duration").distinct()
-    merged = I.merge_buckets(buckets, params=params).join(least, I.KEY)
+    merged = merge_buckets_segmented(buckets, params=params).join(least, I.KEY)
     return I.keep_long(merged, F.col("min_marker_duration")).drop("min_marker_duration")
 
 

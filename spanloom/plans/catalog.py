@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import overlap as O
 from ..operators import results as R
 from ..operators import scoring as C
+from ..operators import segments as G
 from . import api, dag, sql
 from . import fixtures as X
 
@@ -84,6 +85,13 @@ def o53_cluster_windowed(s, d):
     return _six(I.keep_long(merged, F.lit(X.LEAST)))
 
 
+@query
+def o53_cluster_segmented(s, d):
+    """Keys cut at gaps that nothing bridges; segments dealt over tasks."""
+    buckets = I.adjacency_buckets(_cluster_spans(s, d), F.lit(X.INTERVAL))
+    return _six(I.keep_long(G.merge_buckets_segmented(buckets, tasks=int(s.conf.get("spark.sql.shuffle.partitions"))), F.lit(X.LEAST)))
+
+
 @query
 def o54_merge_prop(s, d):
     return _six(I.merge_proportional(I.with_rules(_spans(s, d), X.rules(s)), str(X.INTERVAL)))
@@ -109,6 +117,12 @@ def o57_overlap(s, d):
     return _six(O.overlap(_markers(s, d), _wanted(s, d), I.KEY))
 
 
+@query
+def o57_overlap_stretches(s, d):
+    """Ends dealt by key and stretch of five days."""
+    return _six(O.overlap(_markers(s, d), _wanted(s, d), I.KEY, span=120.0))
+
+
 @query
 def o58_loss(s, d):
     return _six(O.loss(_markers(s, d), _wanted(s, d)))
@@ -119,13 +133,10 @@ def o59_count_mismatch(s, d):
     return O.count_mismatch(_markers(s, d), _wanted(s, d))
 
 
-GRID = {"density_weight": [0.02, 0.04], "gap_factor": [0.5, 0.85, 1.2], "average_factor": [0.25, 0.5], "min_gap": [0.0, 6.0]}
-
-
 @query
 def o60_grid(s, d):
     buckets = I.adjacency_buckets(_cluster_spans(s, d), F.lit(X.INTERVAL))
-    return _six(O.grid_search(buckets, _wanted(s, d), O.parameter_grid(s, **GRID), X.LEAST))
+    return _six(O.grid_search(buckets, _wanted(s, d), O.parameter_grid(s, **O.DEFAULT_SWEEP), X.LEAST))
 
 
 @query
@@ -503,4 +514,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.queries(GRID)
+    return sql.queries(O.DEFAULT_SWEEP)

@@ -81,7 +81,7 @@ BUCKETS = (
 )
 
 
-def passes(keys: str, dw: str, gf: str, af: str, mg: str, source: str = "p0") -> str:
+def passes(keys: str, dw: str, gf: str, af: str, mg: str, source: str = "p0", more: str = "") -> str:
     """Ten passes of pair merging, each as three windows."""
     w = f"WINDOW w AS (PARTITION BY {keys} ORDER BY s)"
     weight = lambda x: f"(({x}e - {x}s + 6.0::DOUBLE) * (1 + {dw} * ({x}tc / ({x}e - {x}s + 6.0::DOUBLE))))"
@@ -94,7 +94,7 @@ def passes(keys: str, dw: str, gf: str, af: str, mg: str, source: str = "p0") ->
             f"y{k} AS (SELECT *, coalesce(ns - e - 6.0::DOUBLE <= {mg} + (least({a}, {b}) + abs({a} - {b}) * {af}) * {gf}, false) AS m FROM x{k}), "
             f"z{k} AS (SELECT *, m AND (rn - 1 - coalesce(max(CASE WHEN NOT m THEN rn END) OVER (PARTITION BY {keys} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 0 AS h FROM y{k}), "
             f"v{k} AS (SELECT *, coalesce(lag(h) OVER w, false) AS g FROM z{k} {w}), "
-            f"p{k} AS (SELECT {keys}, s, CASE WHEN h THEN ne ELSE e END AS e, CASE WHEN h THEN tc + ntc ELSE tc END AS tc FROM v{k} WHERE NOT g)"
+            f"p{k} AS (SELECT {keys}{more}, s, CASE WHEN h THEN ne ELSE e END AS e, CASE WHEN h THEN tc + ntc ELSE tc END AS tc FROM v{k} WHERE NOT g)"
         )
     return ", ".join(out)
 
@@ -114,15 +114,17 @@ FLAT = f'{K}, round("start", 6) AS "start", round("end", 6) AS "end"'
 def grid(choices: dict[str, list[float]]) -> str:
     rows = ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" for x in r) + ")" for r in sorted(set(product(*choices.values()))))
     names = ", ".join(choices)
-    keys = f"{K}, {names}"
+    more, many = ", " + names, rows.count("(")  # keys and combinations are numbered: windows go by one number
     on = " AND ".join(f"x.{n} = g.{n}" for n in choices)
     return (
-        f"WITH {WANTED}, {BUCKETS}, grid({names}) AS (VALUES {rows}), q0 AS (SELECT * FROM p0 CROSS JOIN grid), {passes(keys, *choices, source='q0')}, "
-        f'act AS (SELECT {keys}, s AS "start", e AS "end" FROM p10 WHERE e - s + 6.0::DOUBLE >= 12), '
+        f"WITH {WANTED}, {BUCKETS}, grid AS (SELECT *, row_number() OVER () - 1 AS g FROM (VALUES {rows}) x({names})), "
+        f"kinds AS (SELECT {K}, row_number() OVER () * {many} AS kind FROM (SELECT DISTINCT {K} FROM p0)), "
+        f"q0 AS (SELECT kind + g AS k, s, e, tc{more} FROM p0 JOIN kinds USING ({K}) CROSS JOIN grid), {passes('k', *choices, source='q0', more=more)}, "
+        f'act AS (SELECT {K}, {names}, s AS "start", e AS "end" FROM p10 JOIN kinds ON kind = k - k % {many} WHERE e - s + 6.0::DOUBLE >= 12), '
         f"cnt AS (SELECT {names}, count(*) AS n FROM act GROUP BY ALL), "
         f'cov AS (SELECT {names}, sum("end" - "start") AS c FROM act WHERE ({K}) IN (SELECT ({K}) FROM wanted) GROUP BY ALL), '
         f'sh AS (SELECT {names}, sum(least(a."end", d."end") - greatest(a."start", d."start")) AS c FROM act a JOIN wanted d USING ({K}) WHERE a."start" < d."end" AND d."start" < a."end" GROUP BY ALL), '
-        f'one AS (SELECT g.*, coalesce(cov.c, 0) + (SELECT coalesce(sum("end" - "start"), 0) FROM wanted) - 2 * coalesce(sh.c, 0) AS l, abs(coalesce(cnt.n, 0) - (SELECT count(*) FROM wanted)) AS mismatch '
+        f'one AS (SELECT {", ".join("g." + n for n in choices)}, coalesce(cov.c, 0) + (SELECT coalesce(sum("end" - "start"), 0) FROM wanted) - 2 * coalesce(sh.c, 0) AS l, abs(coalesce(cnt.n, 0) - (SELECT count(*) FROM wanted)) AS mismatch '
         f"FROM grid g LEFT JOIN cnt ON {on.replace('x.', 'cnt.')} LEFT JOIN cov ON {on.replace('x.', 'cov.')} LEFT JOIN sh ON {on.replace('x.', 'sh.')}) "
         f"SELECT {names}, round(l + 2 * mismatch, 6) AS loss, mismatch FROM one ORDER BY round(l + 2 * mismatch, 6), {names} LIMIT 10"
     )
@@ -287,7 +289,8 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "AND NOT EXISTS (SELECT 1 FROM act WHERE list_has_any(act.categories, m.categories))"
         ),
     }
-    q["o53_cluster_windowed"] = q["o53_cluster"]
+    q["o53_cluster_windowed"] = q["o53_cluster_segmented"] = q["o53_cluster"]
+    q["o57_overlap_stretches"] = q["o57_overlap"]
     counted = "SELECT {k}, count(*) AS markers, '{m}' AS method FROM ({sql}) GROUP BY ALL"
     q["o62_methods"] = " UNION ALL ".join(counted.format(k=K, m=m, sql=q[n]) for m, n in (("gap", "o52_merge_gap"), ("proportional", "o54_merge_prop")))
     return q
