@@ -1,9 +1,10 @@
 """Density clustering of keys of any length, and its parameter search, over segments that cannot influence one another.
 
 A gap between two buckets stays what it is through all passes: survivors on either side begin and end in original
-buckets.  After p passes a survivor is made of 2^p buckets at most, so the largest weight that can ever stand at a gap is
-known from prefix sums.  Where even that cannot bridge the gap, the key is cut: both sides are segments, which tasks
-work on by themselves.  Segments go through the passes many at a time, as flat arrays, in time linear in their buckets.
+buckets.  In pass k a survivor is made of at most 2^(k-1) buckets, and only of ones that earlier passes could join, so the largest
+weight that may stand at a gap in each pass is known without merging anything.  Where no pass can bridge the gap the key
+is cut: both sides are segments, which tasks work on by themselves.  A cut depends on at most 1,023 buckets either way, so
+keys are cut as streams; segments go through the passes many at a time, as flat arrays, in time linear in their buckets.
 """
 
 from __future__ import annotations
@@ -12,52 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import CLUSTER, KEY, PASSES
 
-#: Original buckets that a survivor may hold before the last pass, and rounds in which cuts shorten each other's reach.
-REACH, ROUNDS = 1 << (PASSES - 1), 2
+#: Buckets on either side of a gap that its passes can draw on.
+HALO = (1 << PASSES) - 1
 #: Buckets handed to the passes at once, whole segments always.
 CHUNK_ROWS = 50_000
 
 
-def _largest_bridge(mine: Column, other: Column, p: dict) -> Column:
-    """No gap above this is bridged by survivors of at most these weights; the test's growing part is monotone in both."""
-    pull = F.least(mine, other) + F.abs(mine - other) * p["average_factor"]
-    return (p["min_gap"] + pull * p["gap_factor"]) * (1 + 1e-9) + 1e-6
-
-
-def with_segments(buckets: DataFrame, params: dict | None = None, bounds: list[dict] | None = None, reach: int = REACH, rounds: int = ROUNDS) -> DataFrame:
-    """``buckets`` with a segment number (long, from 0 in each key), cut only where no pass can merge across.
-
-    bounds: several parameter rows, for a search; a cut must hold for all of them.  With an average_factor outside 0..1 or a
-    negative weight or factor the bound doesn't hold, and each key is one segment.  Windows over a key's sorted buckets: streams,
-    on the partitioning that the buckets already have.
-    """
-    many = [CLUSTER | b for b in (bounds or [params or {}])]
-    p = {n: float(max(b[n] for b in many)) for n in CLUSTER}
-    fit = all(0 <= b["average_factor"] <= 1 and b["gap_factor"] >= 0 and b["density_weight"] >= 0 for b in many)
-    rows = buckets.withColumn("segment", F.lit(0).cast("long"))
-    for _ in range(rounds if fit else 0):
-        whole = Window.partitionBy(*KEY, "segment")
-        w = whole.orderBy("s")
-        rows = rows.withColumns({"_sum": F.sum("tc").over(w), "_all": F.sum("tc").over(whole), "_first": F.min("s").over(whole), "_last": F.max("e").over(whole)})
-        before = F.coalesce(F.lag("_sum").over(w), F.lit(0.0))
-        # the heaviest survivor that can end in this bucket, and the heaviest that can begin with it
-        ends = F.col("e") - F.coalesce(F.lag("s", reach - 1).over(w), F.col("_first")) + F.col("fi")
-        ends += p["density_weight"] * (F.col("_sum") - F.coalesce(F.lag("_sum", reach).over(w), F.lit(0.0)))
-        starts = F.coalesce(F.lead("e", reach - 1).over(w), F.col("_last")) - F.col("s") + F.col("fi")
-        starts += p["density_weight"] * (F.coalesce(F.lead("_sum", reach - 1).over(w), F.col("_all")) - before)
-        rows = rows.withColumns({"_ends": ends, "_starts": starts})
-        gap = F.col("s") - F.lag("e").over(w) - F.col("fi")
-        free = gap > _largest_bridge(F.lag("_ends").over(w), F.col("_starts"), p)
-        rows = rows.withColumn("_cut", (F.coalesce(free, F.lit(False)) | F.lag("s").over(w).isNull()).cast("long"))
-        rows = rows.withColumn("segment", F.sum("_cut").over(Window.partitionBy(*KEY).orderBy("s")) - 1)
-    return rows.select(*buckets.columns, "segment")
-
-
 class Pending:
     """Sorted buckets of many segments as flat arrays: starts, ends, weights, intervals, segment numbers.
 
@@ -103,42 +69,124 @@ class Pending:
         return now
 
 
-def _whole_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by key and segment, some ``CHUNK_ROWS`` at a time, with the segment's number in the chunk."""
-    held, rows = [], 0
+def bridgeable(s, e, tc, fi, same, p: dict) -> np.ndarray:
+    """Whether any pass may merge across each gap, for sorted buckets and ``same`` (both sides of one key): never a false no.
 
-    def numbered(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        for c in (*KEY, "segment"):
-            codes = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            new[1:] |= codes[1:] != codes[:-1]
-        return np.cumsum(new)
+    The test's right side grows with both weights if average_factor is within 0..1 and the other parameters are not
+    negative; otherwise every gap may be bridged.
+    """
+    if not (0 <= p["average_factor"] <= 1 and p["gap_factor"] >= 0 and p["density_weight"] >= 0):
+        return same.copy()
+    n, at = len(s), np.arange(len(s))
+    gap, held = s[1:] - e[:-1] - fi[:-1], np.zeros(n + 1)
+    np.cumsum(np.maximum(np.nan_to_num(tc), 0), out=held[1:])
+    joined = np.zeros(max(0, n - 1), bool)
+    for k in range(PASSES):
+        reach = 1 << k
+        first = np.maximum.accumulate(np.where(np.r_[True, ~joined], at, 0))
+        last = np.minimum.accumulate(np.where(np.r_[~joined, True], at, n)[::-1])[::-1]
+        i, j = np.maximum(first, at - reach + 1)[:-1], np.minimum(last, at + reach - 1)[1:]
+        left = e[:-1] - s[i] + fi[:-1] + p["density_weight"] * (held[1:-1] - held[i])
+        right = e[j] - s[1:] + fi[:-1] + p["density_weight"] * (held[j + 1] - held[1:-1])
+        pull = np.minimum(left, right) + np.abs(left - right) * p["average_factor"]
+        more = same & (gap <= (p["min_gap"] + pull * p["gap_factor"]) * (1 + 1e-9) + 1e-6)
+        if (more <= joined).all() and (last - first).max(initial=0) < reach:
+            break  # neither longer survivors nor other gaps can come
+        joined |= more
+    return joined
+
+
+def _same(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row but the first has the values of the row before."""
+    same = np.ones(max(0, t.num_rows - 1), bool)
+    for c in columns:
+        codes = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        same &= codes[1:] == codes[:-1]
+    return same
+
+
+def _cut(batches: Iterator[pa.RecordBatch], p: dict) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of key and start to (rows, whether each begins a segment), holding a chunk and its surroundings."""
+    held, sent, rows = [], 0, 0  # the first ``sent`` rows held are only there to be looked back on
+
+    def flags(t: pa.Table) -> np.ndarray:
+        joined = bridgeable(*(t.column(c).to_numpy() for c in ("s", "e", "tc", "fi")), _same(t, KEY), p)
+        return np.r_[True, ~joined]
 
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows < CHUNK_ROWS:
-            continue
+        if rows - sent > CHUNK_ROWS + HALO:
+            t = pa.Table.from_batches(held)
+            until = rows - HALO - 1
+            yield t.slice(sent, until - sent), flags(t)[sent:until]
+            keep = max(0, until - HALO - 1)
+            held, sent, rows = t.slice(keep).to_batches(), until - keep, rows - keep
+    if rows > sent:
         t = pa.Table.from_batches(held)
-        group = numbered(t)
-        cut = int(np.searchsorted(group, group[-1]))  # the last segment may go on
+        yield t.slice(sent), flags(t)[sent:]
+
+
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """As ``_cut``, of rows in order of key and known segment."""
+    before = None
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches(([before] if before is not None else []) + [b])
+            same = _same(t, [*KEY, "segment"])
+            yield pa.Table.from_batches([b]), ~same if before is not None else np.r_[True, ~same]
+            before = b.slice(b.num_rows - 1)
+
+
+def _chunks(stream: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, segment numbers) of whole segments, some ``CHUNK_ROWS`` at a time."""
+    tables, flags, rows = [], [], 0
+    for t, f in stream:
+        tables.append(t)
+        flags.append(f)
+        rows += len(f)
+        starts = np.flatnonzero(f)
+        if rows < CHUNK_ROWS or not len(starts):
+            continue
+        cut = rows - len(f) + int(starts[-1])  # the last segment may go on
+        whole, begins = pa.concat_tables(tables), np.concatenate(flags)
         if cut:
-            yield t.slice(0, cut), group[:cut]
-        held, rows = t.slice(cut).to_batches(), 0 if cut else rows // 2  # a long segment: wait for as many rows again
-    if held:
-        t = pa.Table.from_batches(held)
-        if t.num_rows:
-            yield t, numbered(t)
+            yield whole.slice(0, cut), np.cumsum(begins[:cut])
+            tables, flags, rows = [whole.slice(cut)], [begins[cut:]], rows - cut
+    if rows:
+        yield pa.concat_tables(tables), np.cumsum(np.concatenate(flags))
 
 
 def _flat(t: pa.Table, group: np.ndarray, firsts=(), lasts=()) -> Pending:
     return Pending(*(t.column(c).to_numpy() for c in ("s", "e", "tc", "fi")), group, firsts, lasts)
 
 
-def _dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
-    """Whole segments in order; dealt over ``tasks`` partitions by segment if given, else where their keys are."""
-    rows = rows.repartition(tasks, *KEY, "segment") if tasks else rows.repartition(*KEY)
-    return rows.sortWithinPartitions(*KEY, "segment", "s")
+def _ordered(buckets: DataFrame, *more: str) -> DataFrame:
+    """Whole keys in a task each, buckets by start: what numbering them by a window does, on the partitioning they may have already."""
+    rows = buckets.select(*KEY, "s", "e", "tc", F.col("fi").cast("double").alias("fi"), *more)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("s"))).sortWithinPartitions(*KEY, "s")
+
+
+def with_segments(buckets: DataFrame, p: dict, *more: str) -> DataFrame:
+    """KEY, s, e, tc, fi, ``more`` columns, place (in the key) and segment: a number that is unique within the key."""
+    rows = _ordered(buckets, *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for t, begins in _cut(batches, p):
+            numbers = number + np.cumsum(begins)
+            number = int(numbers[-1])
+            yield from t.append_column("segment", pa.array(numbers)).to_batches()
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", segment long")
+
+
+def _segments(buckets: DataFrame, p: dict, tasks: int | None, *more: str):
+    """Rows, and the function that reads whole segments from them: dealt over ``tasks`` by segment, or where their keys are."""
+    if tasks:
+        rows = with_segments(buckets, p, *more).repartition(tasks, *KEY, "segment").sortWithinPartitions(*KEY, "segment", "s")
+        return rows, lambda batches: _chunks(_given(batches))
+    return _ordered(buckets, *more), lambda batches: _chunks(_cut(batches, p))
 
 
 def merge_buckets_segmented(buckets: DataFrame, params: dict | None = None, tasks: int | None = None) -> DataFrame:
@@ -148,17 +196,17 @@ def merge_buckets_segmented(buckets: DataFrame, params: dict | None = None, task
     """
     p, kinds = CLUSTER | (params or {}), dict(buckets.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", fi double, s double, e double, tc double"
+    rows, read = _segments(buckets, p, tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in _whole_segments(batches):
+        for t, group in read(batches):
             done = _flat(t, group, firsts=(np.arange(t.num_rows),)).after_passes(p)
             out = t.select(KEY).take(pa.array(done.firsts[0]))
             for name in ("fi", "s", "e", "tc"):
                 out = out.append_column(name, pa.array(getattr(done, name)))
             yield from out.combine_chunks().to_batches()
 
-    rows = with_segments(buckets, p).select(*KEY, "segment", "s", "e", "tc", F.col("fi").cast("double").alias("fi"))
-    return _dealt(rows, tasks).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def searched(buckets: DataFrame, grid: list[dict], least: float, tasks: int) -> DataFrame:
@@ -170,10 +218,14 @@ def searched(buckets: DataFrame, grid: list[dict], least: float, tasks: int) ->
     What leaves a task is one row for each combination, whatever the number of keys.
     """
     many = [CLUSTER | g for g in grid]
+    widest = {n: max(g[n] for g in many) for n in CLUSTER} if many else CLUSTER
+    if any(g["average_factor"] < 0 or g["gap_factor"] < 0 or g["density_weight"] < 0 for g in many):
+        widest["gap_factor"] = -1.0  # no bound holds: keys stay whole
+    rows, read = _segments(buckets, widest, tasks, "cover_s", "cover_e", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, covered, shared = np.zeros(len(many), np.int64), np.zeros(len(many)), np.zeros(len(many))
-        for t, group in _whole_segments(batches):
+        for t, group in read(batches):
             before, until, wanted = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cover_s", "cover_e", "wanted"))
             flat = _flat(t, group, (before, wanted.astype(float)), (until,))
             for k, p in enumerate(many):
@@ -184,6 +236,5 @@ def searched(buckets: DataFrame, grid: list[dict], least: float, tasks: int) ->
                 shared[k] += (done.lasts[0] - done.firsts[0])[long].sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(many), dtype=np.int32)), *map(pa.array, (n, covered, shared))], ["combo", "n", "covered", "shared"])
 
-    rows = with_segments(buckets, bounds=grid).select(*KEY, "segment", "s", "e", "tc", F.col("fi").cast("double").alias("fi"), "cover_s", "cover_e", "wanted")
-    found = _dealt(rows, tasks).mapInArrow(run, "combo int, n long, covered double, shared double")
+    found = rows.mapInArrow(run, "combo int, n long, covered double, shared double")
     return found.groupBy("combo").agg(*(F.sum(c).alias(c) for c in ("n", "covered", "shared")))

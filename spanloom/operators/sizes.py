@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def most_rows(df: DataFrame) -> int | None:
+    """Rows that ``df`` can have at most as its plan proves (literal rows, limits, global aggregates), without a job; None if it proves nothing."""
+    known = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return int(known.get()) if known.isDefined() else None
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if at most ``limit`` rows are counted; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` marked for broadcast if its plan proves, or a count finds, at most ``limit`` rows; otherwise as it is, for a shuffled join."""
+    proven = most_rows(df)
+    fits = proven <= limit if proven is not None and proven <= limit else df.limit(limit + 1).count() <= limit
+    return F.broadcast(df) if fits else df

@@ -37,8 +37,8 @@ def _cluster_spans(s, d):
     return _spans(s, d).where(F.col("confidence") >= X.THRESHOLD)
 
 
-def _markers(s, d, params=None):
-    return I.keep_long(I.merge_buckets(I.adjacency_buckets(_cluster_spans(s, d), F.lit(X.INTERVAL)), params=params), F.lit(X.LEAST))
+def _markers(s, d, merge=G.merge_buckets_segmented):
+    return I.keep_long(merge(I.adjacency_buckets(_cluster_spans(s, d), F.lit(X.INTERVAL))), F.lit(X.LEAST))
 
 
 def _wanted(s, d):
@@ -76,20 +76,18 @@ def o53_buckets(s, d):
 
 @query
 def o53_cluster(s, d):
-    return _six(_markers(s, d))
+    return _six(_markers(s, d, I.merge_buckets))
 
 
 @query
 def o53_cluster_windowed(s, d):
-    merged = I.merge_buckets_windowed(I.adjacency_buckets(_cluster_spans(s, d), F.lit(X.INTERVAL)))
-    return _six(I.keep_long(merged, F.lit(X.LEAST)))
+    return _six(_markers(s, d, I.merge_buckets_windowed))
 
 
 @query
 def o53_cluster_segmented(s, d):
     """Keys cut at gaps that nothing bridges; segments dealt over tasks."""
-    buckets = I.adjacency_buckets(_cluster_spans(s, d), F.lit(X.INTERVAL))
-    return _six(I.keep_long(G.merge_buckets_segmented(buckets, tasks=int(s.conf.get("spark.sql.shuffle.partitions"))), F.lit(X.LEAST)))
+    return _six(_markers(s, d, lambda b: G.merge_buckets_segmented(b, tasks=int(s.conf.get("spark.sql.shuffle.partitions")))))
 
 
 @query

@@ -40,8 +40,9 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_rows(spark: SparkSession) -> DataFrame:
     """The rule table as read from files: all strings."""
-    names = "category string, tag string, display string, min_marker_duration string, max_gap string, required_duration string, tag_threshold string"
-    return spark.createDataFrame(RULES, names)
+    names = "category, tag, display, min_marker_duration, max_gap, required_duration, tag_threshold"
+    rows = ", ".join("(" + ", ".join(f"'{cell}'" for cell in row) + ")" for row in RULES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rules({names})")
 
 
 def resolved(rows: DataFrame, duration: float = DURATION, configured: dict[str, str] | None = None) -> DataFrame:
