@@ -14,6 +14,7 @@ from ..operators import overlap as O
 from ..operators import results as R
 from ..operators import scoring as C
 from ..operators import segments as G
+from ..sources.store import ResultStore, work_folder
 from . import api, dag, sql
 from . import fixtures as X
 
@@ -416,6 +417,20 @@ def o101_upsert(s, d):
     return _six(R.upsert(_model_spans(s, d, "old"), _model_spans(s, d, "new"), updated))
 
 
+@query
+def o101_store(s, d):
+    """Stored spans and models in a versioned store, updated twice; the second batch of the same number has no effect."""
+    kinds = {"spans": "media_id long, category string, tag string, start double, end double", "models": "media_id long, category string, frame_interval double, threshold double, version double, ai_model_id int, file_name string"}
+    store, old = ResultStore(s, work_folder(s), kinds, buckets=16), X.stored_models(s, d)
+    every = _model_spans(s, d, "old")
+    store.update({"spans": every, "models": old}, every.select("media_id", "category"), batch=("first", 0))
+    updated = R.updated_categories(store.read("models"), X.active_models(s, d))
+    for tag in ("new", "repeated"):
+        store.update({"spans": _model_spans(s, d, tag), "models": X.active_models(s, d)}, updated, batch=("stream", 0))
+    stored = store.read("models").select("media_id", "category", F.col("ai_model_id").alias("stored_model"))
+    return _six(store.read("spans").join(stored, ["media_id", "category"], "left"))
+
+
 @query
 def o50_upgrade(s, d):
     spans, _ = R.upgrade_v0(X.v0_json(s, d), X.rules(s).select("tag", "category"), X.v0_model_map(s))

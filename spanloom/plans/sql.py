@@ -257,6 +257,10 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
         "o101_upsert": (
             f"WITH {PLAN} SELECT media_id, category, CASE WHEN NOT known OR need > 0 THEN 'new' ELSE 'old' END AS tag, (media_id % 10)::DOUBLE AS \"start\", (media_id % 10 + 4)::DOUBLE AS \"end\" FROM need"
         ),
+        "o101_store": (
+            f"WITH {PLAN} SELECT n.media_id, n.category, CASE WHEN NOT known OR need > 0 THEN 'new' ELSE 'old' END AS tag, (n.media_id % 10)::DOUBLE AS \"start\", (n.media_id % 10 + 4)::DOUBLE AS \"end\", "
+            "CASE WHEN NOT known OR need > 0 THEN 201 ELSE s.ai_model_id END AS stored_model FROM need n LEFT JOIN stored s ON s.media_id = n.media_id AND s.category = n.category"
+        ),
         "o50_upgrade": (
             "SELECT c_custkey AS media_id, 'engagement' AS category, 'view' AS tag, 0.0::DOUBLE AS \"start\", (c_custkey % 9)::DOUBLE AS \"end\", 0.5::DOUBLE AS confidence FROM customer "
             "UNION ALL SELECT c_custkey, 'engagement', 'view', (c_custkey % 5 + 20)::DOUBLE, NULL, 0.75::DOUBLE FROM customer UNION ALL SELECT c_custkey, 'Unknown', 'x' || (c_custkey % 2), (c_custkey % 5 + 20)::DOUBLE, NULL, 0.75::DOUBLE FROM customer"
