@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -15,6 +15,7 @@ from ..operators import results as R
 from ..operators import scoring as C
 from ..operators import segments as G
 from ..sources.store import ResultStore, work_folder
+from ..streaming import complete as W
 from . import api, dag, sql
 from . import fixtures as X
 
@@ -342,6 +343,23 @@ def o43_threshold(s, d):
     return _six(_tagged(s, d).drop("model"))
 
 
+@query
+def o43_all_models(s, d):
+    """Three models of eight tags in one pass over whole vectors."""
+    frames = X.table(s, d, "embeddings").select(F.col("vec_id").alias("media_id"), F.col("label").cast("double").alias("frame_index"), "embedding")
+    return _six(C.score_all(frames, X.heads(), vector="embedding"))
+
+
+@query
+def o80_run_metrics(s, d):
+    """Metrics that the scoring job takes of itself, with models that ran and tags by model."""
+    stats = Observation("o80")
+    frames = X.table(s, d, "embeddings").select(F.col("vec_id").alias("media_id"), F.col("label").cast("double").alias("frame_index"), "embedding")
+    by_model = C.score_all(frames, X.heads(), skip=("c0", "c1", "c2"), vector="embedding", stats=stats).groupBy("model").agg(F.count("*").alias("tags")).collect()
+    seen = stats.get
+    return s.createDataFrame([(seen["frames"], seen["models"], r["model"], r["tags"]) for r in by_model], "frames long, models int, model string, tags long")
+
+
 @query
 def o44_route(s, d):
     return _six(C.route(_tagged(s, d), X.mappings(s)))
@@ -377,6 +395,12 @@ def o72_coalesce(s, d):
     return C.combine_models(*parts).groupBy("media_id", "frame_index").agg(F.count("*").alias("tags"), F.count_distinct("category").alias("categories"))
 
 
+@query
+def o73_complete(s, d):
+    """Expected, received and missing outputs of each media: what the stream of the same rows emits."""
+    return W.complete_media(*X.outputs(s, d))
+
+
 @query
 def o73_await(s, d):
     return C.await_frames(X.detections(s, d))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scoring import combine_models, route, skipped, threshold_tags
+from ..operators.scoring import Head, combine_models, route, score_all, skipped, threshold_tags
 
 Step = Callable[..., object]
 _steps: dict[str, Step] = {}
@@ -54,6 +54,7 @@ class Model:
     image_size: int = 224
     normalisation: int = 0
     type: str = "tag"
+    head: Head | None = None  # where all models of a call have one, they share a pass over the frames
 
 
 @dataclass
@@ -148,10 +149,11 @@ def score_frames(frames: DataFrame, models: list[Model], threshold: float | None
 
     The skip list is known when the plan is built, so a skipped model is not in it at all.
     """
-    parts = []
-    for m in models:
-        if set(m.categories) <= set(skip):
-            continue
+    parts, used = [], [m for m in models if not set(m.categories) <= set(skip)]
+    if used and all(m.head for m in used):
+        found = score_all(frames, [m.head for m in used], threshold).drop("model")
+        return found if with_confidence else found.withColumn("confidence", F.lit(None).cast("double"))
+    for m in used:
         found = route(threshold_tags(m.score(frames), m.tags, threshold, m.threshold), m.mappings)
         parts.append(found if with_confidence else found.withColumn("confidence", F.lit(None).cast("double")))
     if not parts:

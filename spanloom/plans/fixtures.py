@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RULE_DEFAULTS, duration_literal, number, or_default
+from ..operators.scoring import Head, linear_scores
 
 INTERVAL, DURATION, THRESHOLD, LEAST = 6.0, 720.0, 0.3, 12.0
 RULES = [
@@ -129,3 +130,22 @@ def v0_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v0_model_map(spark: SparkSession) -> DataFrame:
     rows = [("old_one", 2.0, "actions", 2.0, 200, "new_one"), ("old_one", None, "actions", 0.1, 950, None), ("old_two", None, "parts", 0.5, 200, "new_two"), ("old_two", None, "actions", 2.0, 200, "new_one")]
     return spark.createDataFrame(rows, "name string, old_version double, category string, version double, ai_model_id int, file_name string")
+
+
+def heads(count: int = 3, tags: int = 8, dims: int = 64) -> list[Head]:
+    """Linear models with weights from a rule; the last tag has no category."""
+    made = []
+    for h in range(count):
+        weights = [[((j * 37 + t * 11 + h * 5) % 13 - 6) / 10 for j in range(dims)] for t in range(tags)]
+        categories = [None if t == tags - 1 else f"c{(t + h) % 4}" for t in range(tags)]
+        made.append(Head(f"m{h}", linear_scores(weights, [(t - 4) / 10 for t in range(tags)]), [f"t{h}_{t}" for t in range(tags)], categories, dims, 0.55))
+    return made
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """events as models' outputs on daily frames, and each user's announcement of 1 to 5 frames and one or two models."""
+    day = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))") / 86400)
+    e = table(spark, sf_dir, "events")
+    models = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("view"))).otherwise(F.array(F.lit("view"), F.lit("click")))
+    told = e.groupBy("user_id").agg(F.min("ts").alias("ts")).select(F.col("user_id").alias("media_id"), (1 + F.col("user_id") % 5).alias("frames"), models.alias("models"), "ts")
+    return e.select(F.col("user_id").alias("media_id"), day.alias("frame"), F.col("event_type").alias("model"), "ts"), told

@@ -38,6 +38,11 @@ PLAN = (
     "WHEN s.version = 2 AND 201 < s.ai_model_id THEN 1 WHEN s.version = 2 THEN 0 ELSE 2 END AS need "
     "FROM customer CROSS JOIN (VALUES ('a'), ('b')) x(category) LEFT JOIN stored s ON s.media_id = c_custkey AND s.category = x.category)"
 )
+HEADS = (
+    "w AS (SELECT h, t, list_transform(range(64), lambda j: ((j * 37 + t * 11 + h * 5) % 13 - 6) / 10.0::DOUBLE) AS w FROM range(3) a(h), range(8) b(t)), "
+    "scored AS (SELECT vec_id AS media_id, label::DOUBLE AS frame_index, t, 'm' || h AS model, 't' || h || '_' || t AS tag, 'c' || ((t + h) % 4) AS category, "
+    "1.0::DOUBLE / (1.0::DOUBLE + exp(-(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * w[i])) + (t - 4) / 10.0::DOUBLE))) AS score FROM embeddings, w)"
+)
 NATIONS = (
     "models AS (SELECT n_name AS name, n_nationkey AS identifier, (n_nationkey % 3)::DOUBLE AS version, "
     "['c' || (n_nationkey % 7), 'd' || (n_nationkey % 5)] AS categories, CASE WHEN n_nationkey % 2 = 0 THEN 224 ELSE 384 END AS image_size, "
@@ -261,6 +266,17 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             f"WITH {PLAN} SELECT n.media_id, n.category, CASE WHEN NOT known OR need > 0 THEN 'new' ELSE 'old' END AS tag, (n.media_id % 10)::DOUBLE AS \"start\", (n.media_id % 10 + 4)::DOUBLE AS \"end\", "
             "CASE WHEN NOT known OR need > 0 THEN 201 ELSE s.ai_model_id END AS stored_model FROM need n LEFT JOIN stored s ON s.media_id = n.media_id AND s.category = n.category"
         ),
+        "o43_all_models": f"WITH {HEADS} SELECT media_id, category, tag, frame_index, round_even(score, 2)::DOUBLE AS confidence, model FROM scored WHERE score > 0.55::DOUBLE AND t < 7",
+        "o80_run_metrics": (
+            f"WITH {HEADS} SELECT (SELECT count(*) FROM embeddings) AS frames, 3::INTEGER AS models, model, count(*) AS tags FROM scored WHERE score > 0.55::DOUBLE AND t < 7 GROUP BY model"
+        ),
+        "o73_complete": (
+            "WITH o AS (SELECT DISTINCT user_id AS media_id, floor((floor(epoch(ts)) - 1704067200) / 86400)::BIGINT AS frame, event_type AS model FROM events), "
+            "m AS (SELECT DISTINCT user_id AS media_id, (1 + user_id % 5)::BIGINT AS frames, CASE WHEN user_id % 2 = 0 THEN ['view'] ELSE ['view', 'click'] END AS models FROM events), "
+            "f AS (SELECT media_id, unnest(range(frames)) AS frame, models FROM m), want AS (SELECT media_id, frame, unnest(models) AS model FROM f) "
+            "SELECT w.media_id, count(*) AS expected, count(o.frame) AS received, count(*) - count(o.frame) AS missing, min(CASE WHEN o.frame IS NULL THEN w.frame END) AS first_gap, "
+            "count(*) = count(o.frame) AS complete FROM want w LEFT JOIN o ON o.media_id = w.media_id AND o.frame = w.frame AND o.model = w.model GROUP BY w.media_id"
+        ),
         "o50_upgrade": (
             "SELECT c_custkey AS media_id, 'engagement' AS category, 'view' AS tag, 0.0::DOUBLE AS \"start\", (c_custkey % 9)::DOUBLE AS \"end\", 0.5::DOUBLE AS confidence FROM customer "
             "UNION ALL SELECT c_custkey, 'engagement', 'view', (c_custkey % 5 + 20)::DOUBLE, NULL, 0.75::DOUBLE FROM customer UNION ALL SELECT c_custkey, 'Unknown', 'x' || (c_custkey % 2), (c_custkey % 5 + 20)::DOUBLE, NULL, 0.75::DOUBLE FROM customer"
