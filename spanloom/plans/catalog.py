@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import documents as D
 from ..operators import intervals as I
 from ..operators import metrics as M
 from ..operators import overlap as O
 from ..operators import results as R
 from ..operators import scoring as C
 from ..operators import segments as G
+from ..operators.sizes import small
+from ..sources import files
 from ..sources.store import ResultStore, work_folder
 from ..streaming import complete as W
 from . import api, dag, sql
@@ -160,7 +163,7 @@ def o62_methods(s, d):
     for name in sorted(api.METHODS):
         found = api.METHODS[name](spans, X.INTERVAL).groupBy("media_id", "category", "tag").agg(F.count("*").alias("markers")).withColumn("method", F.lit(name))
         parts = found if parts is None else parts.unionByName(found)
-    return parts.where("method <> 'cluster'")
+    return parts
 
 
 @query
@@ -193,12 +196,13 @@ def o37_duration_literal(s, d):
 
 @query
 def o38_defaults(s, d):
-    return _six(X.rules(s))
+    """Nations as rule rows with empty, missing, absolute and relative cells, under a configured default."""
+    return _six(X.resolved(X.nation_rules(s, d), 500.0, {"max_gap": "9", "tag_threshold": None}))
 
 
 @query
 def o39_rename(s, d):
-    return X.detections(s, d).join(F.broadcast(X.rules(s)), ["category", "tag"]).groupBy("display").agg(F.count("*").alias("n"))
+    return X.detections(s, d).join(small(X.rules(s)), ["category", "tag"]).groupBy("display").agg(F.count("*").alias("n"))
 
 
 @query
@@ -254,9 +258,11 @@ def o30_channels(s, d):
 
 @query
 def o33_normalise(s, d):
-    values = F.transform(F.slice("embedding", 1, 3), lambda v: F.abs(v.cast("double")) * 255.0)
-    rows = X.table(s, d, "embeddings").select("vec_id", *(S.normalised(S.scaled(values), p).alias(f"p{p}") for p in (0, 1)))
-    return _six(rows.select("vec_id", *(F.col(f"p{p}")[i].alias(f"p{p}_{i}") for p in (0, 1) for i in range(3))))
+    """Whole vectors as pixels of three channels; the last one's missing channels are 0."""
+    three = lambda k: F.transform(F.array(*map(F.lit, range(3))), lambda c: F.abs(F.coalesce(F.get("embedding", k * 3 + c).cast("double"), F.lit(0.0))) * 255.0)
+    rows = X.table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 3).cast("int")), three)).alias("pixel", "values"))
+    rows = rows.select("vec_id", "pixel", *(S.normalised(S.scaled(F.col("values")), p).alias(f"p{p}") for p in (0, 1)))
+    return _six(rows.select("vec_id", "pixel", *(F.col(f"p{p}")[i].alias(f"p{p}_{i}") for p in (0, 1) for i in range(3))))
 
 
 @query
@@ -291,15 +297,21 @@ def o14_backend(s, d):
 
 @query
 def o05_normalise_path(s, d):
-    path = F.concat(F.lit("  "), F.replace(F.col("url"), F.lit("/"), F.lit("\\")), F.lit(" "))
-    return X.table(s, d, "pages").select("page_id", S.normal_source(path, F.col("page_id") % 2 == 0).alias("source"))
+    """Paths with backslashes, of which every other url is listed with forward ones."""
+    pages = X.table(s, d, "pages")
+    listed = pages.where("page_id % 2 = 0").select(F.trim("url").alias("path"))
+    rows = pages.select("page_id", F.concat(F.lit("  "), F.replace(F.col("url"), F.lit("/"), F.lit("\\")), F.lit(" ")).alias("path"))
+    rows = files.with_existence(rows, F.replace(F.trim("path"), F.lit("\\"), F.lit("/")), listed)
+    return rows.select("page_id", S.normal_source(F.col("path"), F.col("known")).alias("source"))
 
 
 @query
 def o06_url_scheme(s, d):
     path = F.when(F.col("page_id") % 5 == 0, "  ").when(F.col("page_id") % 5 == 1, F.col("url")).when(F.col("page_id") % 5 == 2, F.expr("substring(url, 9)")).when(F.col("page_id") % 5 == 3, "1x://y")
-    known = F.col("page_id") % 2 == 0
-    return X.table(s, d, "pages").select("page_id", S.path_error(path, known).alias("error"))
+    pages = X.table(s, d, "pages")
+    listed = pages.where("page_id % 2 = 0").select(F.expr("substring(url, 9)").alias("path"))
+    rows = files.with_existence(pages.select("page_id", path.alias("path")), F.trim("path"), listed)
+    return rows.select("page_id", S.path_error(F.col("path"), F.col("known")).alias("error"))
 
 
 @query
@@ -467,6 +479,38 @@ def o50_upgrade_models(s, d):
     return _six(models)
 
 
+def _legacy_docs(s, d):
+    return D.parsed(X.v0_json(s, d))
+
+
+@query
+def o50_upgrade_document(s, d):
+    """The oldest format as variants, written in the newer one, parsed and read again."""
+    docs = _legacy_docs(s, d)
+    found = D.spans(docs, X.rules(s).select("tag", "category"))
+    return _six(D.spans(D.parsed(D.rewritten(docs, found, D.models(docs, X.v0_model_map(s))))))
+
+
+@query
+def o50_document_models(s, d):
+    docs = _legacy_docs(s, d)
+    written = D.rewritten(docs, D.spans(docs), D.models(docs, X.v0_model_map(s)))
+    return _six(D.models(D.parsed(written)))
+
+
+@query
+def o18_documents(s, d):
+    """Built results of two formats, the newer with a field that nothing here knows: kinds, spans and that field after rewriting."""
+    models = X.media(s, d).select("media_id", F.lit("m").alias("name"), F.lit(1).alias("identifier"), F.lit(1.0).alias("version"), F.array(F.lit("system")).alias("categories"), F.lit("tag").alias("type"))
+    text = R.build_v3(X.detections(s, d), models, X.media(s, d), X.INTERVAL, 4.0).withColumn("json", F.regexp_replace("json", r"\}$", ',"label":{"of":[1,2]}}'))
+    docs = D.parsed(text)
+    again = D.parsed(D.rewritten(docs, D.spans(docs), D.listed_models(docs).select("media_id", F.explode("categories").alias("category"), F.lit(6.0).alias("frame_interval"), F.lit(0.3).alias("threshold"), "version", F.col("identifier").alias("ai_model_id"), F.col("name").alias("file_name"))))
+    spans = D.spans(again).groupBy("media_id").agg(F.count("*").alias("spans"), F.sum("start").alias("starts"))
+    label = F.to_json(F.try_variant_get("doc", "$.label", "variant")).alias("label")
+    kinds = docs.select("media_id", F.col("kind").alias("was")).join(again.select("media_id", "kind", label), "media_id")
+    return _six(kinds.join(spans, "media_id").join(D.models(again).select("media_id", "category", "frame_interval", "file_name"), "media_id"))
+
+
 @query
 def o18_dispatch(s, d):
     text = F.when(F.col("event_id") % 4 == 0, '{"schema_version": 1, "timespans": {}}').when(F.col("event_id") % 4 == 1, '{"schema_version": 3}').when(F.col("event_id") % 4 == 2, F.col("props"))
@@ -475,8 +519,9 @@ def o18_dispatch(s, d):
 
 @query
 def o100_build_v1(s, d):
-    each = F.explode(F.array(*map(F.lit, ("engagement", "conversion", "system")))).alias("category")
-    models = X.stored_models(s, d).where("category = 'a'").select("media_id", each, "frame_interval", "threshold", "version", "ai_model_id", "file_name")
+    # the stored model of one category stands for two, that of the other for the third; media without it have two
+    each = F.explode(F.when(F.col("category") == "a", F.array(F.lit("engagement"), F.lit("conversion"))).otherwise(F.array(F.lit("system")))).alias("category")
+    models = X.stored_models(s, d).select("media_id", each, "frame_interval", "threshold", "version", "ai_model_id", "file_name")
     spans, checked = R.build_v1(X.detections(s, d), models, F.lit(X.INTERVAL))
     text = R.to_json_v1(spans, checked, X.media(s, d))
     return _six(R.spans_of_v1(text))

@@ -46,6 +46,14 @@ def rule_rows(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS rules({names})")
 
 
+def nation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nations as rule rows: cells by the key."""
+    k = F.col("n_nationkey")
+    cell = lambda i: F.when((k + i) % 4 == 0, "").when((k + i) % 4 == 1, F.lit(None)).when((k + i) % 4 == 2, F.concat(k.cast("string"), F.lit("s"))).otherwise(F.concat((k + i).cast("string"), F.lit("%")))
+    names = ["min_marker_duration", "max_gap", "required_duration"]
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("category"), F.col("n_name").alias("tag"), F.col("n_name").alias("display"), *(cell(i).alias(n) for i, n in enumerate(names)), F.when(k % 3 > 0, F.concat(F.lit("0."), k)).alias("tag_threshold"))
+
+
 def resolved(rows: DataFrame, duration: float = DURATION, configured: dict[str, str] | None = None) -> DataFrame:
     """Rule cells as numbers, for media of one duration."""
     cell = {k: or_default(F.col(k), (configured or {}).get(k), v) for k, v in RULE_DEFAULTS.items()}

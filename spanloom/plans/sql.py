@@ -186,7 +186,11 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             f"SELECT n_nationkey, cell, round(CASE WHEN cell IS NULL THEN NULL WHEN right(cell, 1) = chr(37) THEN coalesce(({num('left(cell, length(cell) - 1)')}) / 100 * (n_nationkey * 100.0::DOUBLE), 0) "
             f"WHEN right(cell, 1) = 's' THEN coalesce({num('left(cell, length(cell) - 1)')}, 0) ELSE coalesce({num('cell')}, 0) END, 6) AS seconds FROM nation CROSS JOIN (VALUES {cells}) x(cell)"
         ),
-        "o38_defaults": f"WITH {RULES} {rule('*')}",
+        "o38_defaults": (
+            "WITH n AS (SELECT *, n_nationkey AS k FROM nation) SELECT 'r' || n_regionkey AS category, n_name AS tag, n_name AS display, "
+            + ", ".join(f"CASE (k + {i}) % 4 WHEN 2 THEN k::DOUBLE WHEN 3 THEN (k + {i}) / 100.0::DOUBLE * 500.0::DOUBLE ELSE {d} END::DOUBLE AS {n}" for i, (n, d) in enumerate((("min_marker_duration", 12), ("max_gap", 9), ("required_duration", 20))))
+            + ", CASE WHEN k % 3 > 0 THEN ('0.' || k)::DOUBLE ELSE 0.5::DOUBLE END AS tag_threshold FROM n"
+        ),
         "o39_rename": f"WITH {det()}, {RULES} SELECT display, count(*) AS n FROM det JOIN rules USING (category, tag) GROUP BY display",
         "o22_sample": f"WITH {FRAMES} SELECT media_id, n, {step.format(i='0.5::DOUBLE', r=RATE)} AS step FROM frames WHERE n % ({step.format(i='0.5::DOUBLE', r=RATE)}) = 0",
         "o24_timestamps": (
@@ -205,13 +209,13 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "SELECT vec_id, n, round(embedding[1]::DOUBLE, 6) AS r, CASE WHEN n = 2 THEN NULL ELSE round(embedding[CASE n WHEN 1 THEN 1 ELSE 2 END]::DOUBLE, 6) END AS g, "
             "CASE WHEN n = 2 THEN NULL ELSE round(embedding[CASE n WHEN 1 THEN 1 ELSE 3 END]::DOUBLE, 6) END AS b FROM embeddings CROSS JOIN (VALUES (1), (2), (3), (4)) x(n)"
         ).replace("round(embedding[1]::DOUBLE, 6) AS r", "CASE WHEN n = 2 THEN NULL ELSE round(embedding[1]::DOUBLE, 6) END AS r"),
-        "o33_normalise": "SELECT vec_id, "
+        "o33_normalise": "WITH x AS (SELECT vec_id, embedding, unnest(range((len(embedding) - 1) // 3 + 1))::INTEGER AS pixel FROM embeddings) SELECT vec_id, pixel, "
         + ", ".join(
-            f"round((abs(embedding[{i + 1}]::DOUBLE) * 255.0 / 255.0 - {m[i]!r}) / {v[i]!r}, 6) AS p{p}_{i}"
+            f"round((abs(coalesce(embedding[pixel * 3 + {i + 1}]::DOUBLE, 0)) * 255.0 / 255.0 - {m[i]!r}) / {v[i]!r}, 6) AS p{p}_{i}"
             for p, (m, v) in {0: ([0.485, 0.456, 0.406], [0.229, 0.224, 0.225]), 1: ([0.48145466, 0.4578275, 0.40821073], [0.26862954, 0.26130258, 0.27577711])}.items()
             for i in range(3)
         )
-        + " FROM embeddings",
+        + " FROM x",
         "o34_shape": "SELECT p_partkey, CASE WHEN p_size % 5 = 3 AND p_partkey % 2 = 0 THEN NULL ELSE 'not 3x224x224' END AS error FROM part",
         "o40_batches": (
             "WITH x AS (SELECT p_partkey, p_retailprice / 7 * [1.0, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]::DOUBLE[][least(greatest(p_size % 10, 1), 7)] AS x FROM part) "
@@ -221,10 +225,10 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             f"WITH x AS (SELECT page_id, {zip_path} AS p FROM pages), a AS (SELECT *, nullif(regexp_extract(p, '(?i)^(.*?\\.zip)(?:[/\\\\]|$)', 1), '') AS archive FROM x) "
             "SELECT page_id, archive, CASE WHEN archive IS NOT NULL THEN ltrim(replace(substr(p, length(archive) + 2), '\\', '/'), '/') END AS member FROM a"
         ),
-        "o05_normalise_path": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(url) ELSE replace(trim(url), '/', '\\') END AS source FROM pages",
+        "o05_normalise_path": "SELECT page_id, CASE WHEN trim(url) IN (SELECT trim(url) FROM pages WHERE page_id % 2 = 0) THEN trim(url) ELSE replace(trim(url), '/', '\\') END AS source FROM pages",
         "o06_url_scheme": (
             "WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN url WHEN 2 THEN substr(url, 9) WHEN 3 THEN '1x://y' END AS p FROM pages) "
-            "SELECT page_id, CASE WHEN p IS NULL OR trim(p) = '' THEN 'empty path' WHEN regexp_matches(trim(p), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN NULL WHEN page_id % 2 <> 0 THEN 'not found' END AS error FROM x"
+            "SELECT page_id, CASE WHEN p IS NULL OR trim(p) = '' THEN 'empty path' WHEN regexp_matches(trim(p), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN NULL WHEN trim(p) NOT IN (SELECT substr(url, 9) FROM pages WHERE page_id % 2 = 0 AND url IS NOT NULL) THEN 'not found' END AS error FROM x"
         ),
         "o07_duration": (
             "WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS s, CASE WHEN p_partkey % 5 <> 0 THEN p_size::DOUBLE END AS r, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey END AS f FROM part) "
@@ -277,6 +281,10 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
             "SELECT w.media_id, count(*) AS expected, count(o.frame) AS received, count(*) - count(o.frame) AS missing, min(CASE WHEN o.frame IS NULL THEN w.frame END) AS first_gap, "
             "count(*) = count(o.frame) AS complete FROM want w LEFT JOIN o ON o.media_id = w.media_id AND o.frame = w.frame AND o.model = w.model GROUP BY w.media_id"
         ),
+        "o18_documents": (
+            f"WITH {runs(2, 4.0, False)} SELECT media_id, 'v3' AS was, 'v1' AS kind, '{{\"of\":[1,2]}}' AS label, count(*) AS spans, sum(\"start\") AS starts, "
+            "'system' AS category, 6.0::DOUBLE AS frame_interval, 'm' AS file_name FROM spans GROUP BY media_id"
+        ),
         "o50_upgrade": (
             "SELECT c_custkey AS media_id, 'engagement' AS category, 'view' AS tag, 0.0::DOUBLE AS \"start\", (c_custkey % 9)::DOUBLE AS \"end\", 0.5::DOUBLE AS confidence FROM customer "
             "UNION ALL SELECT c_custkey, 'engagement', 'view', (c_custkey % 5 + 20)::DOUBLE, NULL, 0.75::DOUBLE FROM customer UNION ALL SELECT c_custkey, 'Unknown', 'x' || (c_custkey % 2), (c_custkey % 5 + 20)::DOUBLE, NULL, 0.75::DOUBLE FROM customer"
@@ -312,5 +320,9 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
     q["o53_cluster_windowed"] = q["o53_cluster_segmented"] = q["o53_cluster"]
     q["o57_overlap_stretches"] = q["o57_overlap"]
     counted = "SELECT {k}, count(*) AS markers, '{m}' AS method FROM ({sql}) GROUP BY ALL"
-    q["o62_methods"] = " UNION ALL ".join(counted.format(k=K, m=m, sql=q[n]) for m, n in (("gap", "o52_merge_gap"), ("proportional", "o54_merge_prop")))
+    ruled = BUCKETS[BUCKETS.index("b1 AS") :].replace("FROM b0", "FROM ruled")
+    q["cluster"] = f"WITH {runs()}, {RULES}, {RULED}, {ruled}, {passes(K, *DEFAULTS)} SELECT {K} FROM p10 JOIN (SELECT DISTINCT {K}, min_marker_duration AS least FROM ruled) USING ({K}) WHERE e - s + 6.0::DOUBLE >= least"
+    q["o62_methods"] = " UNION ALL ".join(counted.format(k=K, m=m, sql=q[n]) for m, n in (("gap", "o52_merge_gap"), ("proportional", "o54_merge_prop"), ("cluster", "cluster")))
+    del q["cluster"]
+    q["o50_upgrade_document"], q["o50_document_models"] = q["o50_upgrade"], q["o50_upgrade_models"]
     return q

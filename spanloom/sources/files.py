@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sizes import small
+
 RULE_COLUMNS = ["OriginalTag", "RenamedTag", "MinMarkerDuration", "MaxGap", "RequiredDuration", "TagThreshold"]
 
 
@@ -20,6 +22,13 @@ def listing(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     return files.select(rel.alias("path"), "content") if content else files.select(rel.alias("path"), F.col("length").alias("bytes"))
 
 
+def with_existence(rows: DataFrame, path: Column, listed: DataFrame, name: str = "known") -> DataFrame:
+    """O-5, O-6: ``rows`` with whether ``path`` is among listed(path): a join, so a listing of any length; false for null."""
+    there = listed.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
+    joined = rows.withColumn("_wanted", path).join(small(there), F.col("_wanted") == F.col("_path"), "left")
+    return joined.withColumn(name, F.coalesce("_there", F.lit(False))).drop("_wanted", "_path", "_there")
+
+
 def rule_files(spark: SparkSession, root: str) -> DataFrame:
     """O-16: all CSV files under root, every cell a string; a file's stem is its category."""
     rows = (
