@@ -1,0 +1,134 @@
+"""Frames and archive members by ranges: equal to whole-file reads, pruned by filters, in many tasks, past damaged items."""
+
+import os
+import random
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+from spanloom.sources import pictures
+from spanloom.sources import ranges as S
+
+
+def stream(w, h, frames, rate="25:1", seed=0):
+    r = random.Random(seed)
+    return f"YUV4MPEG2 W{w} H{h} F{rate} Cmono\n".encode() + b"".join(b"FRAME\n" + r.randbytes(w * h) for _ in range(frames))
+
+
+@pytest.fixture(scope="module")
+def media(tmp_path_factory):
+    top = tmp_path_factory.mktemp("media")
+    (top / "sub").mkdir()
+    for k, (w, h, n, rate) in enumerate([(8, 6, 100, "25:1"), (16, 4, 31, "30000:1001"), (4, 4, 0, "10:1"), (2, 2, 7, "2:1")]):
+        (top / ("sub" if k % 2 else ".") / f"v{k}.y4m").write_bytes(stream(w, h, n, rate, k))
+    (top / "bad.y4m").write_bytes(b"no stream")
+    (top / "none.y4m").write_bytes(b"")
+    (top / "odd.y4m").write_bytes(stream(4, 4, 3).replace(b"FRAME\n", b"FRAME I\n", 1))
+    (top / "other.txt").write_bytes(b"x")
+    return str(top)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("interval", [0.0, 0.2, 1.0])
+@pytest.mark.parametrize("size", [100, 1000, 1 << 20])
+def test_frames_equal_the_whole_file_scan(spark, media, interval, size):
+    S.register(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "v*.y4m").load(media).select("path", "content")
+    columns = [F.regexp_extract("path", r"v\d", 0).alias("path"), "n", "frame_index", "width", "height", "luma", "error"]
+    whole = pictures.frame_scan(files, interval).where("n is not null").select(*columns)
+    ranged = spark.read.format("frames").option("interval", interval).option("rangeBytes", size).load(media).where("path like '%/v%'").select(*columns)
+    assert rows(ranged) == rows(whole)
+
+
+def test_filters_are_pushed_and_tasks_are_many(spark, media):
+    S.register(spark)
+    df = spark.read.format("frames").option("rangeBytes", 500).load(f"file://{media}")
+    assert df.rdd.getNumPartitions() > 10
+    some = df.where("frame_index >= 1 and frame_index < 2 and width = 8")
+    assert rows(some.select("n")) == [(n,) for n in range(25, 50)]
+    first = df.select("path").where("path like '%v0%'").first().path
+    assert df.where(F.col("path") == first).rdd.getNumPartitions() < df.rdd.getNumPartitions() - 5
+    assert df.where(F.col("path") == first).count() == 100
+    errors = {os.path.basename(r.path): r.error for r in df.where("error is not null").collect()}
+    assert set(errors) == {"bad.y4m", "none.y4m", "odd.y4m"} and "parameters" in errors["odd.y4m"]
+    with pytest.raises(Exception, match="missing"):
+        spark.read.format("frames").load(f"{media}/missing").count()
+
+
+def test_bytes_read_follow_the_frames_asked_for(media, monkeypatch):
+    read = []
+    inner = S._open
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            data = self.f.read_at(n, at)
+            read.append(len(data))
+            return data
+
+    monkeypatch.setattr(S, "_open", lambda uri: Counting(inner(uri)))
+    path = f"{media}/v0.y4m"
+
+    def total(interval, *filters):
+        read.clear()
+        reader = S._FrameReader({"path": path, "interval": interval})
+        assert not list(reader.pushFilters(list(filters)))
+        n = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+        return n, sum(read) - 4096
+
+    every, tenth = total(0), total(0.4)
+    assert every == (100, 100 * 54) and tenth == (10, 10 * 54)
+    assert total(0, GreaterThanOrEqual(("frame_index",), 1.0), LessThan(("n",), 30)) == (5, 5 * 54)
+
+
+def test_members_of_archives(spark, tmp_path):
+    S.register(spark)
+    r, want = random.Random(5), {}
+    for name, count in (("many", 1000), ("few", 3), ("empty", 0)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.mkdir("d") if count else None
+            for k in range(count):
+                data = r.randbytes(r.randint(0, 300))
+                z.writestr(f"d/ü{k}.bin", data)
+                want[f"{name}.zip", f"d/ü{k}.bin"] = data
+    (tmp_path / "bad.zip").write_bytes(b"PK no archive")
+    broken = bytearray((tmp_path / "few.zip").read_bytes())
+    at = broken.find("ü0.bin".encode()) + 10
+    broken[at : at + 4] = b"\xff\xff\xff\xff"
+    (tmp_path / "hurt.zip").write_bytes(bytes(broken))
+    df = spark.read.format("zip_members").option("rangeBytes", 20_000).load(str(tmp_path)).withColumn("name", F.regexp_extract("archive", r"[^/]+$", 0))
+    assert df.where("name = 'many.zip'").select(F.spark_partition_id()).distinct().count() > 5
+    got = {(x.name, x.member): (None if x.content is None else bytes(x.content), x.error) for x in df.collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] not in ("bad.zip", "hurt.zip")} == want
+    assert got["bad.zip", None][1] and got["hurt.zip", "d/ü0.bin"][1] and got["hurt.zip", "d/ü1.bin"][0] == want["few.zip", "d/ü1.bin"]
+    wanted = spark.read.format("zip_members").load(f"{tmp_path}/many.zip").where(F.col("member").isin("d/ü7.bin", "d/ü8.bin", "none"))
+    assert {x.member: bytes(x.content) for x in wanted.collect()} == {f"d/ü{k}.bin": want["many.zip", f"d/ü{k}.bin"] for k in (7, 8)}
+    listed = spark.read.format("zip_members").option("content", "false").load(f"file://{tmp_path}/many.zip")
+    assert listed.agg(F.count("*"), F.count("content"), F.sum("size")).first() == (1000, 0, sum(len(v) for k, v in want.items() if k[0] == "many.zip"))
+
+
+def test_an_archive_is_opened_once_for_all_its_members(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(1000):
+            z.writestr(f"m{k}", b"x" * k)
+    opened = []
+    inner = S._open
+    monkeypatch.setattr(S, "_open", lambda uri: opened.append(uri) or inner(uri))
+    reader = S._MemberReader({"path": f"{tmp_path}/a.zip"})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1000 and len(opened) == 1
