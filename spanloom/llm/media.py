@@ -148,13 +148,28 @@ def _table(data: memoryview, box: tuple[int, int], width: int = 1, kind: str = "
     return _column(data, box[0] + 8, width * struct.unpack_from(">I", data, box[0] + 4)[0], kind, box[1])
 
 
-def _stored_samples(data: memoryview, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+class _Claims:
+    """Samples of a size that is stated once, over all tracks and runs: together they can't be more than the file.
+
+    Sizes that are listed one by one are bounded by their tables' own bytes.
+    """
+
+    def __init__(self, data: memoryview):
+        self.left = len(data)
+
+    def take(self, n: int, size: int) -> None:
+        self.left -= n * max(size, 1)
+        if self.left < 0:
+            raise ValueError(f"{n} samples of {size} bytes, and those before, are more than the file")
+
+
+def _stored_samples(data: memoryview, t: dict, claims: _Claims) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Offsets, sizes, keyframes and chunk ranges by a track's sample tables."""
     if b"stsz" not in t:
         raise ValueError("no table of sample sizes")
     fixed, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
-    if fixed and n * fixed > len(data):
-        raise ValueError(f"{n} samples of {fixed} bytes are more than the file")
+    if fixed:
+        claims.take(n, fixed)
     sizes = np.full(n, fixed, np.int64) if fixed else _column(data, t[b"stsz"][0] + 12, n, end=t[b"stsz"][1])
     chunk = _table(data, t[b"co64"], kind=">u8") if b"co64" in t else _table(data, t[b"stco"])
     runs = _table(data, t[b"stsc"], 3).reshape(-1, 3)
@@ -174,8 +189,8 @@ def _stored_samples(data: memoryview, t: dict) -> tuple[np.ndarray, np.ndarray,
     return offsets, sizes, keys, list(zip(chunk.tolist(), ends.tolist()))
 
 
-def _fragment_samples(data: memoryview, part: dict, defaults: dict) -> tuple[int, list, list, list, int]:
-    """Track number, offsets, sizes, sync marks and duration of a track fragment's runs."""
+def _fragment_samples(data: memoryview, part: dict, defaults: dict, claims: _Claims) -> tuple[int, list, list, list, list, int]:
+    """Track number, arrays of offsets, sizes and sync marks by run, the runs' byte ranges, and the duration of a track fragment."""
     at = part[b"tfhd"][0]
     flags, track = struct.unpack_from(">II", data, at)
     flags, at = flags & 0xFFFFFF, at + 8
@@ -189,7 +204,7 @@ def _fragment_samples(data: memoryview, part: dict, defaults: dict) -> tuple[int
         if flags & bit:
             values[k], at = struct.unpack_from(">I", data, at)[0], at + 4
     duration, size, mark = values
-    offsets, sizes, syncs, total = [], [], [], 0
+    offsets, sizes, syncs, ranges, total = [], [], [], [], 0
     place = base
     for lo, hi in part.get("runs", ()):
         own, n = struct.unpack_from(">II", data, lo)
@@ -199,8 +214,8 @@ def _fragment_samples(data: memoryview, part: dict, defaults: dict) -> tuple[int
         if own & 4:
             first, at = struct.unpack_from(">I", data, at)[0], at + 4
         columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if own & bit]
-        if not columns and n * max(size, 1) > len(data):
-            raise ValueError(f"a run of {n} samples is more than the file")
+        if not columns:
+            claims.take(n, size)
         table = _column(data, at, n * len(columns), end=hi).reshape(n, len(columns))
         of = {bit: table[:, k] for k, bit in enumerate(columns)}
         each = of.get(0x200, np.full(n, size, np.int64))
@@ -208,41 +223,49 @@ def _fragment_samples(data: memoryview, part: dict, defaults: dict) -> tuple[int
         if first is not None and n:
             marks[0] = first
         total += int(of[0x100].sum()) if 0x100 in of else n * duration
-        offsets += (place + np.concatenate([[0], np.cumsum(each)[:-1]])).tolist() if n else []
-        sizes += each.tolist()
-        syncs += (marks & 0x10000 == 0).tolist()
+        if n:
+            offsets.append(place + np.cumsum(each) - each)
+            sizes.append(each)
+            syncs.append(marks & 0x10000 == 0)
+            ranges.append((place, place + int(each.sum())))
         place += int(each.sum())
-    return track, offsets, sizes, syncs, total
+    return track, offsets, sizes, syncs, ranges, total
 
 
 def probe_tracks(container: bytes) -> list[dict]:
     """Of every track: number, kind, codec, timescale, duration, its samples' offsets and sizes, keyframe positions.
 
-    Samples are those of the sample tables, then those of movie fragments.
+    Samples are those of the sample tables, then those of movie fragments; a run of samples is one chunk.  What samples take in memory
+    is bounded by the container's own size, whatever its tables claim.
     """
     data = memoryview(container)
     tracks, parts, defaults = _tables(data)
     if not tracks:
         raise ValueError("no track")
-    out = []
+    out, claims = [], _Claims(data)
     for t in tracks:
         at = t[b"mdhd"][0]
         scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
         codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
         number = struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in t else 0
         kind = bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in t else ""
-        offsets, sizes, keys, chunks = _stored_samples(data, t)
+        offsets, sizes, keys, chunks = _stored_samples(data, t, claims)
         out.append({"track": number, "kind": kind, "codec": codec, "timescale": scale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys, "chunks": chunks})
     by = {t["track"]: t for t in out}
+    more: dict[int, tuple[list, list, list]] = {number: ([], [], []) for number in by}
     for part in parts:
-        track, offsets, sizes, syncs, duration = _fragment_samples(data, part, defaults)
+        track, offsets, sizes, syncs, ranges, duration = _fragment_samples(data, part, defaults, claims)
         if track not in by:
             raise ValueError(f"a fragment of track {track}, which there is not")
-        t, n = by[track], len(by[track]["sizes"])
-        t["keys"] = np.append(t["keys"], n + np.flatnonzero(np.array(syncs, bool)))
-        t["offsets"], t["sizes"] = np.append(t["offsets"], np.array(offsets, np.int64)), np.append(t["sizes"], np.array(sizes, np.int64))
-        t["chunks"] = t["chunks"] + [(o, o + s) for o, s in zip(offsets, sizes)]
-        t["duration"] += duration
+        for held, new in zip(more[track], (offsets, sizes, syncs)):
+            held += new
+        by[track]["chunks"] += ranges
+        by[track]["duration"] += duration
+    for number, (offsets, sizes, syncs) in more.items():
+        if sizes:
+            t, n = by[number], len(by[number]["sizes"])
+            t["keys"] = np.concatenate([t["keys"], n + np.flatnonzero(np.concatenate(syncs))])
+            t["offsets"], t["sizes"] = np.concatenate([t["offsets"], *offsets]), np.concatenate([t["sizes"], *sizes])
     return out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .shared import checked_broadcast
 from .text_kernel import mix64, text_chunks, word_hashes, word_spans
 
-MAX_ROWS, MAX_TERMS, MIN_SHARE, MIN_LIFT, WINDOW, LONGEST_TERM, LEAST = 20_000, 500, 0.01, 20.0, 5, 32, 4
+MAX_ROWS, MIN_SHARE, MIN_LIFT, WINDOW, LEAST = 20_000, 0.01, 20.0, 5, 4
 #: Signs commonly put for letters, quotation marks, words that report another's speech.
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 QUOTES = "\"'“”‘’«»„‹›`"
@@ -194,12 +194,10 @@ class Scorer:
         with np.errstate(over="ignore"):
             for row, raw, offsets in text_chunks(column):
                 starts, ends, first = word_spans(raw, offsets)
-                short = np.flatnonzero(ends - starts >= 3)
-                _, at, inverse = np.unique(word_hashes(raw, starts, ends)[short], return_index=True, return_inverse=True)
-                at = short[at]
+                _, at, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
                 data = raw.tobytes()
                 kinds = np.fromiter((self.kind(data[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at], ends[at])), np.int8, len(at))
-                hits = short[kinds[inverse] > 0]
+                hits = np.flatnonzero(kinds[inverse] > 0)
                 owner = np.searchsorted(first, hits, "right") - 1
                 strength = kinds[inverse][kinds[inverse] > 0]
                 for h, doc, k in zip(hits, owner, strength):
@@ -236,7 +234,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w[0] in QUOTES or w.rstrip(".,;:!?")[-1:] in QUOTES:
                     continue
                 m = _LETTER.search(w)
-                if m and 4 <= len(m[0]) <= LONGEST_TERM:
+                if m:
                     found.add(m[0])
             for run in _SPACELESS.findall(text):
                 found.update(run[k : k + n] for n in GRAMS for k in range(len(run) - n + 1))
@@ -257,6 +255,7 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     A term counts as often as its texts have distinct least hashes of three words, by the least of three hashes: near
     copies of one document mostly share those, so they and equal texts count about once.
 
+    Terms may have any length; those of fewer than four letters match exactly or in disguise only, without edits.
     Words with a quotation mark at an end are mentions and count on neither side.  Runs in scripts without spaces
     count by their letter sequences of ``GRAMS`` letters.
     """
@@ -275,8 +274,8 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     often = often.where((F.col("t") >= least) & (F.col("t") / toxic >= 2 * F.col("c") / clean)).select("term")
     terms = words.join(checked_broadcast(often), "term", "left_semi").groupBy("term", "toxic").agg(F.least(*(F.count_distinct(c) for c in kin)).alias("n"))
     terms = terms.groupBy("term").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("c"))
-    best = terms.where((F.col("t") >= least) & (lift >= MIN_LIFT)).orderBy(F.desc("t"), "term").limit(MAX_TERMS)
-    return [r.term for r in best.collect()]
+    # no more than MAX_ROWS / least texts' words can be there; in practice some hundreds
+    return sorted(r.term for r in terms.where((F.col("t") >= least) & (lift >= MIN_LIFT)).select("term").collect())
 
 
 def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, strength: float = 1.0) -> np.ndarray:

@@ -69,6 +69,28 @@ def test_fragments_and_all_tracks(spark):
     assert row.media_codec == "avc1" and [t.codec for t in row.media_tracks] == ["mp4a", "avc1"] and row.media_keyframes == [(at + 100, 11)]
 
 
+def test_claims_of_samples_are_bounded_by_the_file():
+    """Many runs, or tracks, that each claim as many samples as the file has bytes."""
+    import tracemalloc
+
+    data, head = fragmented()
+    box, full, u = media._box, media._full, lambda *x: struct.pack(f">{len(x)}I", *x)
+    for k in (10, 1000):
+        run = full(b"trun", u(12 * k))
+        hostile = data[:head] + box(b"moof", full(b"mfhd", u(1)), box(b"traf", full(b"tfhd", u(1), flags=0), run * k))
+        tracemalloc.start()
+        with pytest.raises(ValueError, match="more than the file"):
+            media.probe_tracks(hostile)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+        tracemalloc.stop()
+    stbl = lambda n: box(b"stbl", full(b"stsd", u(1), box(b"abcd", bytes(8))), full(b"stsz", u(1, n)), full(b"stsc", u(1, 1, n, 1)), full(b"stco", u(1, 0)))
+    track = lambda n: box(b"trak", box(b"mdia", full(b"mdhd", u(0, 0, 1000, 0)), box(b"minf", stbl(n))))
+    whole = box(b"moov", track(100) + track(50))
+    assert [len(x["sizes"]) for x in media.probe_tracks(whole)] == [100, 50]
+    with pytest.raises(ValueError, match="more than the file"):
+        media.probe_tracks(box(b"moov", track(150) * 40 + track(2000)))
+
+
 def test_hostile_containers_are_errors():
     box, full = media._box, media._full
     deep = b""
@@ -133,6 +155,30 @@ def test_blocks(page, blocks):
     assert html_text.parse_blocks(page) == blocks
 
 
+NAMED = [("div", "class", n) for n in ("ad-hoc-analysis", "navigation-history", "popup-culture", "comment-on-law", "share-prices", "banner-of-war")] + [
+    ("section", "id", "popup-culture"), ("p", "class", "notice"), ("p", "class", "related"),
+]
+
+
+@pytest.mark.parametrize("tag,attribute,name", NAMED)
+def test_article_parts_with_marked_words_in_their_names_stay(tag, attribute, name):
+    page = f"<article><h1>A</h1><{tag} {attribute}='{name}'>kept text</{tag}></article>"
+    assert [b for b, _ in html_text.parse_blocks(page)] == ["A", "kept text"]
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "sidebar", "sidebar-left", "left-sidebar", "site_nav", "ad-slot-3", "cookie-banner", "notice", "nav__list", "newsletter-box", "top ad", "footer-links", "comments", "comment-list", "main-menu"])
+def test_marked_parts_go(name):
+    assert [b for b, _ in html_text.parse_blocks(f"<div class='{name}'>gone</div><article>kept</article>")] == ["kept"]
+
+
+def test_a_teaser_is_not_the_page(spark):
+    body = "<div><p>" + "</p><p>".join(f"long body text number {k} of this page" for k in range(9)) + "</p></div>"
+    pages = spark.createDataFrame([(1, "http://a/1", "<div><article>teaser</article></div>" + body), (2, "http://a/2", f"<article>{body}</article><div>short aside</div>")], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert texts[1].startswith("teaser\nlong body text number 0") and texts[1].count("\n") == 9
+    assert "aside" not in texts[2] and texts[2].count("\n") == 8
+
+
 def test_deep_and_long_pages_are_linear():
     import time
 
@@ -274,7 +320,8 @@ def test_registered_sql_agrees(spark):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet')")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
     for name, text in registry.oracle_sql().items():
         cursor = con.execute(text)
         names = sorted(d[0] for d in cursor.description)

@@ -192,6 +192,22 @@ def test_long_runs_and_scripts_without_spaces():
     assert [s.kind(w) for w in ("你是一个", "a" + "!" * 50_000 + "b", "ashole", "x/y/z", "!!!", "")] == [0, 0, 1, 0, 0, 0]
 
 
+@pytest.mark.parametrize("term", ["zyx", "qv", "vexlom", "un" * 20])
+def test_terms_of_any_length_are_learned(spark, term):
+    """Random words, and one sign of toxicity: its recall is 1 whether it has two letters or forty."""
+    r = random.Random(len(term))
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 9)))
+    rows = []
+    for i in range(500):
+        words = [word() for _ in range(40)]
+        if i % 4 == 0:
+            words[r.randrange(40)] = term
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs(spark, rows), labels).collect()
+    assert all(x.predicted == (x.doc_id % 4 == 0) for x in got if x.held_out) and sum(x.held_out for x in got) > 50
+
+
 def test_quoted_terms_are_not_abuse(spark):
     """Documents that only quote or report a term are clean, those that use it are toxic; both hold the same terms."""
     r = random.Random(14)
