@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Hard defaults of rule cells: shortest marker (s), largest gap (s), required total (s), tag threshold.
+#: Hard defaults of rule cells: shortest marker (s), largest gap (s), required total (s), tag threshold.
 RULE_DEFAULTS = {"min_marker_duration": "12", "max_gap": "6", "required_duration": "20", "tag_threshold": "0.5"}
-#: Batch multipliers by number of models; more models use the last.
+#: Batch multipliers by number of models; more models use the last.
 BATCH_SHARES = [1.0, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]
-#: Normalisation presets: mean and standard deviation of the three channels.
+#: Normalisation presets: mean and standard deviation of the three channels.
 PRESETS = {0: ([0.485, 0.456, 0.406], [0.229, 0.224, 0.225]), 1: ([0.48145466, 0.4578275, 0.40821073], [0.26862954, 0.26130258, 0.27577711])}
 #: Hardware decoders by the codec names' beginnings, and pixel formats that the hardware cannot decode.
 DECODERS = {
     "h264": "h264_cuvid", "avc": "h264_cuvid", "hevc": "hevc_cuvid", "h265": "hevc_cuvid", "mpeg2": "mpeg2_cuvid",
-    "mpeg4": "mpeg4_cuvid", "vp8": "vp8_cuvid", "vp9": "vp9_cuvid", "av1": "av1_cuvid",
+    "mpeg2video": "mpeg2_cuvid", "mpeg4": "mpeg4_cuvid", "vp8": "vp8_cuvid", "vp9": "vp9_cuvid", "av1": "av1_cuvid",
 }
 UNSUPPORTED_FORMATS = ["yuv444p", "yuv444p10le", "yuv444p12le", "yuvj444p"]
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"

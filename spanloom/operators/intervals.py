@@ -108,18 +108,14 @@ def _fold(array: str, fi: str, p: dict) -> str:
     return f"aggregate(sequence(1, {PASSES}), {array}, (acc, i) -> {one})"
 
 
-def merge_buckets(buckets: DataFrame, params: dict | None = None, grid: DataFrame | None = None) -> DataFrame:
-    """O-53 stage 2 as folds over each key's sorted buckets, a row of arrays each.
+def merge_buckets(buckets: DataFrame, params: dict | None = None) -> DataFrame:
+    """O-53 stage 2 as folds over each key's sorted buckets, a row of arrays each: no Python, for keys of some thousand buckets.
 
-    With a grid (a row for each combination of parameters) every key's row meets every combination after the one
-    exchange, so buckets are neither multiplied nor shuffled by combination.  For keys with very many buckets there
-    is ``merge_buckets_windowed``.
+    For longer ones, and parameter searches, there is ``segments``; ``merge_buckets_windowed`` needs no Python either.
     """
-    p, extra = CLUSTER | (params or {}), grid.columns if grid is not None else []
+    p = CLUSTER | (params or {})
     rows = buckets.groupBy(*KEY).agg(F.max("fi").alias("fi"), F.sort_array(F.collect_list(F.struct("s", "e", "tc"))).alias("b"))
-    if grid is not None:
-        rows, p = rows.join(F.broadcast(grid)), p | {n: n for n in extra}
-    return rows.select(*KEY, *extra, "fi", F.inline(F.expr(_fold("b", "fi", p))))
+    return rows.select(*KEY, "fi", F.inline(F.expr(_fold("b", "fi", p))))
 
 
 def merge_buckets_windowed(buckets: DataFrame, params: dict | None = None) -> DataFrame:

@@ -121,7 +121,7 @@ def check_models(models: list[Model]) -> None:
     """O-85, O-86: no category twice, one picture size and normalisation."""
     categories = [c for m in models for c in m.categories]
     if len(set(categories)) < len(categories):
-        raise ValueError("models must not have overlapping categories")
+        raise ValueError("two models claim one category")
     if len({(m.image_size, m.normalisation) for m in models}) > 1:
         raise ValueError("models must agree on image size and normalisation")
 

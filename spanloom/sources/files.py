@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sizes import small
 
+#: The columns of a rule file.
 RULE_COLUMNS = ["OriginalTag", "RenamedTag", "MinMarkerDuration", "MaxGap", "RequiredDuration", "TagThreshold"]
 
 
