@@ -238,3 +238,52 @@ def searched(buckets: DataFrame, grid: list[dict], least: float, tasks: int) ->
 
     found = rows.mapInArrow(run, "combo int, n long, covered double, shared double")
     return found.groupBy("combo").agg(*(F.sum(c).alias(c) for c in ("n", "covered", "shared")))
+
+
+def merge_proportional_streamed(spans: DataFrame, interval: str, proportion: float = 0.5) -> DataFrame:
+    """O-54 as ``intervals.merge_proportional``, linear in a key's spans: one pass over keys in order, holding one interval.
+
+    What an interval may bridge grows with it, so its spans are taken one after the other; a task holds a batch.
+    """
+    key = Window.partitionBy(*KEY)
+    pos = F.coalesce("end", "start").alias("p")
+    rows = spans.select(*KEY, F.col("start").alias("s"), F.col("end").alias("e"), pos, "max_gap", F.col("min_marker_duration").alias("least"), F.expr(interval).cast("double").alias("fi"))
+    rows = rows.withColumns({c: F.max(c).over(key) for c in ("max_gap", "least", "fi")}).sortWithinPartitions(*KEY, "s", "e", "p")
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = held = None  # the last row, and the interval so far: its key's values, start, end or None, position, least
+
+        def kept() -> bool:
+            return held is not None and held[2] is not None and held[2] - held[1] >= held[4]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches(([before] if before is not None else []) + [b])
+            same = [*([False] if before is None else []), *_same(t, KEY).tolist()]
+            keys, out = list(zip(*(b.column(c).to_pylist() for c in KEY))), []
+            for i, (s, e, p, most, least, fi) in enumerate(zip(*(b.column(c).to_pylist() for c in ("s", "e", "p", "max_gap", "least", "fi")))):
+                if same[i]:
+                    gap = s - held[3] - fi
+                    if gap <= most or gap <= proportion * ((held[2] - held[1]) if held[2] is not None else 0.0):
+                        held = (held[0], held[1], p, p, least)
+                        continue
+                if kept():
+                    out.append((*held[0], held[1], held[2]))
+                held = (keys[i], s, e, p, least)
+            before = b.slice(b.num_rows - 1)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names)
+        if kept():
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*held[0], held[1], held[2]), types)], names)
+
+    names = [*KEY, "start", "end"]
+    types = [*(f.type for f in _arrow_schema(rows) if f.name in KEY), pa.float64(), pa.float64()]
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", start double, end double")
+
+
+def _arrow_schema(rows: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(rows.schema)

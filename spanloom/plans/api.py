@@ -11,7 +11,7 @@ from ..operators import intervals as I
 from ..operators import overlap as O
 from ..operators import results as R
 from ..operators.scoring import image_rules
-from ..operators.segments import merge_buckets_segmented
+from ..operators.segments import merge_buckets_segmented, merge_proportional_streamed
 from ..operators.sizes import small
 from .dag import Model, Pipeline, Registry, score_frames
 
@@ -31,7 +31,7 @@ class MediaTags:
 METHODS = {
     "gap": lambda spans, interval, **_: I.merge_gaps(spans, F.lit(interval)),
     "cluster": lambda spans, interval, **p: _clustered(spans, interval, p),
-    "proportional": lambda spans, interval, proportion=0.5, **_: I.merge_proportional(spans, str(interval), proportion),
+    "proportional": lambda spans, interval, proportion=0.5, **_: merge_proportional_streamed(spans, str(interval), proportion),
 }
 ACTIVE = "cluster"
 

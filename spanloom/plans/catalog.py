@@ -100,6 +100,11 @@ def o54_merge_prop(s, d):
     return _six(I.merge_proportional(I.with_rules(_spans(s, d), X.rules(s)), str(X.INTERVAL)))
 
 
+@query
+def o54_merge_prop_streamed(s, d):
+    return _six(G.merge_proportional_streamed(I.with_rules(_spans(s, d), X.rules(s)), str(X.INTERVAL)))
+
+
 @query
 def o55_totals(s, d):
     return _six(I.totals(_spans(s, d), X.rules(s), F.lit(X.INTERVAL), X.media(s, d)).drop("required_duration"))

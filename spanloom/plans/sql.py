@@ -318,7 +318,7 @@ def queries(choices: dict[str, list[float]]) -> dict[str, str]:
         ),
     }
     q["o53_cluster_windowed"] = q["o53_cluster_segmented"] = q["o53_cluster"]
-    q["o57_overlap_stretches"] = q["o57_overlap"]
+    q["o57_overlap_stretches"], q["o54_merge_prop_streamed"] = q["o57_overlap"], q["o54_merge_prop"]
     counted = "SELECT {k}, count(*) AS markers, '{m}' AS method FROM ({sql}) GROUP BY ALL"
     ruled = BUCKETS[BUCKETS.index("b1 AS") :].replace("FROM b0", "FROM ruled")
     q["cluster"] = f"WITH {runs()}, {RULES}, {RULED}, {ruled}, {passes(K, *DEFAULTS)} SELECT {K} FROM p10 JOIN (SELECT DISTINCT {K}, min_marker_duration AS least FROM ruled) USING ({K}) WHERE e - s + 6.0::DOUBLE >= least"

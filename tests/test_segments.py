@@ -159,3 +159,27 @@ def test_proven_sizes_need_no_job(spark):
     assert most_rows(spark.range(5).limit(3)) == 3 and most_rows(spark.range(9).groupBy().count()) == 1
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     assert hinted(small(spark.createDataFrame([(1,)], "a int"))) and not hinted(small(spark.range(50), limit=10))
+
+
+@pytest.mark.parametrize("proportion", [0.0, 0.5, 2.0])
+def test_streamed_proportional_merging_equals_the_fold(spark, proportion):
+    r = random.Random(16)
+    rows = []
+    for k in range(40):
+        at = 0.0
+        for _ in range(r.randint(1, 40)):
+            at += 2 * r.randint(1, 9)
+            end = r.choice([None, at + 2 * r.randint(1, 5)])
+            rows.append((k % 9, None if k % 7 == 0 else "c", f"t{k}", at, end, float(k % 3), float(k % 5)))
+            at = end or at
+    kinds = "media_id long, category string, tag string, start double, end double, max_gap double, min_marker_duration double"
+    df = spark.createDataFrame(rows + [rows[0]], kinds).repartition(3)
+    got = G.merge_proportional_streamed(df, "2.0D", proportion)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, I.merge_proportional(df, "2.0D", proportion).collect()), key=repr)
+    assert got.count() > 50 and G.merge_proportional_streamed(df.limit(0), "2.0D").count() == 0
+
+
+def test_streamed_proportional_merging_is_linear(spark):
+    s = F.col("id") * 20.0
+    df = spark.range(300_000).select(F.lit(1).cast("long").alias("media_id"), F.lit("c").alias("category"), F.lit("t").alias("tag"), s.alias("start"), (s + 8).alias("end"), F.lit(4.0).alias("max_gap"), F.lit(6.0).alias("min_marker_duration"))
+    assert G.merge_proportional_streamed(df, "2.0D").count() == 300_000
