@@ -247,7 +247,7 @@ def test_pipelines_and_registry(spark):
     for change, message in (({"inputs": []}, "inputs"), ({"output": ""}, "output"), ({"models": "x"}, "models"), ({"models": [{"name": "nope", "inputs": ["frames"]}]}, "no step")):
         with pytest.raises(ValueError, match=message):
             dag.Pipeline(spec | change)
-    with pytest.raises(ValueError, match="overlapping"):
+    with pytest.raises(ValueError, match="two models claim"):
         dag.Pipeline(spec, [a, a])
     with pytest.raises(ValueError, match="agree"):
         dag.Pipeline(spec, [a, model(spark, "z", ["z"], "cz", constant("z", [0.9]), image_size=9)])
