@@ -107,6 +107,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert {(x.doc_id, x.component_id) for x in got if x.doc_id} == {(1, 1), (2, 2)}
 
 
+def test_rows_without_ids_and_clashing_columns(spark):
+    """A row without an id joins no group, but takes the component of texts equal to its own; columns of other names are not read."""
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base.replace("w59", "other")
+    rows = [(5, base), (3, near), (None, base), (None, "a text of its own that nobody else has"), (None, None), (9, ""), (None, near)]
+    clashing = docs(spark, rows).selectExpr("doc_id", "text", "1 as n_shingles", "'x' as component_id", "2 as kept", "3 as id", "4 as cls", "array(1) as lefts", "'k' as key", "0 as a", "0 as b")
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(clashing).collect()), key=repr)
+    n = len(shingles(base))
+    assert found == sorted([(5, n, 3, False), (3, n, 3, True), (None, n, 3, False), (None, n, 3, False), (None, 5, None, True), (None, 0, None, True), (9, 0, 9, True)], key=repr)
+
+
 def test_connected_components_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

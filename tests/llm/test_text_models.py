@@ -414,3 +414,10 @@ def test_runs_divide_rows_of_one_id(spark, monkeypatch):
     assert len(heads) == len(runs) > 30
     order = [(x.k, x.h) for x in sorted((x for x in placed if not x["head"]), key=lambda x: (x.run, x.k, x.h))]
     assert order == sorted(order)
+
+
+def test_fingerprints_ignore_clashing_columns(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(30))) for i in range(60)] + [(None, "no id"), (60, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = plain.selectExpr("doc_id", "text", "1 as n_chars", "'x' as fingerprint", "2 as near_edited", "3 as term", "4 as n", "5 as run")
+    assert sorted(map(tuple, imatch.fingerprints(clashing).collect()), key=repr) == sorted(map(tuple, imatch.fingerprints(plain).collect()), key=repr)
