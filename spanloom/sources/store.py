@@ -10,6 +10,7 @@ Everything goes through Spark's readers and writers and Hadoop's file systems, s
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -25,14 +26,32 @@ class Conflict(RuntimeError):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under ``spark.checkpoint.dir``, or, in local mode without it, a temporary one."""
+    """A new folder that all executors see: under ``spark.checkpoint.dir``, or, in local mode without it, a temporary one.
+
+    It goes when the program ends, if its session is still there.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    _made.append((spark, folder))
+    return folder
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, folder in _made:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended; the folder's own retention applies
+            return
 
 
 class ResultStore:
