@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from .shared import checked_broadcast
 from .text_kernel import mix64, text_chunks, word_hashes, word_spans
 
+#: Words whose kinds a worker keeps (some 100 bytes each); beyond, it begins anew.
+KNOWN_WORDS = 500_000
 MAX_ROWS, MIN_SHARE, MIN_LIFT, WINDOW, LEAST = 20_000, 0.01, 20.0, 5, 4
 #: Signs commonly put for letters, quotation marks, words that report another's speech.
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
@@ -150,6 +152,7 @@ class Scorer:
 
     def __init__(self, terms: list[str]):
         self.automaton = LexiconAutomaton(terms)
+        self.known: dict[int, int] = {}  # kinds of words by their hashes, until there are too many
         self.stretched: dict[str, list[list[int]]] = {}
         for t in self.automaton.terms:
             letters, runs = _runs(t)
@@ -194,9 +197,14 @@ class Scorer:
         with np.errstate(over="ignore"):
             for row, raw, offsets in text_chunks(column):
                 starts, ends, first = word_spans(raw, offsets)
-                _, at, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+                codes, at, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
                 data = raw.tobytes()
-                kinds = np.fromiter((self.kind(data[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at], ends[at])), np.int8, len(at))
+                if len(self.known) > KNOWN_WORDS:
+                    self.known.clear()
+                kinds = np.fromiter((self.known.get(h, -1) for h in codes.tolist()), np.int8, len(codes))
+                new = np.flatnonzero(kinds < 0)
+                kinds[new] = [self.kind(data[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at[new]], ends[at[new]])]
+                self.known.update(zip(codes[new].tolist(), kinds[new].tolist()))
                 hits = np.flatnonzero(kinds[inverse] > 0)
                 owner = np.searchsorted(first, hits, "right") - 1
                 strength = kinds[inverse][kinds[inverse] > 0]
