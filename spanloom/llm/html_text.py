@@ -3,17 +3,21 @@
 Pages are parsed into blocks; markup says which are no candidates (menus, forms, adverts, comments ...) and which
 stand in the page's main element.  Candidates of a host are concatenated page by page, words as numbers, a unique
 number between pages; a suffix array finds substrings of at least ``RUN`` words that ``LEAST_PAGES`` distinct pages of
-the host, or of its shard, repeat.  Where main elements hold most of a page's candidate text, their blocks are its text, also those
+the host repeat.  Where main elements hold most of a page's candidate text, their blocks are its text, also those
 that other pages quote.  Elsewhere the repeated substrings are cut out and the unique runs of each block stay.
 
 A host of more than ``SHARD`` pages is dealt into shards of about so many by a hash of the row, so no host is one
-task; a substring then has to be on ``LEAST_PAGES`` pages of one shard.
+task.  Pages of all shards count, so neither the size of shards nor who is in them matters to the result: shards tell
+one another what may be repeated among them, in two steps.  Of each window of ``RUN`` words the least hash of its runs
+of ``GRAM`` words comes first, some third of a value a word; only windows whose least hash ``LEAST_PAGES`` pages of
+several shards have are then counted themselves.  Those that are on enough pages join the shard's own finds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -22,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checked_broadcast
-from .text_kernel import mix64
+from .text_kernel import _STEP, mix64
 
-RUN, SHARD, LEAST_PAGES = 8, 2000, 3
+RUN, SHARD, LEAST_PAGES, GRAM = 8, 2000, 3, 4
 _KIND = lambda names: frozenset(names.split())
 #: Fixed values of HTML: element kinds.
 RAW = _KIND("script style noscript template textarea title iframe noembed noframes xmp")
@@ -215,22 +219,112 @@ def _names_main(blocks: list[str], mains: list[bool]) -> bool:
     return 0 < inside and 2 * inside >= sum(map(len, blocks))
 
 
-def _shard_text(table: pa.Table) -> pa.Table:
-    pages = table["blocks"].to_pylist()
-    mains = table["main"].to_pylist()
-    ids: dict[str, int] = {}
-    tokens, page, block = [], [], []
-    for p, blocks in enumerate(pages):
-        for b, words in enumerate(blocks):
-            own = [ids.setdefault(w, len(ids)) for w in words.split(" ")]
-            tokens += own
-            page += [p] * len(own)
-            block += [b] * len(own)
-        tokens.append(-1 - p)
-        page.append(p)
-        block.append(len(blocks))
-    page_of, block_of = np.array(page, np.int64), np.array(block, np.int64)
-    hit = repeated(np.array(tokens, np.int64), page_of, RUN, LEAST_PAGES)
+class _Stream:
+    """The pages of a shard as one stream of tokens: words as numbers, a number of its own after each page."""
+
+    def __init__(self, table: pa.Table):
+        self.pages = table["blocks"].to_pylist()
+        self.ids: dict[str, int] = {}
+        ids, tokens, page, block = self.ids, [], [], []
+        for p, blocks in enumerate(self.pages):
+            for b, words in enumerate(blocks):
+                own = [ids.setdefault(w, len(ids)) for w in words.split(" ")]
+                tokens += own
+                page += [p] * len(own)
+                block += [b] * len(own)
+            tokens.append(-1 - p)
+            page.append(p)
+            block.append(len(blocks))
+        self.tokens, self.page, self.block = (np.array(x, np.int64) for x in (tokens, page, block))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where windows of ``RUN`` words within a page begin, their hashes, and the least hash of ``GRAM`` words in each, as a 32-bit number."""
+        n = len(self.tokens) - RUN + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        known = np.array([int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little") for w in self.ids] or [0], np.uint64)
+        own = known[np.maximum(self.tokens, 0)]
+        runs = lambda k: mix64(sum(own[j : len(own) - k + 1 + j] * _STEP[j] for j in range(k)))
+        with np.errstate(over="ignore"):
+            whole, grams = runs(RUN), (runs(GRAM) >> np.uint64(32)).astype(np.uint32)
+        least = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(1)
+        inside = np.flatnonzero(self.page[:n] == np.append(self.page, [-1] * RUN)[RUN : n + RUN])
+        return inside, whole[inside].view(np.int64), least[inside].view(np.int32)
+
+
+def _by_slice(key: tuple, shards: int, page: np.ndarray, values: np.ndarray) -> pa.Table:
+    """(host, slice, shard, values): each value once for each page that has it, ``LEAST_PAGES`` times at most, dealt by a hash to as many slices as there are shards."""
+    order = np.lexsort((page, values))
+    v, p = values[order], page[order]
+    new = np.append(True, (v[1:] != v[:-1]) | (p[1:] != p[:-1]))[: len(v)]
+    v = v[new]
+    nth = np.arange(len(v)) - np.searchsorted(v, v)
+    v = v[nth < LEAST_PAGES]
+    with np.errstate(over="ignore"):
+        part = (mix64(v.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    slices, starts = np.unique(part[order], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(v)).astype(np.int32)), pa.array(v[order]))
+    n = len(slices)
+    return pa.table({"host": pa.array([key[0].as_py()] * n, pa.string()), "slice": pa.array(slices), "shard": pa.array([key[1].as_py()] * n, pa.int64()), "found": lists})
+
+
+def _shards(table: pa.Table) -> int:
+    return table["shards"][0].as_py()
+
+
+def _shard_grams(key: tuple, table: pa.Table) -> pa.Table:
+    """What other shards may share: the least hashes of the shard's windows; nothing where the host is one shard."""
+    if _shards(table) == 1:
+        return _by_slice(key, 1, np.zeros(0, np.int64), np.zeros(0, np.int32))
+    stream = _Stream(table)
+    at, _, least = stream.windows()
+    return _by_slice(key, _shards(table), stream.page[at], least)
+
+
+def _shard_windows(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
+    """The shard's windows whose least hash is shared."""
+    if not shared.num_rows:
+        return _by_slice(key, 1, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    stream = _Stream(table)
+    at, whole, least = stream.windows()
+    often = np.isin(least, _found(shared))
+    return _by_slice(key, _shards(table), stream.page[at][often], whole[often])
+
+
+def _found(shared: pa.Table) -> np.ndarray:
+    return shared["found"].combine_chunks().flatten().to_numpy() if shared.num_rows else np.zeros(0, np.int64)
+
+
+def _in_several(key: tuple, table: pa.Table) -> pa.Table:
+    """A slice's values that ``LEAST_PAGES`` pages of at least two shards have, back to each of these shards."""
+    values = _found(table)
+    row = np.repeat(np.arange(table.num_rows), table["found"].combine_chunks().value_lengths().to_numpy())
+    order = np.lexsort((row, values))
+    v, r = values[order], row[order]
+    new = np.append(True, v[1:] != v[:-1])[: len(v)]
+    group = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(v))[: len(starts)].astype(np.int64)
+    several = (ends - starts >= LEAST_PAGES) & (r[starts] != r[ends - 1])
+    take = several[group] & np.append(True, (v[1:] != v[:-1]) | (r[1:] != r[:-1]))[: len(v)]
+    v, r = v[take], r[take]
+    order = np.argsort(r, kind="stable")
+    rows = np.unique(r)
+    cuts = np.append(np.searchsorted(r[order], rows), len(r)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(v[order]))
+    return pa.table({"host": pa.array([key[0].as_py()] * len(rows), pa.string()), "shard": table["shard"].take(pa.array(rows)), "found": lists})
+
+
+def _shard_text(table: pa.Table, shared: np.ndarray) -> pa.Table:
+    """The shard's texts; shared: hashes of windows that other shards' pages make repeated ones."""
+    stream, mains = _Stream(table), table["main"].to_pylist()
+    pages, page_of, block_of = stream.pages, stream.page, stream.block
+    hit = repeated(stream.tokens, page_of, RUN, LEAST_PAGES)
+    if len(shared):
+        at, whole, _ = stream.windows()
+        for start in at[np.isin(whole, shared)]:
+            hit[start : start + RUN] = True
     starts = np.searchsorted(page_of, np.arange(len(pages) + 1))
     texts, counts = [], []
     for p, blocks in enumerate(pages):
@@ -262,4 +356,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     sizes = pages.groupBy("host").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     parsed = pages.withColumn("row", key).mapInArrow(_parse, "page_id long, url string, host string, row long, blocks array<string>, main array<boolean>")
     dealt = parsed.join(checked_broadcast(sizes), "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
-    return dealt.drop("shards").groupBy("host", "shard").applyInArrow(_shard_text, "page_id long, url string, text string, n_chars long, n_repeated long")
+    result = "page_id long, url string, text string, n_chars long, n_repeated long"
+    texts = dealt.groupBy("host", "shard")
+    if not sizes.where("shards > 1").limit(1).count():
+        return texts.applyInArrow(lambda pages: _shard_text(pages, np.zeros(0, np.int64)), result)
+
+    def shared(values: DataFrame, kind: str):
+        back = values.groupBy("host", "slice").applyInArrow(_in_several, f"host string, shard long, found array<{kind}>")
+        return back.groupBy("host", "shard")
+
+    # every step reads the shards' one exchange again
+    grams = shared(texts.applyInArrow(_shard_grams, "host string, slice long, shard long, found array<int>"), "int")
+    windows = shared(texts.cogroup(grams).applyInArrow(_shard_windows, "host string, slice long, shard long, found array<long>"), "long")
+    return texts.cogroup(windows).applyInArrow(lambda pages, found: _shard_text(pages, _found(found)), result)

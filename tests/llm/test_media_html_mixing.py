@@ -233,6 +233,24 @@ def test_whole_query_on_pages_without_main_element(spark):
     assert sum(x.n_repeated > 0 for x in got.values()) > 30  # the array decides on many of these pages
 
 
+@pytest.mark.parametrize("shard", [1, 7, 40, 2000])
+def test_results_do_not_depend_on_shards(spark, monkeypatch, shard):
+    """A host of 120 pages in any number of shards: passages on two pages stay, those on three or more go, wherever they are dealt."""
+    r = random.Random(5)
+    line = lambda n: [f"{r.choice('wW')}{r.randrange(10**6)}" for _ in range(n)]
+    own = [line(20) for _ in range(120)]
+    shared = [(line(r.randint(8, 15)), r.sample(range(120), n)) for n in (2, 2, 3, 3, 3, 4, 6, 50)]
+    rows, expected = [], {}
+    for k in range(120):
+        here = [(words, len(where)) for words, where in shared if k in where]
+        rows.append((k, f"https://{'ab'[k == 119]}.example/{k}", "".join(f"<div>{' '.join(x)}</div>" for x in [own[k], *(words for words, _ in here)])))
+        expected[k] = [" ".join(own[k])] + [" ".join(words) for words, n in here if k == 119 or n - (119 in next(w for x, w in shared if x == words)) < 3]
+    monkeypatch.setattr(html_text, "SHARD", shard)
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {x.page_id: x.text for x in got} == {k: "\n".join(v) for k, v in expected.items()}
+    assert sum(x.n_repeated for x in got) == sum(len(words) * (n := len({*where} - {119})) for words, where in shared if len({*where} - {119}) >= 3)
+
+
 def test_repeated_equals_brute_force():
     r = np.random.default_rng(7)
     for _ in range(60):
