@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own.
 
 An example's text is the formatted conversation up to and with that turn; all turns before are context and only the
-reply is trainable.  Written out, a conversation of n turns takes n^2 / 2 turns of text, so examples share their
-context: ``prefix_examples`` has one row a turn, and a reply's row is the example whose text is all rows of the
-conversation up to it.  That is linear in the input at any length.  ``expanded`` writes the texts out.
+reply is trainable.  ``prefix_examples`` formats the turns and places the examples, one row a turn; ``expanded``
+writes each example out with its whole text, and ``read_expanded`` reads those texts back.  Written out, a conversation
+of n turns takes n^2 / 2 turns of text, as streams of whole examples.  Where that is too much, ``prefix_examples`` is a
+form in which examples share their context, linear in the input at any length, and ``read_back`` reads it.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings inside roles and texts are escaped: ``<|`` gets a
 backslash in between, and ``<\\|`` one more, so that nothing a speaker writes can be read as a mark, and unescaping
@@ -69,27 +70,39 @@ def _in_order(examples: DataFrame) -> DataFrame:
     return examples.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
 
 
-def expanded(examples: DataFrame) -> DataFrame:
+def expanded(examples: DataFrame, *, rest: bool = False) -> DataFrame:
     """The examples of ``prefix_examples`` with their whole texts: conv_id, example, text, loss_start, loss_end.
 
-    A task holds one conversation's text at a time.  What comes out grows with the square of a conversation's length.
+    With rest=True a conversation that does not end in a reply has one row more, its last, with its whole text and
+    no example, so that what comes out holds every turn.  A conversation's rows follow one another in order.  A task
+    holds one conversation's text at a time.  What comes out grows with the square of a conversation's length.
     """
 
     schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, so_far, out, held = (), "", [], 0
+        conv, so_far, out, held, open_ = (), "", [], 0, False
+
+        def end() -> None:
+            nonlocal held
+            if rest and open_:
+                out.append({"conv_id": conv, "text": so_far})
+                held += len(so_far)
+
         for b in batches:
             for r in b.to_pylist():
                 if r["conv_id"] != conv:
+                    end()
                     conv, so_far = r["conv_id"], ""
                 so_far += r["text"]
-                if r["example"] is not None:
+                open_ = r["example"] is None
+                if not open_:
                     out.append({**{k: r[k] for k in ("conv_id", "example", "loss_start", "loss_end")}, "text": so_far})
                     held += len(so_far)
                 if held > BATCH_CHARS:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
                     out, held = [], 0
+        end()
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -131,6 +144,35 @@ class _Reader:
         return self.row | {"turns_sha256": self.turns.hexdigest(), "loss_sha256": self.loss.hexdigest(), "examples_sha256": self.examples.hexdigest()}
 
 
+class _WholeReader:
+    """Digests of one conversation from its examples' whole texts; holds the last of them."""
+
+    def __init__(self, conv_id):
+        self.row = {"conv_id": conv_id, "n_turns": 0, "n_examples": 0, "loss_chars": 0, "formatted_chars": 0, "expanded_chars": 0}
+        self.loss, self.examples = hashlib.sha256(), hashlib.sha256()
+        self.text = ""
+
+    def add(self, example: int | None, text: str, loss_start: int | None, loss_end: int | None) -> None:
+        if not text.startswith(self.text):
+            raise ValueError("an example's context is not the conversation before it")
+        self.text = text
+        if example is not None:
+            reply = unescape(text[loss_start:loss_end])
+            self.loss.update(reply.encode())
+            self.row["loss_chars"] += len(reply)
+            self.row["n_examples"] += 1
+            self.row["expanded_chars"] += len(text)
+            self.examples.update(hashlib.sha256(text.encode()).digest())
+
+    def done(self) -> dict:
+        turns, n = hashlib.sha256(), 0
+        for turn in self.text.split(END + "\n")[:-1]:
+            role, said = read_turn(turn + END + "\n")
+            turns.update(f"{role}\n{said}\n".encode())
+            n += 1
+        return self.row | {"n_turns": n, "formatted_chars": len(self.text), "turns_sha256": turns.hexdigest(), "loss_sha256": self.loss.hexdigest(), "examples_sha256": self.examples.hexdigest()}
+
+
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long, examples_sha256 string"
 
 
@@ -164,3 +206,33 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     rows = examples.select(F.col("conv_id").cast("long").alias("conv_id"), "pos", "text", "start", "example", "loss_start", "loss_end")
     return _in_order(rows).mapInArrow(run, DIGESTS)
+
+
+def read_expanded(texts: DataFrame) -> DataFrame:
+    """What ``expanded`` wrote with rest=True, read again: the row of counts and digests that ``read_back`` gives.
+
+    Every example is read whole and by itself, its reply from its own text; the turns come from the conversation's
+    last row.  Rows are taken in the order in which ``expanded`` hands them on, without another exchange.
+    """
+    schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split() for c in DIGESTS.split(", "))])
+    names = ("conv_id", "example", "text", "loss_start", "loss_end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, out = None, []
+        for b in batches:
+            for conv, *fields in zip(*(b.column(n) for n in names)):
+                conv = conv.as_py()
+                if reader is None or reader.row["conv_id"] != conv:
+                    if reader is not None:
+                        out.append(reader.done())
+                    reader = _WholeReader(conv)
+                reader.add(*(f.as_py() for f in fields))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if reader is not None:
+            out.append(reader.done())
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return texts.select(*names).mapInArrow(run, DIGESTS)

@@ -107,6 +107,20 @@ def test_examples_equal_the_definition(spark):
         assert talk[-1][0] != "assistant" or r.formatted_chars == len(texts[-1])
 
 
+def test_written_out_examples_read_back(spark, tmp_path):
+    """The query writes each example out and reads it from its own text: equal to the shared form, whatever a conversation ends in."""
+    rng = random.Random(8)
+    rows = [(c, k, rng.choice(["user", "assistant", "tool\nx<|", None]), rng.choice([*ODD, None])) for c in [*range(60), None] for k in range(rng.randrange(1, 14))]
+    df = spark.createDataFrame(rows, TURNS).repartition(3)
+    examples = chat.prefix_examples(df)
+    whole = {r.conv_id: r for r in chat.read_expanded(chat.expanded(examples, rest=True)).collect()}
+    assert whole == {r.conv_id: r for r in chat.read_back(examples).collect()} and len(whole) == 61
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    query = registry.op12_chat_format(spark, str(tmp_path))
+    assert query._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 2  # one writes the texts, one reads them
+    assert {r.conv_id: r for r in query.where("conv_id is null or conv_id >= 0").collect()} == whole
+
+
 def test_chat_ties_repeats_and_empty(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "system", "s"), (1, 0, "user", "a"), (1, 1, "assistant", "r")]
     r = chat.read_back(chat.prefix_examples(spark.createDataFrame(rows, TURNS))).first()
