@@ -17,6 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ from pyspark.sql import types as T
 MEMO = 120_000
 END = "</w>"
 LONG, NEVER = 64, 1 << 30
+#: Marks that stand alone after a word of ASCII letters.
+STOPS = frozenset(".,;:!?)")
+_IDS, _TOKENS, _COUNT = map(itemgetter, range(3))
 #: Fixed values of the tokenizer's format: how it cuts words, and what it takes for white space.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile("[\t\n\v\f\r \x85\xa0  -     　]+")
@@ -159,8 +163,9 @@ class BpeCodec:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.lexicon = MinimalLexicon(image) if image is not None else None
-        self.young: dict[str, tuple[str, str, int]] = {}
-        self.old: dict[str, tuple[str, str, int]] = {}
+        self.name = {i: str(i) for i in self.token}
+        self.young: dict = {}
+        self.old: dict = {}
         keys = np.fromiter(self.rank, np.int64, len(self.rank))
         order = np.argsort(keys)
         self.sorted_keys, self.sorted_ranks = np.append(keys[order], 1 << 62), np.append(order, NEVER)
@@ -251,40 +256,49 @@ class BpeCodec:
             out[r] = self.merge(words[r])
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, tuple[str, str, int]]:
-        """(ids text, tokens text, count) of each distinct run without white space.
+    def _learn(self, chunks: set) -> dict:
+        """A table that has (ids text, tokens text, count) of each of the distinct runs without white space and special tokens.
 
         What was seen lately is kept, in two generations of about MEMO each; when the younger is full it becomes
         the older, which is then forgotten but for what is asked again.
         """
-        found, cuts, unseen = {}, {}, {}
-        young, old = self.young, self.old
-        for c in chunks:
-            value = young.get(c)
-            if value is None:
-                value = young[c] = old.get(c)
-                if value is None:
-                    del young[c]
-                    # lower case letter by letter: sigma has no final form here
-                    low = c.replace("Σ", "σ").lower()
-                    found_words = CUT.findall(low) if low.isascii() or not YOUNG.search(low) else CUT_YOUNG.findall(low.translate(YOUNG_LOWER))
-                    cuts[c] = words = [w.encode() for w in found_words]
-                    for w in words:
-                        unseen[w] = None
-                    continue
-            found[c] = value
+        if len(self.young) >= MEMO:
+            self.old, self.young = self.young, {}
+        young, old, cuts, unseen = self.young, self.old, {}, {}
+        for c in chunks.difference(young):
+            value = old.get(c)
+            if value is not None:
+                young[c] = value
+                continue
+            if type(c) is tuple:
+                young[c] = (str(c[0]), c[1], 1)
+                continue
+            if c.isascii():
+                low = c.lower()
+                if low.isalpha():
+                    words = (low.encode(),)
+                elif low[-1] in STOPS and low[:-1].isalpha():
+                    words = (low[:-1].encode(), low[-1].encode())
+                else:
+                    words = [w.encode() for w in CUT.findall(low)]
+            else:
+                # lower case letter by letter: sigma has no final form here
+                low = c.replace("Σ", "σ").lower()
+                words = [w.encode() for w in (CUT.findall(low) if not YOUNG.search(low) else CUT_YOUNG.findall(low.translate(YOUNG_LOWER)))]
+            cuts[c] = words
+            for w in words:
+                unseen[w] = None
         if self.lexicon:
+            get = self.lexicon.get
             for w in unseen:
-                unseen[w] = self.lexicon.get(w)
+                unseen[w] = get(w)
         rest = [w for w, ids in unseen.items() if ids is None]
         unseen.update(zip(rest, self.merge_many(rest)))
-        token = self.token
+        token, name = self.token, self.name
         for c, words in cuts.items():
             ids = unseen[words[0]] if len(words) == 1 else [i for w in words for i in unseen[w]]
-            found[c] = young[c] = (" ".join(map(str, ids)), " ".join([token[i] for i in ids]), len(ids))
-        if len(young) >= MEMO:
-            self.old, self.young = young, {}
-        return found
+            young[c] = (name[ids[0]], token[ids[0]], 1) if len(ids) == 1 else (" ".join([name[i] for i in ids]), " ".join([token[i] for i in ids]), len(ids))
+        return young
 
     def pieces(self, text: str) -> list:
         """The text's runs without white space, and (id, content) of its special tokens, in order."""
@@ -301,12 +315,13 @@ class BpeCodec:
     def encode_many(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
         """For each text the ids joined by spaces, the decoded text and the number of tokens."""
         runs = list(map(self.pieces, texts))
-        every = {c for x in runs for c in x}
-        special = {c for c in every if isinstance(c, tuple)}
-        found = self._learn(every - special) | {c: (str(c[0]), c[1], 1) for c in special}
+        known = self._learn(set().union(*runs)).__getitem__
         for x in runs:
-            got = [v for v in map(found.__getitem__, x) if v[2]]
-            yield " ".join([v[0] for v in got]), " ".join([v[1] for v in got]), sum([v[2] for v in got])
+            got = list(map(known, x))
+            counts = list(map(_COUNT, got))
+            if 0 in counts:
+                got = [v for v in got if v[2]]
+            yield " ".join(map(_IDS, got)), " ".join(map(_TOKENS, got)), sum(counts)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in self.encode_many([text]) for i in ids.split()]

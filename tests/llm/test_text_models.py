@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanloom.llm import brown_lm, imatch, toxicity
+from spanloom.llm import bpe, brown_lm, imatch, toxicity
 from spanloom.llm.bpe import BpeCodec, MinimalLexicon, bpe_digests, lexicon_image, load_spec
 from spanloom.llm.text_kernel import hashed_texts, shingle_set
 from spanloom.llm.wordpiece import LongestMatch, load_pieces, token_counts
@@ -421,3 +421,16 @@ def test_fingerprints_ignore_clashing_columns(spark):
     plain = spark.createDataFrame(rows, "doc_id long, text string")
     clashing = plain.selectExpr("doc_id", "text", "1 as n_chars", "'x' as fingerprint", "2 as near_edited", "3 as term", "4 as n", "5 as run")
     assert sorted(map(tuple, imatch.fingerprints(clashing).collect()), key=repr) == sorted(map(tuple, imatch.fingerprints(plain).collect()), key=repr)
+
+
+def test_plain_words_need_no_regular_expression(monkeypatch):
+    """ASCII words, alone or with a mark after them, are cut without one, and tokens' texts are not made anew."""
+    spec = load_spec(files.path("word_bpe_49k.json"))
+    text = "The quick, brown fox; don't (jump) over 3 dogs. the Quick end!"
+    expected = BpeCodec(spec).encode(text)
+    plain = text.replace("don't", "dont").replace("(jump)", "jump)").replace(" 3", "")
+    whole = BpeCodec(spec).encode(plain)
+    monkeypatch.setattr(bpe, "CUT", None)
+    codec = BpeCodec(spec)
+    assert codec.encode(plain) == whole != expected
+    assert codec.young["The"][1] is codec.young["the"][1]
