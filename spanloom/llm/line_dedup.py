@@ -36,7 +36,7 @@ BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
 #: Options of the registered query and of the pipeline.
 WHOLE = {"every": True, "bits": 24, "bands": 12, "least": 1, "letters": 20}
 _FIRST = -(1 << 63)
-PAIR_BINS, BLOCK_LINES, SEEN = 128, 3000, 500_000
+PAIR_BINS, THREE_BINS, BLOCK_LINES, SEEN = 128, 1024, 3000, 500_000
 
 
 class _Letters(dict):
@@ -278,6 +278,26 @@ def _possible(la, ca, lb, cb, percent: int) -> np.ndarray:
     return out
 
 
+def _threes(forms: list[str]) -> np.ndarray:
+    """For each form how many of its runs of three letters fall into each of ``THREE_BINS`` bins, 255 at most."""
+    out = np.zeros((len(forms), THREE_BINS), np.uint8)
+    for lo in range(0, len(forms), 512):
+        part = forms[lo : lo + 512]
+        code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)))
+        inner = row[2:] == row[:-2]
+        bins = ((code[:-2] * np.uint32(2654435761) ^ code[1:-1] * np.uint32(2246822519)) * np.uint32(3266489917) ^ code[2:] * np.uint32(668265263)) * np.uint32(2654435761) >> np.uint32(22)
+        counts = np.bincount(row[2:][inner] * THREE_BINS + bins[inner], minlength=len(part) * THREE_BINS)
+        out[lo : lo + 512] = np.minimum(counts, 255).reshape(-1, THREE_BINS)
+    return out
+
+
+def _alike(la, ta, lb, tb, percent: int) -> np.ndarray:
+    """As ``_possible``, closer: an edit changes at most six counts of runs of three letters by one."""
+    allowed = np.maximum(la, lb) * (100 - percent) // 100
+    return (np.maximum(ta, tb) - np.minimum(ta, tb)).sum(1, dtype=np.int64) <= 6 * allowed
+
+
 def _line_rows(least: int, every: bool, bands: int, letters: int):
     """Occurrences of the lines that take part: (k, pos, id), and with a line's first in the task (sim, bands, form)."""
 
@@ -362,10 +382,18 @@ def _meetings(bits: int, percent: int):
     return run
 
 
-def _pairs(group: np.ndarray, is_q: np.ndarray, is_x: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (q, x) of each group's pairs, query by query, in runs of about ``most``; a run ends with a whole query."""
+def _pairs(group: np.ndarray, is_q: np.ndarray, is_x: np.ndarray, length: np.ndarray, percent: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (q, x) of each group's pairs, but for those whose lengths alone tell them apart, query by query, in runs of about ``most``; a run ends with a whole query.
+
+    Rows come sorted by (group, length), so a query's possible partners stand together.
+    """
     x = np.flatnonzero(is_x)
-    lo, hi = np.searchsorted(group[x], group, "left"), np.searchsorted(group[x], group, "right")
+    top = int(length.max(initial=0)) + 1
+    place = group.astype(np.int64) * top
+    least = length - length * (100 - percent) // 100
+    longest = np.minimum((length + 1) * 100 // percent + 1, top - 1)  # the most for which the longer one may still be cut to this length
+    own = (place + length)[x]
+    lo, hi = np.searchsorted(own, place + least, "left"), np.searchsorted(own, place + longest, "right")
     q = np.flatnonzero(is_q & (hi > lo))
     n = (hi - lo)[q]
     ends = np.cumsum(n)
@@ -380,14 +408,17 @@ def _pairs(group: np.ndarray, is_q: np.ndarray, is_x: np.ndarray, most: int = 1
 
 def _block(bits: int, percent: int):
     def link(task: pa.Table, group: np.ndarray) -> pa.Table:
+        size = np.fromiter(map(len, task["form"].to_pylist()), np.int64, task.num_rows)
+        order = np.lexsort((size, group))
+        task, group = task.take(pa.array(order)), group[order]
         ids, comp, sims = (task[c].to_numpy() for c in ("id", "component", "sim"))
         is_q, is_x = (task[c].to_numpy(zero_copy_only=False) for c in ("q", "x"))
         forms = task["form"].to_pylist()
         length, counts = _profiles(forms)
         band = task["key"].to_numpy() >> 32
         keys = task["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if "bands" in task.column_names else None
-        a, b, done = [], [], set()
-        for q, x in _pairs(group, is_q, is_x):
+        a, b, done, threes = [], [], set(), None
+        for q, x in _pairs(group, is_q, is_x, length, percent):
             near = np.flatnonzero((comp[q] != comp[x]) & (np.bitwise_count((sims[q] ^ sims[x]).view(np.uint64)) <= bits))
             q, x = q[near], x[near]
             # where both are on both sides, one order is enough
@@ -400,7 +431,12 @@ def _block(bits: int, percent: int):
             for lo in range(0, len(near), 1 << 14):
                 part = near[lo : lo + (1 << 14)]
                 good = _possible(length[q[part]], counts[q[part]], length[x[part]], counts[x[part]], percent)
-                for i, j in zip(q[part][good].tolist(), x[part][good].tolist()):
+                i, j = q[part][good], x[part][good]
+                if len(i):
+                    threes = _threes(forms) if threes is None else threes
+                    good = _alike(length[i], threes[i], length[j], threes[j], percent)
+                    i, j = i[good], j[good]
+                for i, j in zip(i.tolist(), j.tolist()):
                     if (i, comp[j]) not in done and similar(forms[i], forms[j], percent):
                         done.add((i, comp[j]))
                         a.append(ids[i])
@@ -447,7 +483,8 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 fa, fb = t["fa"].to_pylist(), t["fb"].to_pylist()
-                good = _possible(*_profiles(fa), *_profiles(fb), percent)
+                (la, ca), (lb, cb) = _profiles(fa), _profiles(fb)
+                good = _possible(la, ca, lb, cb, percent) & _alike(la, _threes(fa), lb, _threes(fb), percent)
                 for k in np.flatnonzero(good):
                     good[k] = similar(fa[k], fb[k], percent)
                 yield pa.record_batch({"a": t["a"], "b": t["b"]}).filter(pa.array(good))

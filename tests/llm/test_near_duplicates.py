@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from spanloom.llm import line_dedup
 from spanloom.llm.linking import connected_components
@@ -283,3 +284,28 @@ def test_similar_equals_edit_distance():
             b[k : k + r.randint(0, 2)] = r.choice(["", "a", "面", "bc"])
         b = "".join(b)
         assert line_dedup.similar(a, b) == (slow_distance(a, b) <= max(len(a), len(b)) * 10 // 100)
+
+
+def test_runs_of_three_letters_spare_edit_distances_without_loss(monkeypatch):
+    """Unlike lines with like letters are told apart before their edit distance, and no similar pair is, whatever its edits."""
+    r = random.Random(12)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    forms = list(dict.fromkeys(" ".join(r.choice(words) for _ in range(r.randint(6, 40))) for _ in range(300)))
+    for f in forms[:120]:
+        c = list(f)
+        for _ in range(r.randint(1, max(1, len(f) // 10))):
+            k = r.randrange(len(c))
+            c[k : k + r.randint(0, 1)] = r.choice(["", "x", "a", "\U00020000"])
+        forms.append("".join(c))
+    forms += ["ab" * 900, "ab" * 899, "a", "", "ab"]
+    n, asked = len(forms), []
+    pairs = {(i, j) for i in range(n) for j in range(n) if i < j and line_dedup.similar(forms[i], forms[j])}
+    assert len(pairs) > 90
+    length, threes = np.array([len(f) for f in forms]), line_dedup._threes(forms)
+    i, j = np.array(sorted(pairs)).T
+    assert line_dedup._alike(length[i], threes[i], length[j], threes[j], 90).all()
+    monkeypatch.setattr(line_dedup, "similar", lambda a, b, percent: asked.append((a, b)) or False)
+    ids = np.arange(n)
+    task = pa.table({"key": pa.array(ids * 0), "id": ids, "component": ids, "sim": pa.array(ids * 0), "q": pa.array([True] * n), "x": pa.array([True] * n), "form": forms})
+    assert line_dedup._block(64, 90)(task, ids * 0).num_rows == 0
+    assert {(forms[i], forms[j]) for i, j in pairs} <= {x for a, b in asked for x in ((a, b), (b, a))} and len(asked) < 2 * len(pairs)
