@@ -18,6 +18,7 @@ than ``letters`` letters and digits are grouped with their exact repeats only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
@@ -36,7 +37,9 @@ BITS, BLOCKS, PERCENT, LEAST, LONG_WORD = 3, 5, 90, 5, 4
 #: Options of the registered query and of the pipeline.
 WHOLE = {"every": True, "bits": 24, "bands": 12, "least": 1, "letters": 20}
 _FIRST = -(1 << 63)
-PAIR_BINS, THREE_BINS, BLOCK_LINES, SEEN = 128, 1024, 3000, 500_000
+THREE_BINS, BLOCK_LINES, SEEN = 1024, 3000, 500_000
+#: Cells that a step of the batched edit distance takes, the longest lines it takes, and steps after which it drops pairs that are too far apart.
+CELLS, LONG_LINE, STEPS = 1 << 13, 10_000, 32
 
 
 class _Letters(dict):
@@ -56,26 +59,34 @@ def normal(line: str) -> str:
     return " ".join(line.lower().translate(_LETTERS).split())
 
 
-def normal_lines(text: str) -> list[str]:
-    """``normal`` of each of a text's lines."""
-    return [" ".join(x.split()) for x in text.lower().translate(_LETTERS).split("\n")]
-
+#: For each code point 1 if it becomes a space in a normal form, 0 if it stays, 2 if nobody has asked yet.
+_SPACES = np.full(0x110000, 2, np.uint8)
 
-class _Units(dict):
-    """Letters of scripts without spaces (Thai to Myanmar, Khmer, kana, Han) to words of their own."""
 
-    def __missing__(self, point: int) -> str:
-        alone = 0x0E00 <= point < 0x10A0 or 0x1780 <= point < 0x1800 or 0x3040 <= point < 0x3130 or 0x31A0 <= point < 0xA000 or 0xF900 <= point < 0xFB00 or 0x20000 <= point < 0x40000
-        self[point] = c = f" {chr(point)} " if alone else chr(point)
-        return c
+def normal_lines(text: str) -> list[str]:
+    """``normal`` of each of a text's lines."""
+    text = text.lower()
+    if text.isascii():  # ``translate`` has a fast way for these only
+        text = text.translate(_LETTERS)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        kind = _SPACES[code]
+        if kind.max(initial=0) > 1:
+            new = np.unique(code[kind > 1])
+            _SPACES[new] = [_LETTERS[p] == " " for p in new.tolist()]
+            kind = _SPACES[code]
+        code[kind > 0] = 32
+        text = code.tobytes().decode("utf-32-le", "surrogatepass")
+    return [" ".join(x.split()) for x in text.split("\n")]
 
 
-_UNITS = _Units()
+#: Letters of scripts without spaces: Thai to Myanmar, Khmer, kana, Han.
+_ALONE = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u312f\u31a0-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def units(form: str) -> str:
-    """The form with spaces about each letter of scripts without spaces."""
-    return form if form.isascii() else form.translate(_UNITS)
+    """The form with spaces about each letter of scripts without spaces, which are words of their own."""
+    return form if form.isascii() else _ALONE.sub(r" \g<0> ", form)
 
 
 def line_id(form: str) -> int:
@@ -86,14 +97,34 @@ def line_id(form: str) -> int:
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _vote(words: np.ndarray, line: np.ndarray, out: np.ndarray) -> None:
+    """Bit by bit the majority over each line's word hashes, into out[line]; words come line by line.
+
+    Bits are counted in byte lanes, eight at once, by runs of at most 255 words; lines with more words are several runs.
+    """
+    if not len(words):
+        return
+    begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    n = np.diff(np.append(begin, len(line)))
+    runs = -(-n // 255)
+    skip = np.cumsum(runs) - runs
+    cut = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(skip, runs))
+    major = np.empty((len(begin), 64), np.uint8)
+    for k in range(8):
+        lanes = np.add.reduceat(_LANES[(words >> np.uint64(8 * k)) & np.uint64(255)], cut).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        if len(cut) != len(begin):
+            lanes = np.add.reduceat(lanes, skip, axis=0)
+        major[:, 8 * k : 8 * k + 8] = 2 * lanes > n[:, None]
+    out[line[begin]] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def simhashes(forms: list[str], every: bool = False) -> np.ndarray:
     """One 64-bit SimHash a line, as int64: bit by bit the majority over its distinct longer words' hash bits, or
     with every=True over all its words.
 
     Words of fewer than ``LONG_WORD`` bytes, and repetitions, do not vote: the few very frequent words that most
     lines of a language share are short, and would otherwise make unlike lines' hashes alike.  Only lines with
-    fewer than three longer words use all.  Bits are counted in byte lanes, eight at once, by runs of at most 255
-    words; lines with more words are several runs.
+    fewer than three longer words use all.
     """
     out = np.zeros(len(forms), np.uint64)
     with np.errstate(over="ignore"):
@@ -110,50 +141,59 @@ def simhashes(forms: list[str], every: bool = False) -> np.ndarray:
                 new = np.ones(len(words), bool)
                 new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
                 words, line = words[new], line[new]
-            if not len(words):
-                continue
-            begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-            n = np.diff(np.append(begin, len(line)))
-            runs = -(-n // 255)
-            skip = np.cumsum(runs) - runs
-            cut = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(skip, runs))
-            major = np.empty((len(begin), 64), np.uint8)
-            for k in range(8):
-                lanes = np.add.reduceat(_LANES[(words >> np.uint64(8 * k)) & np.uint64(255)], cut).view(np.uint8).reshape(-1, 8).astype(np.int64)
-                if len(cut) != len(begin):
-                    lanes = np.add.reduceat(lanes, skip, axis=0)
-                major[:, 8 * k : 8 * k + 8] = 2 * lanes > n[:, None]
-            out[row + line[begin]] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+            _vote(words, line, out[row:])
     return out.view(np.int64)
 
 
+def _least(words: np.ndarray, first: np.ndarray, bands: int) -> np.ndarray:
+    """``band_keys`` of lines with these word hashes, as uint32; in parts that stay in the processor's cache."""
+    n = len(first) - 1
+    out = np.zeros((n, bands), np.uint32)
+    cuts = first + np.arange(n + 1)
+    own = np.zeros(len(words) + n, np.uint64)
+    own[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = mix64(words)
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[cuts[:-1]] = 0
+    pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + own)
+    odd = mix64(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 8192, "right")) - 1)
+        part, at = pairs[cuts[lo] : cuts[hi]], cuts[lo:hi] - cuts[lo]
+        for b in range(bands):
+            h = part * odd[b]
+            h ^= h >> np.uint64(32)
+            side = -((part >> np.uint64(b % 64)) & np.uint64(1))  # all bits or none
+            low, high = np.minimum.reduceat(h | ~side, at), np.minimum.reduceat(h | side, at)
+            out[lo:hi, b] = mix64(mix64(low) + high) >> np.uint64(32)
+        lo = hi
+    return out
+
+
 def band_keys(forms: list[str], bands: int) -> np.ndarray:
     """``bands`` 32-bit values a line, as int32: each of the least hashes of two halves of its neighbouring words.
 
     The line's start and end count as words.  Halves differ from band to band; an empty half has one fixed value.
     """
     out = np.zeros((len(forms), bands), np.uint32)
-    none = np.uint64(2**64 - 1)
     with np.errstate(over="ignore"):
-        odd = mix64(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
         for row, words, first in hashed_texts(pa.array(forms, pa.large_string())):
-            n = len(first) - 1
-            cuts = first + np.arange(n + 1)
-            own = np.zeros(len(words) + n, np.uint64)
-            own[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = mix64(words)
-            before = np.empty_like(own)
-            before[1:] = own[:-1]
-            before[cuts[:-1]] = 0
-            pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + own)
-            for b in range(bands):
-                h = pairs * odd[b]
-                h ^= h >> np.uint64(32)
-                side = (pairs >> np.uint64(b % 64)) & np.uint64(1) == 1
-                low, high = (np.minimum.reduceat(np.where(x, h, none), cuts[:-1]) for x in (side, ~side))
-                out[row : row + n, b] = mix64(mix64(low) + high) >> np.uint64(32)
+            out[row : row + len(first) - 1] = _least(words, first, bands)
     return out.view(np.int32)
 
 
+def _signed(forms: list[str], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """``simhashes`` over all words and ``band_keys``, from word hashes made once."""
+    sims, keys = np.zeros(len(forms), np.uint64), np.zeros((len(forms), bands), np.uint32)
+    with np.errstate(over="ignore"):
+        for row, words, first in hashed_texts(pa.array(forms, pa.large_string())):
+            n = len(first) - 1
+            _vote(words, np.repeat(np.arange(n), np.diff(first)), sims[row : row + n])
+            keys[row : row + n] = _least(words, first, bands)
+    return sims.view(np.int64), keys.view(np.int32)
+
+
 def _common(a: str, b: str, i: int, j: int) -> int:
     """How many characters agree from a[i] and b[j] on."""
     n, step = 0, 16
@@ -258,23 +298,86 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return abs(len(a) - len(b)) <= allowed and (_enough(a, b, allowed) <= allowed or edit_distance(a, b, allowed) <= allowed)
 
 
-def _profiles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the forms, and for each how many of its neighbouring letter pairs fall into each of ``PAIR_BINS`` bins."""
-    length = np.fromiter(map(len, forms), np.int64, len(forms))
-    code = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(forms)), length)
-    inner = row[1:] == row[:-1]
-    bins = (code[:-1] * np.uint32(2654435761) ^ code[1:] * np.uint32(2246822519)) >> np.uint32(25)
-    counts = np.bincount(row[1:][inner] * PAIR_BINS + bins[inner], minlength=len(forms) * PAIR_BINS)
-    return length, counts.reshape(len(forms), PAIR_BINS).astype(np.int32)
+def _codes(texts: list[str], at: np.ndarray, rows: int, fill: int) -> np.ndarray:
+    """Code points, one text a column from row ``at`` on; other cells are ``fill``."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((rows, len(texts)), fill, np.uint32)
+    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at
+    out[row, np.repeat(np.arange(len(texts)), n)] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
 
-def _possible(la, ca, lb, cb, percent: int) -> np.ndarray:
-    """Rows that may be similar: an edit changes at most four counts of letter pairs by one, so no pair is lost."""
-    allowed = np.maximum(la, lb) * (100 - percent) // 100
-    out = np.abs(la - lb) <= allowed
-    at = np.flatnonzero(out)
-    out[at] = np.abs(ca[at] - cb[at]).sum(1) <= 4 * allowed[at]
+def _batch(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """``within`` for texts of like lengths, a[i] no longer than b[i], by antidiagonals of the distance table.
+
+    Cells (i, j) of one i + j depend only on those of the two sums before, so all of them, of all pairs, are one step.
+    A path of at most ``most`` edits stays between the diagonals j - i of -low and high.
+    """
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(a), bool)
+    shift, last = lb - la, int((la + lb).max())
+    low, high = int(((most - shift) // 2).max()), int(((most + shift) // 2).max())
+    low, high = low + low % 2, high + high % 2
+    n, pad = (low + high) // 2 + 1, (low + high) // 2 + 4
+    rows = 2 * pad + (last + low + high) // 2
+    x, y = _codes(a, pad, rows, 0x110000)[::-1], _codes(b, pad, rows, 0x110001)
+    if max(x[x < 0x110000].max(initial=0), y[y < 0x110000].max(initial=0)) >= 0xFFF0:
+        values, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+        x, y = both.reshape(2, rows, -1)
+        if len(values) > 0xFFFF:
+            return np.array([edit_distance(p, q, int(m)) <= m for p, q, m in zip(a, b, most)])
+    x, y = np.ascontiguousarray(x.astype(np.uint16)), y.astype(np.uint16)
+    # rows of even diagonals -low, -low + 2, ...; rows of odd ones between them, within a border
+    even, odd = np.full((n, len(a)), 30_000, np.uint16), np.full((n + 1, len(a)), 30_000, np.uint16)
+    even[low // 2] = 0
+    cost = np.empty_like(even)
+    live = np.arange(len(a))
+    ahead = [np.abs(shift - np.arange(-low + d, high + 1, 2)[:, None]).astype(np.uint16) for d in (0, 1)]
+    ends = set((la + lb).tolist())
+    for t in range(last + 1):
+        if t:
+            j, i = (t - low + 1) // 2, (t + low) // 2
+            own, m = (odd[1:-1], n - 1) if t % 2 else (even, n)
+            unlike = np.bitwise_xor(x[rows - i - pad : rows - i - pad + m], y[j - 1 + pad : j - 1 + pad + m], out=cost[:m])
+            np.minimum(unlike, 1, out=unlike)
+            unlike += own
+            np.minimum(*((even[:-1], even[1:]) if t % 2 else (odd[:-1], odd[1:])), out=own)
+            own += 1
+            np.minimum(own, unlike, out=own)
+        if t in ends:
+            p = np.flatnonzero((la + lb)[live] == t)
+            s = shift[live[p]]
+            out[live[p]] = (odd[1 + (s + low) // 2, p] if t % 2 else even[(s + low) // 2, p]) <= most[live[p]]
+        if t % STEPS == STEPS - 1:
+            least = (even + ahead[0]).min(0)
+            if n > 1:
+                least = np.minimum(least, (odd[1:-1] + ahead[1]).min(0))
+            on = (least <= most[live]) & ((la + lb)[live] > t)
+            if not on.any():
+                break
+            if 2 * on.sum() <= len(live):
+                live = live[on]
+                even, odd, x, y, *ahead = (np.compress(on, h, axis=1) for h in (even, odd, x, y, *ahead))
+                cost = np.empty_like(even)
+    return out
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's Levenshtein distance is at most ``most``: exact, many pairs of like lengths at a time."""
+    a, b = [min(p, key=len) for p in zip(a, b)], [q if len(p) <= len(q) else p for p, q in zip(a, b)]
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(a), bool)
+    near = np.flatnonzero(lb - la <= most)
+    for i in near[lb[near] > LONG_LINE]:
+        out[i] = edit_distance(a[i], b[i], int(most[i])) <= most[i]
+    near = near[lb[near] <= LONG_LINE]
+    near = near[np.lexsort((la[near] + lb[near], most[near]))]
+    at = 0
+    while at < len(near):
+        to = at + max(1, min(512, CELLS // (int(most[near[at]]) // 2 + 1)))
+        part = near[at:to]
+        out[part] = _batch([a[i] for i in part], [b[i] for i in part], most[part])
+        at = to
     return out
 
 
@@ -293,11 +396,16 @@ def _threes(forms: list[str]) -> np.ndarray:
 
 
 def _alike(la, ta, lb, tb, percent: int) -> np.ndarray:
-    """As ``_possible``, closer: an edit changes at most six counts of runs of three letters by one."""
+    """Rows that may be similar: an edit changes at most six counts of runs of three letters by one, so no pair is lost."""
     allowed = np.maximum(la, lb) * (100 - percent) // 100
     return (np.maximum(ta, tb) - np.minimum(ta, tb)).sum(1, dtype=np.int64) <= 6 * allowed
 
 
+def _odd(threes: np.ndarray) -> np.ndarray:
+    """The counts' lowest bits: where these differ in more than six places an edit, the counts do as well."""
+    return np.packbits(threes & 1, axis=1).view(np.uint64)
+
+
 def _line_rows(least: int, every: bool, bands: int, letters: int):
     """Occurrences of the lines that take part: (k, pos, id), and with a line's first in the task (sim, bands, form)."""
 
@@ -321,12 +429,18 @@ def _line_rows(least: int, every: bool, bands: int, letters: int):
                             ids.append(i)
                 forms = list(fresh.values())
                 fuzzy = np.array([len(f) - f.count(" ") >= letters for f in forms], bool)
-                words = [units(f) if x else "" for f, x in zip(forms, fuzzy)] if bands else forms
-                sim, at = simhashes(words, every), np.full(len(ids), -1)
+                words = [units(f) for f, x in zip(forms, fuzzy) if x] if bands else forms
+                sim, at = np.zeros(len(forms), np.int64), np.full(len(ids), -1)
+                if bands and every:
+                    sim[fuzzy], values = _signed(words, bands)
+                elif bands:
+                    sim[fuzzy], values = simhashes(words), band_keys(words, bands)
+                else:
+                    sim, values = simhashes(words, every), np.zeros(0, np.int32)
                 at[list(fresh)] = np.arange(len(forms))
                 take = pa.array(at, mask=at < 0)
                 ends = pa.array(np.append(0, np.cumsum(fuzzy * bands)).astype(np.int32))
-                keyed = pa.ListArray.from_arrays(ends, pa.array(band_keys([w for w, x in zip(words, fuzzy) if x], bands).ravel()))
+                keyed = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
                 yield pa.record_batch({
                     "k": pa.array(keys, pa.int64()), "pos": pa.array(places, pa.int32()), "id": pa.array(ids, pa.int64()),
                     "sim": pa.array(sim, pa.int64()).take(take), "size": pa.array(list(map(len, forms)), pa.int32()).take(take), "bands": keyed.take(take),
@@ -414,12 +528,18 @@ def _block(bits: int, percent: int):
         ids, comp, sims = (task[c].to_numpy() for c in ("id", "component", "sim"))
         is_q, is_x = (task[c].to_numpy(zero_copy_only=False) for c in ("q", "x"))
         forms = task["form"].to_pylist()
-        length, counts = _profiles(forms)
+        length = size[order]
         band = task["key"].to_numpy() >> 32
         keys = task["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if "bands" in task.column_names else None
-        a, b, done, threes = [], [], set(), None
+        a, b = [], []
+        label, own = np.unique(comp, return_inverse=True)
+        root = np.arange(len(label))  # what these links have made one component, by its least label
+        known, threes = np.zeros(len(ids), bool), np.zeros((len(ids), THREE_BINS), np.uint8)
+        odd = np.zeros((len(ids), THREE_BINS // 64), np.uint64)
         for q, x in _pairs(group, is_q, is_x, length, percent):
-            near = np.flatnonzero((comp[q] != comp[x]) & (np.bitwise_count((sims[q] ^ sims[x]).view(np.uint64)) <= bits))
+            near = np.flatnonzero(np.bitwise_count((sims[q] ^ sims[x]).view(np.uint64)) <= bits)
+            q, x = q[near], x[near]
+            near = np.flatnonzero(root[own[q]] != root[own[x]])
             q, x = q[near], x[near]
             # where both are on both sides, one order is enough
             near = np.flatnonzero(~(is_x[q] & is_q[x]) | (ids[q] < ids[x]))
@@ -427,20 +547,30 @@ def _block(bits: int, percent: int):
             if keys is not None:  # lines that meet in several bands are compared in the first, or were as hub and member
                 near = np.concatenate([lo + np.flatnonzero((keys[q[lo : lo + 65536]] == keys[x[lo : lo + 65536]]).argmax(1) == band[q[lo : lo + 65536]]) for lo in range(0, len(q), 65536)] or [near])
                 q, x = q[near], x[near]
-            near = np.flatnonzero(np.abs(length[q] - length[x]) <= np.maximum(length[q], length[x]) * (100 - percent) // 100)
+            allowed = np.maximum(length[q], length[x]) * (100 - percent) // 100
+            near = np.flatnonzero(np.abs(length[q] - length[x]) <= allowed)
             for lo in range(0, len(near), 1 << 14):
                 part = near[lo : lo + (1 << 14)]
-                good = _possible(length[q[part]], counts[q[part]], length[x[part]], counts[x[part]], percent)
-                i, j = q[part][good], x[part][good]
-                if len(i):
-                    threes = _threes(forms) if threes is None else threes
-                    good = _alike(length[i], threes[i], length[j], threes[j], percent)
-                    i, j = i[good], j[good]
-                for i, j in zip(i.tolist(), j.tolist()):
-                    if (i, comp[j]) not in done and similar(forms[i], forms[j], percent):
-                        done.add((i, comp[j]))
-                        a.append(ids[i])
-                        b.append(ids[j])
+                i, j, most = q[part], x[part], allowed[part]
+                new = np.unique(np.concatenate([i, j]))
+                new = new[~known[new]]
+                threes[new], known[new] = _threes([forms[k] for k in new]), True
+                odd[new] = _odd(threes[new])
+                good = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= 6 * most
+                i, j, most = i[good], j[good], most[good]
+                good = _alike(length[i], threes[i], length[j], threes[j], percent)
+                i, j, most = i[good], j[good], most[good]
+                for at in range(0, len(i), 2048):  # what is one component by then needs no distance
+                    p, r, m = i[at : at + 2048], j[at : at + 2048], most[at : at + 2048]
+                    apart = root[own[p]] != root[own[r]]
+                    p, r, m = p[apart], r[apart], m[apart]
+                    good = within([forms[k] for k in p], [forms[k] for k in r], m)
+                    for p, r in zip(p[good].tolist(), r[good].tolist()):
+                        u, v = sorted((root[own[p]], root[own[r]]))
+                        if u != v and similar(forms[p], forms[r], percent):
+                            root[root == v] = u
+                            a.append(ids[p])
+                            b.append(ids[r])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return link
@@ -467,14 +597,13 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
                 key = F.shiftleft(key, size[i]).bitwiseOR(cut[i])
             keys.append(key)
         buckets = each.select(F.explode(F.array(*keys)).alias("key"), "id", "sim", "size")
-    # one exchange of the bucket rows; sorted, each bucket is a run whose first id is its hub
-    buckets = buckets.repartition("key").sortWithinPartitions("key", "id")
+    # one exchange of the bucket rows; sorted, each bucket is a run whose first row is its hub, whichever line that is; one key of one long sorts by radix
+    buckets = buckets.repartition("key").sortWithinPartitions("key")
     met = stash(buckets.mapInArrow(_meetings(bits, percent), "key long, a long, b long, near boolean, more boolean"))
-    sims = each.select("id", "sim", *(["bands"] if bands else []))
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        """Normal forms of the wanted lines."""
-        return lines.where("form is not null").select("id", "form").join(checked_broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
+    def texts(wanted: DataFrame, *more: str) -> DataFrame:
+        """Normal forms of the wanted lines, and what else their rows hold."""
+        return lines.where("form is not null").select("id", "form", *more).join(checked_broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
 
     def verify(near: DataFrame) -> DataFrame:
         forms = stash(texts(stash(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
@@ -483,17 +612,21 @@ def repeated_lines(docs: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, p
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 fa, fb = t["fa"].to_pylist(), t["fb"].to_pylist()
-                (la, ca), (lb, cb) = _profiles(fa), _profiles(fb)
-                good = _possible(la, ca, lb, cb, percent) & _alike(la, _threes(fa), lb, _threes(fb), percent)
+                la, lb = (np.fromiter(map(len, f), np.int64, len(f)) for f in (fa, fb))
+                most = np.maximum(la, lb) * (100 - percent) // 100
+                good = _alike(la, _threes(fa), lb, _threes(fb), percent)
+                left = []  # few changed words prove most pairs of a hub and its copy
                 for k in np.flatnonzero(good):
-                    good[k] = similar(fa[k], fb[k], percent)
+                    if _enough(fa[k], fb[k], int(most[k])) > most[k]:
+                        left.append(k)
+                good[left] = within([fa[k] for k in left], [fb[k] for k in left], most[left])
                 yield pa.record_batch({"a": t["a"], "b": t["b"]}).filter(pa.array(good))
 
         return both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long")
 
     stars = stash(met.where("near").select("a", "b").distinct())
     rest = met.where("more").select("key", F.col("b").alias("id"))
-    parts = link_buckets(stars, rest, lambda wanted: texts(wanted).join(sims, "id"), verify, _block(bits, percent), block_units=BLOCK_LINES)
+    parts = link_buckets(stars, rest, lambda wanted: texts(wanted, "sim", *(["bands"] if bands else [])), verify, _block(bits, percent), block_units=BLOCK_LINES)
     # the first occurrence of each group; single lines that occur once need no more work
     owned = each.join(parts, "id", "left").withColumn("g", F.coalesce("component", "id"))
     firsts = owned.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
